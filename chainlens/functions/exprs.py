@@ -23,6 +23,13 @@ def money_sum(c, scale: int = 2) -> Column:
     return F.sum(col_or(c).cast(f"decimal(18,{scale})")).cast("double")
 
 
+def avg_money(c, scale: int = 2) -> Column:
+    """Mean of a money column from an exact decimal sum, rounded half-up to
+    cents.  A double mean rounds differently depending on summation order
+    when it lands on half a cent."""
+    return F.round(F.avg(col_or(c).cast(f"decimal(18,{scale})")), scale).cast("double")
+
+
 def log10_guarded(c) -> Column:
     """LOG10(CASE WHEN x > 0 THEN x ELSE 1 END): 0, NULL and negatives map to 0."""
     x = col_or(c)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chainlens.config import (DEFAULT, KIND_BRIDGE, KIND_CROSS_CHAIN_SWAP, RULE_BEGINNER,
                               RULE_NEW, RULE_PROGRAMMATIC, RULE_REGULAR, Params)
-from chainlens.functions.exprs import flag_sum, log10_guarded, money_sum, share_of_total
+from chainlens.functions.exprs import avg_money, flag_sum, log10_guarded, money_sum, share_of_total
 
 #: Literal exclusion lists up to this size become an IN-set filter (no join);
 #: larger lists or DataFrames go through an anti join planned by AQE.
@@ -199,7 +199,7 @@ def rule_segments(tx: DataFrame, p: Params = DEFAULT) -> DataFrame:
         F.countDistinct("user_send_currency").alias("currencies_used"),
         F.min("created_at").alias("first_tx"),
         F.max("created_at").alias("last_tx"),
-        F.round(F.avg("user_send_currency_usd"), 2).alias("avg_tx_size"))
+        avg_money("user_send_currency_usd").alias("avg_tx_size"))
     seg = (F.when(F.col("tx_count") <= p.rule_new_max, RULE_NEW)
            .when(F.col("tx_count") > p.rule_programmatic_min, RULE_PROGRAMMATIC)
            .when(F.col("chains_used") <= p.rule_beginner_max_chains, RULE_BEGINNER)

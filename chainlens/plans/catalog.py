@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chainlens.config import DEFAULT, Params
+from chainlens.operators import first_use as FU
+from chainlens.operators import loyalty as L
 from chainlens.operators import wallets as W
 from chainlens.sources import adapters as A
 
@@ -71,9 +73,67 @@ def _wallet_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
     }
 
 
+def _first_use_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
+    def fu(i: Inputs) -> DataFrame:
+        return FU.first_usage(i.tx, i.exclusions, p)
+
+    return {
+        "first_usage": fu,
+        "first_usage_summary": lambda i: FU.first_usage_summary(fu(i)),
+        "first_source_chains": lambda i: FU.first_top(fu(i), ["first_source_chain"], p.first_top_n),
+        "first_dest_chains": lambda i: FU.first_top(fu(i), ["first_dest_chain"], p.first_top_n),
+        "first_routes": lambda i: FU.first_top(fu(i), ["first_source_chain", "first_dest_chain"],
+                                               p.first_top_n),
+        "first_tx_types": lambda i: FU.first_tx_types(fu(i)),
+        "first_usage_preview": lambda i: FU.first_usage_preview(fu(i), p.preview_n),
+    }
+
+
+def usage(i: Inputs) -> DataFrame:
+    return L.competitor_usage(i.competitor_raw, i.p)
+
+
+def home(i: Inputs) -> DataFrame:
+    return L.home_route_usage(i.tx, i.exclusions, i.p)
+
+
+def overlap(i: Inputs) -> DataFrame:
+    return L.competitor_overlap(usage(i), home(i), i.exclusions)
+
+
+def loyalty_agg(i: Inputs) -> DataFrame:
+    return L.loyalty_aggregate(home(i), overlap(i))
+
+
+def loyalty_cls(i: Inputs) -> DataFrame:
+    return L.loyalty_class(loyalty_agg(i), i.p)
+
+
+def _loyalty_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
+    return {
+        "competitor_usage": usage,
+        "competitor_nulls": lambda i: L.null_counts(usage(i)),
+        "platform_records": lambda i: L.platform_records(usage(i)),
+        "home_route_usage": home,
+        "competitor_overlap": overlap,
+        "loyalty_aggregate": loyalty_agg,
+        "loyalty_summary": lambda i: L.loyalty_summary(loyalty_agg(i)),
+        "platform_source": lambda i: L.platform_chain(loyalty_agg(i), "source_chain"),
+        "platform_dest": lambda i: L.platform_chain(loyalty_agg(i), "destination_chain"),
+        "source_chain_coverage": lambda i: L.chain_coverage(loyalty_agg(i), "source_chain"),
+        "dest_chain_coverage": lambda i: L.chain_coverage(loyalty_agg(i), "destination_chain"),
+        "chain_names": lambda i: L.chain_names(loyalty_agg(i)),
+        "loyalty_preview": lambda i: L.loyalty_preview(loyalty_agg(i), p.preview_n),
+        "loyalty_class": loyalty_cls,
+        "loyalty_distribution": lambda i: L.class_distribution(loyalty_cls(i), "loyalty_type"),
+    }
+
+
 def builders(p: Params = DEFAULT) -> dict[str, Callable[[Inputs], DataFrame]]:
     out: dict[str, Callable[[Inputs], DataFrame]] = {}
     out.update(_wallet_queries(p))
+    out.update(_first_use_queries(p))
+    out.update(_loyalty_queries(p))
     return out
 
 
