@@ -10,10 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chainlens.config import DEFAULT, Params
+from chainlens.config import (BUSINESS_FEATURES, CLUSTER_FEATURES, DEFAULT, FEATURES_A, PERSONAS,
+                              Params)
+from chainlens.operators import features as FE
 from chainlens.operators import first_use as FU
 from chainlens.operators import loyalty as L
+from chainlens.operators import personas as P
+from chainlens.operators import reports as R
 from chainlens.operators import wallets as W
 from chainlens.sources import adapters as A
 
@@ -25,6 +31,12 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str, p: Params = DEFAULT):
         self.spark, self.sf_dir, self.p = spark, sf_dir, p
+        self._memo: dict = {}
+
+    def memo(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if key not in self._memo:
+            self._memo[key] = build()
+        return self._memo[key]
 
     @property
     def tx(self) -> DataFrame:
@@ -129,11 +141,88 @@ def _loyalty_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
     }
 
 
+def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
+    """Round every double column (derived statistics carry last-bit noise)."""
+    return df.select(*[F.round(F.col(f.name), places).alias(f.name)
+                       if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+                       for f in df.schema.fields])
+
+
+def features_a(i: Inputs) -> DataFrame:
+    return W.wallet_features(i.tx, i.exclusions, "A", i.p)
+
+
+def features_b(i: Inputs) -> DataFrame:
+    return W.wallet_features(i.tx, i.exclusions, "B", i.p)
+
+
+def features_b_table(i: Inputs) -> DataFrame:
+    """Variant B features, materialized once per query (model input)."""
+    return i.memo("features_b", lambda: P.materialize(features_b(i)))
+
+
+def assigned(i: Inputs) -> DataFrame:
+    return i.memo("assigned", lambda: P.materialize(P.assign_fixed(features_b_table(i), i.p)))
+
+
+def persona_tbl(i: Inputs) -> DataFrame:
+    return P.persona_table(features_b_table(i), assigned(i))
+
+
+def final_tbl(i: Inputs) -> DataFrame:
+    return P.loyalty_persona(persona_tbl(i), loyalty_cls(i))
+
+
+def _feature_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
+    return {
+        "feature_summary": lambda i: FE.feature_summary(features_a(i), FEATURES_A),
+        "features_log1p": lambda i: round_doubles(FE.log1p_features(features_a(i))),
+        "log_ranges": lambda i: round_doubles(FE.log_ranges(features_a(i))),
+        "features_log10": lambda i: round_doubles(FE.log10_features(features_b(i))),
+        "features_scaled": lambda i: round_doubles(P.scaled_inputs(features_b_table(i))),
+        "feature_correlation": lambda i: round_doubles(
+            FE.correlation_long(P.scaled_inputs(features_b_table(i)), CLUSTER_FEATURES)),
+        "volume_segments": lambda i: FE.volume_segments(features_a(i)).select(
+            "wallet", "total_send_usd", "business_segment"),
+    }
+
+
+def _persona_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
+    lt = [p.home_only_label, "multi-platform"]
+    return {
+        "assign_fixed_centroids": lambda i: round_doubles(assigned(i), 4),
+        "cluster_sizes": lambda i: P.cluster_sizes(assigned(i)),
+        "cluster_centroids": lambda i: round_doubles(
+            P.cluster_centroids(P.with_personas(assigned(i)), ("cluster_id", "persona"))),
+        "cluster_profiles": lambda i: P.cluster_profiles(persona_tbl(i)),
+        "persona_labels": lambda i: round_doubles(P.persona_labels(assigned(i))),
+        "segment_cluster_crosstab": lambda i: R.segment_cluster_crosstab(persona_tbl(i), len(p.centroids)),
+        "loyalty_persona": lambda i: round_doubles(final_tbl(i), 4),
+        "persona_loyalty_crosstab": lambda i: R.crosstab(final_tbl(i), "persona", "loyalty_type", lt),
+        "persona_loyalty_pct": lambda i: R.normalized_crosstab(final_tbl(i), "persona", "loyalty_type", lt),
+        "loyalty_persona_pct": lambda i: R.normalized_crosstab(final_tbl(i), "loyalty_type", "persona",
+                                                               PERSONAS),
+        "loyalty_volume": lambda i: R.loyalty_volume(final_tbl(i)),
+        "persona_summary": lambda i: R.persona_summary(final_tbl(i)),
+        "persona_profile": lambda i: R.persona_profile(final_tbl(i)),
+        "persona_characteristics": lambda i: R.persona_characteristics(final_tbl(i)),
+        "loyalty_profile": lambda i: R.loyalty_profile(final_tbl(i)),
+        "persona_loyalty_table": lambda i: R.persona_loyalty_table(final_tbl(i)),
+        "marginal_effects": lambda i: R.marginal_effects(final_tbl(i), p),
+        "crosstab_long": lambda i: R.crosstab_long(
+            R.crosstab(final_tbl(i), "persona", "loyalty_type", lt), "persona", lt, "loyalty_type"),
+        "loyalty_table_ordered": lambda i: R.loyalty_table_ordered(R.persona_loyalty_table(final_tbl(i)), p),
+        "persona_distribution": lambda i: R.persona_distribution(final_tbl(i)),
+    }
+
+
 def builders(p: Params = DEFAULT) -> dict[str, Callable[[Inputs], DataFrame]]:
     out: dict[str, Callable[[Inputs], DataFrame]] = {}
     out.update(_wallet_queries(p))
     out.update(_first_use_queries(p))
     out.update(_loyalty_queries(p))
+    out.update(_feature_queries(p))
+    out.update(_persona_queries(p))
     return out
 
 
