@@ -219,6 +219,8 @@ class Params:
     loadings: tuple = tuple(tuple(r) for r in PUBLISHED_LOADINGS)
     #: distinct-count strategy for the wallet features: "exact" or "set"
     distinct_mode: str = "set"
+    #: stage the adapter output once per session as a Parquet table
+    stage_inputs: bool = True
     extra: dict = field(default_factory=dict)
 
     @property

@@ -22,6 +22,7 @@ from chainlens.operators import personas as P
 from chainlens.operators import reports as R
 from chainlens.operators import wallets as W
 from chainlens.sources import adapters as A
+from chainlens.sources import tables as T_
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -38,9 +39,23 @@ class Inputs:
             self._memo[key] = build()
         return self._memo[key]
 
+    def _staged(self, name: str, build: Callable[[], DataFrame], tables: list[str]) -> DataFrame:
+        """The adapter output staged once per session as a balanced Parquet
+        table (the ingest step of the pipeline); the raw adapter plan when
+        no checkpoint folder can be used."""
+        if not self.p.stage_inputs:
+            return build()
+        try:
+            srcs = [f"{self.sf_dir.rstrip('/')}/{t}.parquet" for t in tables]
+            return T_.staged(self.spark, name, build, srcs)
+        except RuntimeError:
+            return build()
+
     @property
     def tx(self) -> DataFrame:
-        return A.transactions(self.spark, self.sf_dir)
+        return self.memo("tx", lambda: self._staged(
+            "transactions", lambda: A.transactions(self.spark, self.sf_dir),
+            ["lineitem", "orders", "part", "supplier"]))
 
     @property
     def exclusions(self):
@@ -48,7 +63,8 @@ class Inputs:
 
     @property
     def competitor_raw(self) -> DataFrame:
-        return A.competitor_raw(self.spark, self.sf_dir)
+        return self.memo("competitor_raw", lambda: self._staged(
+            "competitor_raw", lambda: A.competitor_raw(self.spark, self.sf_dir), ["events"]))
 
 
 def _q(build: Callable[[Inputs], DataFrame], p: Params = DEFAULT) -> QueryFn:
