@@ -215,6 +215,7 @@ class Params:
     kmeans_restarts: int = 10
     kmeans_seed: int = 42
     kmeans_max_iter: int = 100
+    sweep_restarts: int = 1
     centroids: tuple = tuple(DRIVER_CENTROIDS)
     loadings: tuple = tuple(tuple(r) for r in PUBLISHED_LOADINGS)
     #: distinct-count strategy for the wallet features: "exact" or "set"

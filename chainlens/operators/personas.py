@@ -257,3 +257,29 @@ def cluster_sample(table: DataFrame, n: int, seed: int = 42, bound: float = 10.0
     return (f.select("cluster_id", "persona", "wallet_", "PC1", "PC2", "PC3")
             .withColumn("sample_rank", F.row_number().over(w))
             .where(F.col("sample_rank") <= n))
+
+
+# ---------------------------------------------------------------------------
+# Fitted pipeline
+# ---------------------------------------------------------------------------
+
+
+def fitted_model(features_b: DataFrame, p: Params = DEFAULT, pca_k: int | None = None,
+                 cluster_dims: int = 3):
+    """Fit PCA on the standardized variant-B inputs, then k-means (best of
+    ``kmeans_restarts``) on the first ``cluster_dims`` scores.
+
+    Returns (scores, components, variance ratios, centroids) where
+    ``scores`` is the lazy wallet x PC table; centroids are relabelled by
+    descending PC1 so cluster ids are stable across runs."""
+    scaled = scaled_inputs(features_b)
+    comps, ratios = fit_pca(scaled, CLUSTER_FEATURES, pca_k or p.n_components)
+    scores = project(scaled, CLUSTER_FEATURES, comps)
+    dims = [f"PC{i + 1}" for i in range(cluster_dims)]
+    centroids, _ = fit_kmeans(scores, dims, p.k, p.kmeans_seed, p.kmeans_restarts, p.kmeans_max_iter)
+    return scores, comps, ratios, order_centroids(centroids)
+
+
+def assign_fitted(features_b: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    scores, _, _, centroids = fitted_model(features_b, p)
+    return nearest_centroid(scores, centroids)

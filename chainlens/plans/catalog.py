@@ -203,6 +203,41 @@ def _feature_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
     }
 
 
+def _fitted_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
+    """Spark ML fits: rows-only checks (cluster ids and signs are model
+    choices), covered by invariant tests."""
+    def fit_pca(i: Inputs):
+        return i.memo("pca", lambda: P.fit_pca(P.scaled_inputs(features_b_table(i)),
+                                               CLUSTER_FEATURES, p.n_components))
+
+    def scores(i: Inputs) -> DataFrame:
+        comps, _ = fit_pca(i)
+        return P.project(P.scaled_inputs(features_b_table(i)), CLUSTER_FEATURES, comps)
+
+    def kmeans_assign(i: Inputs) -> DataFrame:
+        sc = P.materialize(scores(i), "pca_scores")
+        cen, _ = P.fit_kmeans(sc, ["PC1", "PC2", "PC3"], p.k, p.kmeans_seed, p.kmeans_restarts,
+                              p.kmeans_max_iter)
+        a = P.nearest_centroid(sc, P.order_centroids(cen))
+        return round_doubles(P.with_personas(a))
+
+    def sweep(i: Inputs) -> DataFrame:
+        sc = P.materialize(scores(i), "pca_scores")
+        rows = P.kmeans_sweep(sc, ["PC1", "PC2", "PC3"], range(p.k_min, p.k_max + 1),
+                              p.kmeans_seed, p.sweep_restarts, p.kmeans_max_iter)
+        return i.spark.createDataFrame([(k, float(c)) for k, c in rows], "k int, inertia double")
+
+    return {
+        "pca_variance": lambda i: P.pca_variance(fit_pca(i)[1], i.spark),
+        "pca_loadings": lambda i: P.loadings_report(fit_pca(i)[0], CLUSTER_FEATURES, i.spark),
+        "pca_scores": lambda i: round_doubles(scores(i)),
+        "kmeans_sweep": sweep,
+        "kmeans_assign": kmeans_assign,
+        "cluster_sample": lambda i: round_doubles(P.cluster_sample(final_tbl(i), p.sample_per_cluster,
+                                                                   p.sample_seed, p.sample_abs_bound)),
+    }
+
+
 def _persona_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
     lt = [p.home_only_label, "multi-platform"]
     return {
@@ -239,6 +274,7 @@ def builders(p: Params = DEFAULT) -> dict[str, Callable[[Inputs], DataFrame]]:
     out.update(_loyalty_queries(p))
     out.update(_feature_queries(p))
     out.update(_persona_queries(p))
+    out.update(_fitted_queries(p))
     return out
 
 
