@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from chainlens.config import (BUSINESS_FEATURES, CLUSTER_FEATURES, DEFAULT, FEATURES_A, PERSONAS,
                               Params)
+from chainlens.operators import extras as X
 from chainlens.operators import features as FE
 from chainlens.operators import first_use as FU
 from chainlens.operators import loyalty as L
@@ -267,6 +268,17 @@ def _persona_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
     }
 
 
+def _extra_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
+    return {
+        "usd_spread": lambda i: X.usd_spread(features_a(i)),
+        "vwa_size": lambda i: X.vwa_size(final_tbl(i)),
+        "dest_overlap": lambda i: X.dest_overlap(loyalty_agg(i), p),
+        "unserved_routes": lambda i: X.unserved_routes(loyalty_agg(i), p),
+        "route_share": lambda i: X.route_share(loyalty_agg(i), p),
+        "return_routes": lambda i: X.return_routes(i.tx, i.exclusions, p),
+    }
+
+
 def builders(p: Params = DEFAULT) -> dict[str, Callable[[Inputs], DataFrame]]:
     out: dict[str, Callable[[Inputs], DataFrame]] = {}
     out.update(_wallet_queries(p))
@@ -275,6 +287,7 @@ def builders(p: Params = DEFAULT) -> dict[str, Callable[[Inputs], DataFrame]]:
     out.update(_feature_queries(p))
     out.update(_persona_queries(p))
     out.update(_fitted_queries(p))
+    out.update(_extra_queries(p))
     return out
 
 
