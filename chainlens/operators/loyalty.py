@@ -152,10 +152,12 @@ def loyalty_preview(agg: DataFrame, n: int = 10) -> DataFrame:
 def loyalty_class(agg: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """One platform -> '<home>-only', otherwise multi-platform (T24: the USD
     total spans all platforms)."""
+    # platforms and chains per wallet are few: size(collect_set) counts them
+    # in one shuffle (countDistinct would plan an Expand and a second one)
     g = agg.groupBy("wallet_").agg(
-        F.countDistinct("platform_").alias("n_platforms"),
-        F.countDistinct("source_chain").alias("n_source_chains"),
-        F.countDistinct("destination_chain").alias("n_dest_chains"),
+        F.size(F.collect_set("platform_")).cast("bigint").alias("n_platforms"),
+        F.size(F.collect_set("source_chain")).cast("bigint").alias("n_source_chains"),
+        F.size(F.collect_set("destination_chain")).cast("bigint").alias("n_dest_chains"),
         money_sum("amount_usd").alias("total_amount_usd"),
         F.sum("tx_count").cast("bigint").alias("total_tx_count"))
     lt = F.when(F.col("n_platforms") == 1, p.home_only_label).otherwise(LOYALTY_MULTI)

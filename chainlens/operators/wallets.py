@@ -214,30 +214,36 @@ def segment_distribution(segments: DataFrame, col: str = "user_segment") -> Data
 
 def heavy_wallet_chains(tx: DataFrame, min_tx: int, k: int = 3) -> DataFrame:
     """Wallets with more than ``min_tx`` rows; their top-k origin and
-    destination chains side by side, one row per wallet x rank.
-
-    One scan aggregates to (wallet, origin, destination) grain; totals and
-    both rankings are rolled up from that small table (Spark reuses the
-    exchange), so the raw rows are shuffled once, after partial aggregation.
-    The rank rows come from ``explode(sequence(1, k))`` per wallet, not from
-    a cross join."""
-    pairs = (tx.groupBy("wallet", "origin_chain_name", "destination_chain_name")
-             .agg(F.count(F.lit(1)).alias("n")))
-    totals = (pairs.groupBy("wallet").agg(F.sum("n").alias("total_tx"))
-              .where(F.col("total_tx") > min_tx))
-    heavy = pairs.join(totals.select("wallet"), "wallet", "left_semi")
-
-    def ranked(chain: str, name: str, cnt: str, rank: str) -> DataFrame:
-        g = heavy.groupBy("wallet", chain).agg(F.sum("n").alias(cnt))
-        w = Window.partitionBy("wallet").orderBy(F.desc(cnt), F.asc_nulls_first(chain))
-        return (g.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
-                .withColumnRenamed(chain, name))
-
-    src = ranked("origin_chain_name", "source", "source_count", "source_rank")
-    dst = ranked("destination_chain_name", "dest", "dest_count", "dest_rank")
-    grid = totals.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    out = (grid.join(src.withColumnRenamed("source_rank", "rank"), ["wallet", "rank"], "left")
-           .join(dst.withColumnRenamed("dest_rank", "rank"), ["wallet", "rank"], "left"))
+    destination chains side by side, one row per wallet x rank (NULL when a
+    wallet has fewer than k chains).
+
+    One scan: a GROUPING SETS aggregate gives (wallet, origin), (wallet,
+    destination) and (wallet) counts in one shuffle, after partial
+    aggregation.  Everything after works inside the wallet partitioning of
+    the next exchange (a few dozen rows per wallet): the wallet total by a
+    window, the ranks by ``row_number`` (per wallet and kind), the rank grid
+    by ``explode(sequence(1, k))`` and the side-by-side row by a group on
+    (wallet, rank).  No join, no cross join."""
+    g = (tx.groupingSets([["wallet", "origin_chain_name"], ["wallet", "destination_chain_name"], ["wallet"]],
+                         "wallet", "origin_chain_name", "destination_chain_name")
+         .agg(F.count(F.lit(1)).alias("n"),
+              F.grouping_id().alias("kind")))
+    # kind: 1 = origin row, 2 = destination row, 3 = wallet total
+    chain = F.when(F.col("kind") == 1, F.col("origin_chain_name")).otherwise(F.col("destination_chain_name"))
+    by_wallet = Window.partitionBy("wallet")
+    g = (g.select("wallet", "kind", chain.alias("chain"), "n")
+         .withColumn("total_tx", F.max(F.when(F.col("kind") == 3, F.col("n"))).over(by_wallet))
+         .where(F.col("total_tx") > min_tx))
+    rk = F.row_number().over(Window.partitionBy("wallet", "kind").orderBy(F.desc("n"), F.asc_nulls_first("chain")))
+    g = g.withColumn("rank", F.when(F.col("kind") == 3, F.lit(0)).otherwise(rk)).where(F.col("rank") <= k)
+    g = g.withColumn("rank", F.explode(F.when(F.col("kind") == 3, F.sequence(F.lit(1), F.lit(k)))
+                                       .otherwise(F.array(F.col("rank")))))
+    out = g.groupBy("wallet", "rank").agg(
+        F.max("total_tx").alias("total_tx"),
+        F.max(F.when(F.col("kind") == 1, F.col("chain"))).alias("source"),
+        F.max(F.when(F.col("kind") == 1, F.col("n"))).alias("source_count"),
+        F.max(F.when(F.col("kind") == 2, F.col("chain"))).alias("dest"),
+        F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("dest_count"))
     return out.select(
         "wallet", F.col("total_tx").cast("bigint").alias("total_tx"),
         F.col("rank").alias("source_rank"), "source",
