@@ -173,13 +173,21 @@ def features_b(i: Inputs) -> DataFrame:
     return W.wallet_features(i.tx, i.exclusions, "B", i.p)
 
 
+def _model_table(i: Inputs, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Wallet-grain model tables (features, assignments, final persona x
+    loyalty table) are written once per session and inputs, like the
+    stored tables the report stages read."""
+    key = f"{name}-{abs(hash(repr(i.p))):x}"
+    return i.memo(name, lambda: i._staged(key, build, ["lineitem", "orders", "part", "supplier", "events"]))
+
+
 def features_b_table(i: Inputs) -> DataFrame:
-    """Variant B features, materialized once per query (model input)."""
-    return i.memo("features_b", lambda: P.materialize(features_b(i)))
+    """Variant B features, materialized (model input)."""
+    return _model_table(i, "features_b", lambda: features_b(i))
 
 
 def assigned(i: Inputs) -> DataFrame:
-    return i.memo("assigned", lambda: P.materialize(P.assign_fixed(features_b_table(i), i.p)))
+    return _model_table(i, "assigned", lambda: P.assign_fixed(features_b_table(i), i.p))
 
 
 def persona_tbl(i: Inputs) -> DataFrame:
@@ -187,7 +195,8 @@ def persona_tbl(i: Inputs) -> DataFrame:
 
 
 def final_tbl(i: Inputs) -> DataFrame:
-    return P.loyalty_persona(persona_tbl(i), loyalty_cls(i))
+    return _model_table(i, "loyalty_persona_final",
+                        lambda: P.loyalty_persona(persona_tbl(i), loyalty_cls(i)))
 
 
 def _feature_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:

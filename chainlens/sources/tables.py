@@ -52,6 +52,11 @@ def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame],
     return spark.read.parquet(path)
 
 
+def forget_staged() -> None:
+    """Drop the per-session registry of staged tables (next use rebuilds)."""
+    _STAGED.clear()
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",
                 partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
     """Replace (``overwrite``) or extend (``append``) a table in one
