@@ -90,9 +90,28 @@ class Ingested:
     skipped: list[str]       # files whose column set does not match
 
 
+# Spellings read as boolean true / false (case-insensitive).
+TRUE_WORDS = ["true", "t", "1", "yes", "y"]
+FALSE_WORDS = ["false", "f", "0", "no", "n"]
+
+
+def parse_bool(c) -> F.Column:
+    """Text -> boolean; unknown spellings -> NULL."""
+    v = F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
+    return F.when(v.isin(TRUE_WORDS), F.lit(True)).when(v.isin(FALSE_WORDS), F.lit(False))
+
+
+def _typed(schema: T.StructType) -> list[F.Column]:
+    """Canonical projection; boolean columns are read as text and parsed
+    here (the CSV reader only knows 'true' / 'false')."""
+    return [parse_bool(f.name).alias(f.name) if isinstance(f.dataType, T.BooleanType)
+            else F.col(f.name) for f in schema.fields]
+
+
 def _group_schema(columns: Sequence[str], schema: T.StructType) -> T.StructType:
     by_name = {f.name: f for f in schema.fields}
-    fields = [T.StructField(c, by_name[c].dataType, True) for c in columns]
+    fields = [T.StructField(c, T.StringType() if isinstance(by_name[c].dataType, T.BooleanType)
+                            else by_name[c].dataType, True) for c in columns]
     fields += [T.StructField(EXTRA_COL, T.StringType(), True)]
     return T.StructType(fields)
 
@@ -126,7 +145,7 @@ def read_transactions(spark: SparkSession, paths: str | Sequence[str],
             reader = reader.option("timestampFormat", timestamp_format)
         df = reader.csv(files).withColumn("file_path", F.col("_metadata.file_path"))
         bad = F.col(EXTRA_COL).isNotNull()
-        data_parts.append(df.where(~bad).select(*expected))
+        data_parts.append(df.where(~bad).select(*_typed(schema)))
         bad_parts.append(df.where(bad).select(
             "file_path", F.concat_ws(",", *[F.col(c).cast("string") for c in cols],
                                      F.col(EXTRA_COL)).alias("line")))

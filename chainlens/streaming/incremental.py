@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chainlens.config import TRANSACTION_SCHEMA
-from chainlens.sources.csv_ingest import EXTRA_COL, _group_schema
+from chainlens.sources.csv_ingest import EXTRA_COL, _group_schema, _typed
 
 
 def start_ingest(spark: SparkSession, in_dir: str, table_path: str, quarantine_path: str,
@@ -39,7 +39,7 @@ def start_ingest(spark: SparkSession, in_dir: str, table_path: str, quarantine_p
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.csv(in_dir)
-    good = (src.where(F.col(EXTRA_COL).isNull()).select(*expected)
+    good = (src.where(F.col(EXTRA_COL).isNull()).select(*_typed(TRANSACTION_SCHEMA))
             .withColumn("month", F.date_format("created_at", "yyyy-MM")))
     bad = src.where(F.col(EXTRA_COL).isNotNull()).select(
         F.col("_metadata.file_path").alias("file_path"),

@@ -62,6 +62,15 @@ def test_read_transactions(spark, tmp_dir):
     short = data.where(F.col("deposit_tx_hash").isNull()).collect()
     assert len(short) == 1 and short[0].wallet == "w1" and short[0].user_send_currency is None
     assert data.count() == 3 + 2 + 2 + 2 + 1
+    assert dict(data.schema.fields[3].jsonValue())["type"] == "boolean"
+
+
+def test_boolean_spellings(spark, tmp_dir):
+    rows = [dict(row(i), is_call=v) for i, v in enumerate(["1", "0", "TRUE", "no", "maybe"])]
+    write_csv(f"{tmp_dir}/bools.csv", COLS, rows)
+    data = CI.read_transactions(spark, f"{tmp_dir}/bools.csv").data
+    got = [r.is_call for r in data.orderBy("deposit_tx_hash").collect()]
+    assert got == [True, False, True, False, None]
 
 
 def test_schema_drift_report(spark, tmp_dir):
