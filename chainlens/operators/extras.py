@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chainlens.config import DEFAULT, Params
 from chainlens.functions.exprs import money_sum, ratio_or_zero
+from chainlens.functions.quantiles import exact_quantiles_wide
 from chainlens.operators.wallets import exclude_wallets, in_window
 
 
@@ -21,11 +22,12 @@ def usd_spread(features_a: DataFrame) -> DataFrame:
     """Send vs receive USD over wallet totals: means, medians, and the
     volume-weighted spread in percent."""
     s, r = F.col("total_send_usd"), F.col("total_receive_usd")
+    med = exact_quantiles_wide(features_a, [], ["total_send_usd", "total_receive_usd"], [0.5])
     return features_a.agg(
         F.round(F.avg(s), 2).alias("mean_send_usd"),
         F.round(F.avg(r), 2).alias("mean_receive_usd"),
-        F.round(F.percentile(s, 0.5), 2).alias("median_send_usd"),
-        F.round(F.percentile(r, 0.5), 2).alias("median_receive_usd"),
+        F.round(med.select("total_send_usd_q0").scalar(), 2).alias("median_send_usd"),
+        F.round(med.select("total_receive_usd_q0").scalar(), 2).alias("median_receive_usd"),
         F.round((F.sum(s) - F.sum(r)) * 100.0 / F.sum(s), 4).alias("weighted_spread_pct"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from chainlens.config import (BUSINESS_FEATURES, CLUSTER_FEATURES, LOG_FEATURES, SEGMENT_REST,
                               SEGMENT_TOP1, SEGMENT_TOP10)
 from chainlens.functions.exprs import log1p_filled
+from chainlens.functions.quantiles import exact_quantiles
 
 SUMMARY_QUANTILES = [0.25, 0.5, 0.75, 0.9, 0.99]
 
@@ -24,32 +25,33 @@ def feature_summary(df: DataFrame, cols: list[str], exact: bool = True,
     """Per column: count, mean, median, q1, q3, iqr, p90, p99, min, max and
     sample std, one row per column.
 
-    All columns are summarized by ONE global aggregate (partial per task,
-    merged once) and the single result row is turned long with ``stack``.
-    ``exact=True`` uses ``percentile`` (linear interpolation, like pandas);
-    it keeps a value->count map per column, fine for count features and
-    millions of wallets.  ``exact=False`` switches to ``percentile_approx``
-    with bounded memory for billions of wallets."""
+    Moments come from ONE global aggregate (partial per task, merged once)
+    whose single row is turned long with ``stack``.  Quantiles are exact
+    (linear interpolation, like pandas) with bounded memory
+    (``functions.quantiles``); ``exact=False`` uses ``percentile_approx``."""
     aggs: list[Column] = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        q = (F.percentile(x, SUMMARY_QUANTILES) if exact
-             else F.percentile_approx(x, SUMMARY_QUANTILES, accuracy).cast("array<double>"))
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), q.alias(f"q{i}"),
-                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                 F.stddev_samp(x).alias(f"sd{i}")]
-    one = df.agg(*aggs)
-    rows = ", ".join(
-        f"'{c}', n{i}, mean{i}, q{i}[1], q{i}[0], q{i}[2], q{i}[3], q{i}[4], min{i}, max{i}, sd{i}"
-        for i, c in enumerate(cols))
-    long = one.selectExpr(
-        f"stack({len(cols)}, {rows}) AS (column, count, mean, median, q1, q3, p90, p99, min, max, sd)")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
+                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.stddev_samp(x).alias(f"sd{i}")]
+    rows = ", ".join(f"'{c}', n{i}, mean{i}, min{i}, max{i}, sd{i}" for i, c in enumerate(cols))
+    moments = df.agg(*aggs).selectExpr(f"stack({len(cols)}, {rows}) AS (column, count, mean, min, max, sd)")
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("cv")
+    ).select("cv.column", "cv.value")
+    if exact:
+        q = exact_quantiles(long, ["column"], "value", SUMMARY_QUANTILES, "q")
+    else:
+        q = long.groupBy("column").agg(
+            F.percentile_approx("value", SUMMARY_QUANTILES, accuracy).alias("qa")).select(
+            "column", *[F.col("qa")[i].cast("double").alias(f"q{i}") for i in range(len(SUMMARY_QUANTILES))])
+    j = moments.join(q, "column")   # 2 x len(cols) rows
     r = lambda c: F.round(F.col(c), 2)
-    return long.select(
+    return j.select(
         "column", F.col("count").cast("bigint").alias("count"), r("mean").alias("mean"),
-        r("median").alias("median"), r("q1").alias("q1"), r("q3").alias("q3"),
-        F.round(F.col("q3") - F.col("q1"), 2).alias("iqr"), r("p90").alias("p90"),
-        r("p99").alias("p99"), F.col("min").alias("min"), F.col("max").alias("max"),
+        r("q1").alias("median"), r("q0").alias("q1"), r("q2").alias("q3"),
+        F.round(F.col("q2") - F.col("q0"), 2).alias("iqr"), r("q3").alias("p90"),
+        r("q4").alias("p99"), F.col("min").alias("min"), F.col("max").alias("max"),
         r("sd").alias("std_dev"))
 
 
@@ -101,10 +103,11 @@ def correlation_long(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def volume_segments(features: DataFrame, col: str = "total_send_usd") -> DataFrame:
-    """>= P99 -> top 1%, >= P90 -> top 10%, else the rest (percentiles with
-    linear interpolation, computed once as a scalar subquery)."""
-    q = features.select(F.percentile(F.col(col).cast("double"), [0.9, 0.99]).alias("q")).scalar()
-    seg = (F.when(F.col(col) >= q[1], SEGMENT_TOP1)
-           .when(F.col(col) >= q[0], SEGMENT_TOP10)
+    """>= P99 -> top 1%, >= P90 -> top 10%, else the rest (exact percentiles
+    with linear interpolation, inlined as scalar subqueries)."""
+    q = exact_quantiles(features, [], col, [0.9, 0.99], "q")
+    p90, p99 = q.select("q0").scalar(), q.select("q1").scalar()
+    seg = (F.when(F.col(col) >= p99, SEGMENT_TOP1)
+           .when(F.col(col) >= p90, SEGMENT_TOP10)
            .otherwise(SEGMENT_REST))
     return features.withColumn("business_segment", seg)

@@ -24,13 +24,19 @@ from pyspark.sql import functions as F
 
 from chainlens.config import (BUSINESS_FEATURES, CLUSTER_FEATURES, DEFAULT, PERSONA_OTHER,
                               PERSONA_POSITIVE, PERSONA_TOP, Params)
-from chainlens.functions.exprs import share_of_total
+from chainlens.functions.exprs import avg_money, share_of_total
+from chainlens.functions.quantiles import exact_quantiles_wide
 from chainlens.operators.features import log10_features, standardize
 from chainlens.session import ensure_checkpoint_dir
 
 PC_COLS = [f"PC{i + 1}" for i in range(5)]
 
 
+def mean2(c: str):
+    """Mean rounded to 2 dp; exact (decimal) for the USD column."""
+    return avg_money(c) if c == "total_send_usd" else F.round(F.avg(c), 2)
+
+
 # ---------------------------------------------------------------------------
 # Scores
 # ---------------------------------------------------------------------------
@@ -226,12 +232,15 @@ def persona_table(features_b: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def cluster_profiles(table: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Mean and median of the business features per cluster, 2 dp."""
-    aggs = []
+    """Mean and median of the business features per cluster, 2 dp (exact
+    medians with bounded memory per cluster)."""
+    means = table.groupBy(key).agg(*[mean2(c).alias(f"{c}_mean") for c in BUSINESS_FEATURES])
+    med = exact_quantiles_wide(table, [key], BUSINESS_FEATURES, [0.5])
+    out = means.join(med, key)
+    cols = []
     for c in BUSINESS_FEATURES:
-        aggs += [F.round(F.avg(c), 2).alias(f"{c}_mean"),
-                 F.round(F.percentile(F.col(c).cast("double"), 0.5), 2).alias(f"{c}_median")]
-    return table.groupBy(key).agg(*aggs)
+        cols += [F.col(f"{c}_mean"), F.round(F.col(f"{c}_q0"), 2).alias(f"{c}_median")]
+    return out.select(key, *cols)
 
 
 FINAL_COLUMNS = (["wallet_", "persona", "cluster_id", "loyalty_type", "n_platforms",

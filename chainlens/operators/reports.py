@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from chainlens.config import (BUSINESS_FEATURES, DEFAULT, DISPLAY_NAMES, LOYALTY_METRICS,
                               LOYALTY_MULTI, PERSONAS, REPORT_FEATURES, Params)
 from chainlens.functions.exprs import avg_money, format_usd, parse_usd, ratio_or_zero, share_of_total
+from chainlens.functions.quantiles import exact_quantiles_wide
 
 ALL = "All"
 #: Columns holding USD: their means come from exact decimal sums.
@@ -74,15 +75,19 @@ def loyalty_volume(t: DataFrame) -> DataFrame:
 
 def persona_summary(t: DataFrame) -> DataFrame:
     r = lambda e: F.round(e, 2)
-    return t.groupBy("persona").agg(
+    g = t.groupBy("persona").agg(
         F.count("wallet_").alias("wallets"),
         r(F.avg(F.when(F.col("loyalty_type") == LOYALTY_MULTI, 1.0).otherwise(0.0)) * 100).alias("multi_platform_pct"),
         mean2("total_amount_usd").alias("mean_amount_usd"),
-        r(F.percentile("total_amount_usd", 0.5)).alias("median_amount_usd"),
         r(F.avg("total_tx_count")).alias("mean_tx_count"),
-        r(F.percentile(F.col("total_tx_count").cast("double"), 0.5)).alias("median_tx_count"),
         r(F.avg("n_platforms")).alias("mean_platforms"),
         *[mean2(c).alias(f"{c}_mean") for c in BUSINESS_FEATURES])
+    med = exact_quantiles_wide(t, ["persona"], ["total_amount_usd", "total_tx_count"], [0.5])
+    j = g.join(med, "persona")
+    return j.select("persona", "wallets", "multi_platform_pct", "mean_amount_usd",
+                    r(F.col("total_amount_usd_q0")).alias("median_amount_usd"), "mean_tx_count",
+                    r(F.col("total_tx_count_q0")).alias("median_tx_count"), "mean_platforms",
+                    *[f"{c}_mean" for c in BUSINESS_FEATURES])
 
 
 def persona_profile(t: DataFrame, key: str = "persona") -> DataFrame:
@@ -117,14 +122,19 @@ def persona_loyalty_table(t: DataFrame) -> DataFrame:
 
 def loyalty_profile(t: DataFrame, metrics: Sequence[str] = LOYALTY_METRICS) -> DataFrame:
     """mean / median / sample std of each metric per loyalty type, flattened
-    ``{metric}_{stat}`` names, 2 dp."""
+    ``{metric}_{stat}`` names, 2 dp (exact medians, bounded memory)."""
+    t = t.where(F.col("loyalty_type").isNotNull())
     aggs = []
     for c in metrics:
-        x = F.col(c).cast("double")
         aggs += [mean2(c).alias(f"{c}_mean"),
-                 F.round(F.percentile(x, 0.5), 2).alias(f"{c}_median"),
-                 F.round(F.stddev_samp(x), 2).alias(f"{c}_std")]
-    return t.where(F.col("loyalty_type").isNotNull()).groupBy("loyalty_type").agg(*aggs)
+                 F.round(F.stddev_samp(F.col(c).cast("double")), 2).alias(f"{c}_std")]
+    g = t.groupBy("loyalty_type").agg(*aggs)
+    med = exact_quantiles_wide(t, ["loyalty_type"], list(metrics), [0.5])
+    j = g.join(med, "loyalty_type")
+    cols = []
+    for c in metrics:
+        cols += [F.col(f"{c}_mean"), F.round(F.col(f"{c}_q0"), 2).alias(f"{c}_median"), F.col(f"{c}_std")]
+    return j.select("loyalty_type", *cols)
 
 
 def marginal_effects(t: DataFrame, p: Params = DEFAULT, personas: Sequence[str] = PERSONAS) -> DataFrame:
