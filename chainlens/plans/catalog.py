@@ -181,6 +181,11 @@ def _model_table(i: Inputs, name: str, build: Callable[[], DataFrame]) -> DataFr
     return i.memo(name, lambda: i._staged(key, build, ["lineitem", "orders", "part", "supplier", "events"]))
 
 
+def features_a_table(i: Inputs) -> DataFrame:
+    """Variant A features, materialized (read by summaries and transforms)."""
+    return _model_table(i, "features_a", lambda: features_a(i))
+
+
 def features_b_table(i: Inputs) -> DataFrame:
     """Variant B features, materialized (model input)."""
     return _model_table(i, "features_b", lambda: features_b(i))
@@ -201,14 +206,14 @@ def final_tbl(i: Inputs) -> DataFrame:
 
 def _feature_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
     return {
-        "feature_summary": lambda i: FE.feature_summary(features_a(i), FEATURES_A),
-        "features_log1p": lambda i: round_doubles(FE.log1p_features(features_a(i))),
-        "log_ranges": lambda i: round_doubles(FE.log_ranges(features_a(i))),
+        "feature_summary": lambda i: FE.feature_summary(features_a_table(i), FEATURES_A),
+        "features_log1p": lambda i: round_doubles(FE.log1p_features(features_a_table(i))),
+        "log_ranges": lambda i: round_doubles(FE.log_ranges(features_a_table(i))),
         "features_log10": lambda i: round_doubles(FE.log10_features(features_b(i))),
         "features_scaled": lambda i: round_doubles(P.scaled_inputs(features_b_table(i))),
         "feature_correlation": lambda i: round_doubles(
             FE.correlation_long(P.scaled_inputs(features_b_table(i)), CLUSTER_FEATURES)),
-        "volume_segments": lambda i: FE.volume_segments(features_a(i)).select(
+        "volume_segments": lambda i: FE.volume_segments(features_a_table(i)).select(
             "wallet", "total_send_usd", "business_segment"),
     }
 
@@ -279,7 +284,7 @@ def _persona_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
 
 def _extra_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
     return {
-        "usd_spread": lambda i: X.usd_spread(features_a(i)),
+        "usd_spread": lambda i: X.usd_spread(features_a_table(i)),
         "vwa_size": lambda i: X.vwa_size(final_tbl(i)),
         "dest_overlap": lambda i: X.dest_overlap(loyalty_agg(i), p),
         "unserved_routes": lambda i: X.unserved_routes(loyalty_agg(i), p),
