@@ -28,86 +28,71 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
                     prefix: str | None = None, accuracy: int = ACCURACY,
                     margin: int = MARGIN) -> DataFrame:
     """One row per group: ``keys`` + ``{prefix}{i}`` (double) for each prob.
-    Groups whose values are all NULL get NULL quantiles."""
+    Without keys: one row (global).  Groups whose values are all NULL get
+    NULL quantiles."""
     keys = list(keys)
     prefix = prefix if prefix is not None else f"{col}_q"
     eps = margin / accuracy
     k = len(probs)
-    gkeys = keys or [F.lit(0).alias("__g")]
-    knames = keys or ["__g"]
-    base = df.select(*gkeys, F.col(col).cast("double").alias("__x")).where(F.col("__x").isNotNull())
+    base = df.select(*keys, F.col(col).cast("double").alias("__x")).where(F.col("__x").isNotNull())
+
+    def attach(frame: DataFrame, small: DataFrame, names: list[str]) -> DataFrame:
+        """Group-grain values onto rows: equi-join on the keys (AQE
+        broadcasts the small side), or scalar subqueries for one group."""
+        if keys:
+            return frame.join(small.select(*keys, *names), keys)
+        return frame.select("*", *[small.select(c).scalar().alias(c) for c in names])
 
     lo_p = [max(p - eps, 0.0) for p in probs]
     hi_p = [min(p + eps, 1.0) for p in probs]
-    bounds = base.groupBy(*knames).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__x", lo_p + hi_p, accuracy).alias("__b"))
-    # band edges per prob: the approximate quantiles, opened to -inf / +inf at the ends
+    lo = [f"__lo{i}" for i in range(k)]
+    hi = [f"__hi{i}" for i in range(k)]
+    bounds = base.groupBy(*keys).agg(F.percentile_approx("__x", lo_p + hi_p, accuracy).alias("__b"))
+    # band edges: approximate quantiles at p -/+ eps, open at the ends
     edges = bounds.select(
-        *knames, "__n",
-        *[F.when(F.lit(lo_p[i]) <= 0, F.lit(float("-inf"))).otherwise(F.col("__b")[i]).alias(f"__lo{i}")
+        *keys,
+        *[(F.lit(float("-inf")) if lo_p[i] <= 0 else F.col("__b")[i]).alias(lo[i]) for i in range(k)],
+        *[(F.lit(float("inf")) if hi_p[i] >= 1 else F.col("__b")[k + i]).alias(hi[i]) for i in range(k)])
+    rows = attach(base, edges, lo + hi)
+    # widen each band by one distinct value on both sides
+    widen = rows.groupBy(*keys).agg(
+        *[F.coalesce(F.max(F.when(F.col("__x") < F.col(lo[i]), F.col("__x"))), F.first(lo[i])).alias(lo[i])
           for i in range(k)],
-        *[F.when(F.lit(hi_p[i]) >= 1, F.lit(float("inf"))).otherwise(F.col("__b")[k + i]).alias(f"__hi{i}")
+        *[F.coalesce(F.min(F.when(F.col("__x") > F.col(hi[i]), F.col("__x"))), F.first(hi[i])).alias(hi[i])
           for i in range(k)])
-
-    # group-grain edges joined back on the group keys (AQE broadcasts them
-    # when small); without keys they are one row, inlined as scalar
-    # subqueries.
-    def attach(frame: DataFrame, e: DataFrame, names: list[str]) -> DataFrame:
-        if keys:
-            return frame.join(e.select(*knames, *names), knames)
-        return frame.select("*", *[e.select(c).scalar().alias(c) for c in names])
-
-    edge_cols = [f"__lo{i}" for i in range(k)] + [f"__hi{i}" for i in range(k)]
-    rows = attach(base, edges, edge_cols)
-    # widen each band by one distinct value on both sides: for small groups
-    # the approximate edge can sit one rank inside the interpolation pair
-    widen = rows.groupBy(*knames).agg(
+    rows = attach(base, widen, lo + hi)
+    below = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"),
-        *[F.max(F.when(F.col("__x") < F.col(f"__lo{i}"), F.col("__x"))).alias(f"__pv{i}") for i in range(k)],
-        *[F.min(F.when(F.col("__x") > F.col(f"__hi{i}"), F.col("__x"))).alias(f"__nx{i}") for i in range(k)])
-    edges2 = widen.join(edges.select(*knames, *edge_cols), knames).select(
-        *knames, "__n",
-        *[F.coalesce(F.col(f"__pv{i}"), F.col(f"__lo{i}")).alias(f"__lo{i}") for i in range(k)],
-        *[F.coalesce(F.col(f"__nx{i}"), F.col(f"__hi{i}")).alias(f"__hi{i}") for i in range(k)])
-    rows = attach(base, edges2, ["__n"] + edge_cols)
-    below = rows.groupBy(*knames).agg(
-        F.first("__n").alias("__n"),
-        *[F.count_if(F.col("__x") < F.col(f"__lo{i}")).alias(f"__below{i}") for i in range(k)])
-    member = F.filter(F.array(*[F.when((F.col("__x") >= F.col(f"__lo{i}")) & (F.col("__x") <= F.col(f"__hi{i}")),
+        *[F.count_if(F.col("__x") < F.col(lo[i])).alias(f"__below{i}") for i in range(k)])
+    member = F.filter(F.array(*[F.when((F.col("__x") >= F.col(lo[i])) & (F.col("__x") <= F.col(hi[i])),
                                        F.lit(i)) for i in range(k)]), lambda v: v.isNotNull())
-    band = (rows.select(*knames, "__x", F.explode(member).alias("__i"))
-            .groupBy(*knames, "__i", "__x").agg(F.count(F.lit(1)).alias("__c")))
+    band = (rows.select(*keys, "__x", F.explode(member).alias("__i"))
+            .groupBy(*keys, "__i", "__x").agg(F.count(F.lit(1)).alias("__c")))
     # cumulative count inside each band (a few thousand distinct values)
-    w = Window.partitionBy(*knames, "__i").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys, "__i").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
     band = band.withColumn("__before", F.coalesce(F.sum("__c").over(w), F.lit(0)))
 
-    # target positions inside each band
-    pos = below.select(*knames, F.posexplode(F.array(*[
-        F.struct(F.lit(float(p)).alias("p"), F.col(f"__below{i}").alias("below")) for i, p in enumerate(probs)]))
-        .alias("__i", "__t"), "__n")
-    pos = pos.select(*knames, "__i", "__n",
-                     (F.col("__t.p") * (F.col("__n") - 1)).alias("__h"), F.col("__t.below").alias("__below"))
-    pos = pos.select(*knames, "__i", "__h",
-                     (F.floor("__h") - F.col("__below")).alias("__j0"),
-                     (F.ceil("__h") - F.col("__below")).alias("__j1"),
-                     (F.col("__h") - F.floor("__h")).alias("__f"))
-    j = band.join(pos, knames + ["__i"])
+    # target positions inside each band (0-based)
+    pos = below.select(*keys, "__n", F.posexplode(F.array(*[
+        F.struct(F.lit(float(p)).alias("p"), F.col(f"__below{i}").alias("below"))
+        for i, p in enumerate(probs)])).alias("__i", "__t"))
+    h = F.col("__t.p") * (F.col("__n") - 1)
+    pos = pos.select(*keys, "__i", (F.floor(h) - F.col("__t.below")).alias("__j0"),
+                     (F.ceil(h) - F.col("__t.below")).alias("__j1"), (h - F.floor(h)).alias("__f"))
+    j = band.join(pos, keys + ["__i"])
 
     def at(idx: str):
         return F.max(F.when((F.col("__before") <= F.col(idx)) & (F.col(idx) < F.col("__before") + F.col("__c")),
                             F.col("__x")))
-    vals = j.groupBy(*knames, "__i").agg(at("__j0").alias("__v0"), at("__j1").alias("__v1"),
-                                          F.first("__f").alias("__f"))
+    vals = j.groupBy(*keys, "__i").agg(at("__j0").alias("__v0"), at("__j1").alias("__v1"),
+                                        F.first("__f").alias("__f"))
     vals = vals.withColumn("__q", F.col("__v0") + F.col("__f") * (F.col("__v1") - F.col("__v0")))
-    wide = vals.groupBy(*knames).agg(*[F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(f"{prefix}{i}")
-                                       for i in range(k)])
+    wide = vals.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(f"{prefix}{i}")
+                                     for i in range(k)])
     if keys:
         # groups with only NULL values still get a row
-        groups = df.select(*keys).distinct()
-        return groups.join(wide, keys, "left")
-    one = df.sparkSession.range(1).select(F.lit(0).alias("__g"))
-    return one.join(wide, "__g", "left").drop("__g")
+        return df.select(*keys).distinct().join(wide, keys, "left")
+    return wide   # a global aggregate: always exactly one row
 
 
 def exact_quantiles_wide(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
