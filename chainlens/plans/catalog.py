@@ -40,7 +40,8 @@ class Inputs:
             self._memo[key] = build()
         return self._memo[key]
 
-    def _staged(self, name: str, build: Callable[[], DataFrame], tables: list[str]) -> DataFrame:
+    def _staged(self, name: str, build: Callable[[], DataFrame], tables: list[str],
+                rebalance: bool = True) -> DataFrame:
         """The adapter output staged once per session as a balanced Parquet
         table (the ingest step of the pipeline); the raw adapter plan when
         no checkpoint folder can be used."""
@@ -48,7 +49,7 @@ class Inputs:
             return build()
         try:
             srcs = [f"{self.sf_dir.rstrip('/')}/{t}.parquet" for t in tables]
-            return T_.staged(self.spark, name, build, srcs)
+            return T_.staged(self.spark, name, build, srcs, rebalance)
         except RuntimeError:
             return build()
 
@@ -178,7 +179,8 @@ def _model_table(i: Inputs, name: str, build: Callable[[], DataFrame]) -> DataFr
     loyalty table) are written once per session and inputs, like the
     stored tables the report stages read."""
     key = f"{name}-{abs(hash(repr(i.p))):x}"
-    return i.memo(name, lambda: i._staged(key, build, ["lineitem", "orders", "part", "supplier", "events"]))
+    return i.memo(name, lambda: i._staged(key, build, ["lineitem", "orders", "part", "supplier", "events"],
+                                          rebalance=False))
 
 
 def features_a_table(i: Inputs) -> DataFrame:

@@ -32,13 +32,16 @@ def _fingerprint(paths: Sequence[str]) -> tuple:
 
 
 def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame],
-           sources: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+           sources: Sequence[str] = (), rebalance: bool = True,
+           partitions: int | None = None) -> DataFrame:
     """Write ``build()`` once per session as Parquet under the checkpoint
     folder and return a reader over it.
 
-    The rows are spread round-robin over ``partitions`` files (default:
-    the cluster's parallelism), which balances the files whatever the key
-    skew, so every later scan is parallel.  Source files are fingerprinted:
+    ``rebalance`` spreads the rows round-robin over ``partitions`` files
+    (default: the cluster's parallelism), which balances them whatever the
+    key skew; it is for inputs read from few large splits.  Results of an
+    aggregation are already split by the shuffle and are written as they
+    are (``rebalance=False``).  Source files are fingerprinted:
     changed inputs give a new table."""
     key = (spark.sparkContext.applicationId, name, _fingerprint(sources))
     path = _STAGED.get(key)
@@ -47,7 +50,8 @@ def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame],
         path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
         df = build()
         n = partitions or max(spark.sparkContext.defaultParallelism, 1)
-        df.repartition(n).write.mode("overwrite").parquet(path)
+        out = df.repartition(n) if rebalance else df
+        out.write.mode("overwrite").parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(path)
 

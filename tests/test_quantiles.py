@@ -28,3 +28,12 @@ def test_global_and_wide(spark):
     assert [g[0], g[1]] == want
     w = exact_quantiles_wide(df.withColumn("k", F.lit(1)), ["k"], ["a", "b", "c"], [0.5], accuracy=30).first()
     assert w.a_q0 == want[0] and w.b_q0 == 749.25 and w.c_q0 is None
+
+
+def test_feature_summary_approx_path(spark):
+    from chainlens.operators.features import feature_summary
+    df = spark.range(0, 500).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    exact = {r.column: r for r in feature_summary(df, ["a", "b"]).collect()}
+    approx = {r.column: r for r in feature_summary(df, ["a", "b"], exact=False).collect()}
+    assert exact["a"].median == 249.5 and abs(approx["a"].median - 249.5) <= 1
+    assert exact["b"].max == approx["b"].max == 6.0
