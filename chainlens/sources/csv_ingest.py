@@ -88,6 +88,7 @@ class Ingested:
     quarantine: DataFrame    # file_path, raw line of rejected rows
     drift: DataFrame         # per-file report (schema_drift)
     skipped: list[str]       # files whose column set does not match
+    bad_times: DataFrame     # file_path, column, text of times that did not parse (rows kept)
 
 
 # Spellings read as boolean true / false (case-insensitive).
@@ -101,16 +102,33 @@ def parse_bool(c) -> F.Column:
     return F.when(v.isin(TRUE_WORDS), F.lit(True)).when(v.isin(FALSE_WORDS), F.lit(False))
 
 
-def _typed(schema: T.StructType) -> list[F.Column]:
-    """Canonical projection; boolean columns are read as text and parsed
-    here (the CSV reader only knows 'true' / 'false')."""
-    return [parse_bool(f.name).alias(f.name) if isinstance(f.dataType, T.BooleanType)
-            else F.col(f.name) for f in schema.fields]
+_TEXT_READ = (T.BooleanType, T.TimestampType)
+
+
+def parse_time(c, fmt: str | None = None) -> F.Column:
+    """Text -> timestamp, once, at ingest; text that does not parse -> NULL."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
+
+
+def _typed(schema: T.StructType, fmt: str | None = None) -> list[F.Column]:
+    """Canonical projection.  Boolean and timestamp columns are read as
+    text and parsed here: the CSV reader only knows 'true' / 'false', and
+    a time that fails to parse must be counted, not silently nulled."""
+    out = []
+    for f in schema.fields:
+        if isinstance(f.dataType, T.BooleanType):
+            out.append(parse_bool(f.name).alias(f.name))
+        elif isinstance(f.dataType, T.TimestampType):
+            out.append(parse_time(f.name, fmt).alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return out
 
 
 def _group_schema(columns: Sequence[str], schema: T.StructType) -> T.StructType:
     by_name = {f.name: f for f in schema.fields}
-    fields = [T.StructField(c, T.StringType() if isinstance(by_name[c].dataType, T.BooleanType)
+    fields = [T.StructField(c, T.StringType() if isinstance(by_name[c].dataType, _TEXT_READ)
                             else by_name[c].dataType, True) for c in columns]
     fields += [T.StructField(EXTRA_COL, T.StringType(), True)]
     return T.StructType(fields)
@@ -136,16 +154,20 @@ def read_transactions(spark: SparkSession, paths: str | Sequence[str],
     for r in meta:
         if r.matches:
             groups.setdefault((tuple(r.columns), bool(r.utf8)), []).append(r.file_path)
-    data_parts, bad_parts = [], []
+    data_parts, bad_parts, time_parts = [], [], []
     for (cols, utf8), files in sorted(groups.items()):
         reader = (spark.read.schema(_group_schema(cols, schema))
                   .option("header", True).option("mode", "PERMISSIVE")
                   .option("encoding", "UTF-8" if utf8 else LATIN1))
-        if timestamp_format:
-            reader = reader.option("timestampFormat", timestamp_format)
         df = reader.csv(files).withColumn("file_path", F.col("_metadata.file_path"))
         bad = F.col(EXTRA_COL).isNotNull()
-        data_parts.append(df.where(~bad).select(*_typed(schema)))
+        data_parts.append(df.where(~bad).select(*_typed(schema, timestamp_format)))
+        for f in schema.fields:
+            if isinstance(f.dataType, T.TimestampType):
+                time_parts.append(df.where(~bad & F.col(f.name).isNotNull()
+                                           & parse_time(f.name, timestamp_format).isNull())
+                                  .select("file_path", F.lit(f.name).alias("column"),
+                                          F.col(f.name).alias("text")))
         bad_parts.append(df.where(bad).select(
             "file_path", F.concat_ws(",", *[F.col(c).cast("string") for c in cols],
                                      F.col(EXTRA_COL)).alias("line")))
@@ -159,7 +181,10 @@ def read_transactions(spark: SparkSession, paths: str | Sequence[str],
     else:
         data = spark.createDataFrame([], schema)
         bad = spark.createDataFrame([], "file_path string, line string")
-    return Ingested(data, bad, drift, skipped)
+    times = spark.createDataFrame([], "file_path string, column string, text string")
+    for t in time_parts:
+        times = times.unionByName(t)
+    return Ingested(data, bad, drift, skipped, times)
 
 
 def sample_per_file(spark: SparkSession, paths: str | Sequence[str], n: int = 5,

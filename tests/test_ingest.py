@@ -107,3 +107,12 @@ def test_table_sinks(spark, tmp_dir):
     assert sorted((r.wallet, r["count"]) for r in back.collect()) == [("w1", 3), ("w2", 2)]
     TB.write_bucketed(data, "tx_bucketed", f"{tmp_dir}/tx_b", buckets=4)
     assert spark.table("tx_bucketed").count() == 5
+
+
+def test_bad_times_counted_and_kept(spark, tmp_dir):
+    rows = [row(1), row(2, ts="not a time"), row(3, ts=""), row(4, ts="2025-02-03T04:05:06Z")]
+    write_csv(f"{tmp_dir}/times.csv", COLS, rows)
+    ing = CI.read_transactions(spark, f"{tmp_dir}/times.csv")
+    assert ing.data.count() == 4
+    assert ing.data.where(F.col("created_at").isNull()).count() == 2
+    assert [r.text for r in ing.bad_times.collect()] == ["not a time"]
