@@ -160,17 +160,17 @@ def top_wallet_stats(top: DataFrame, new_max: int, advanced_min: int,
         share(x > programmatic_min).alias("programmatic_pct"))
 
 
-def wallet_profile(tx: DataFrame, wallet: str | None = None) -> DataFrame:
+def wallet_profile(tx: DataFrame, wallet: str | None = None, mode: str = "set") -> DataFrame:
     """Rows, distinct chains / currencies, first / last time and USD per wallet.
     With ``wallet`` set the filter is pushed to the scan (one-wallet form)."""
     if wallet is not None:
         tx = tx.where(F.col("wallet") == wallet)
     return tx.groupBy("wallet").agg(
         F.count(F.lit(1)).alias("total_transactions"),
-        F.countDistinct("origin_chain_name").alias("origin_chains_used"),
-        F.countDistinct("destination_chain_name").alias("dest_chains_used"),
-        F.countDistinct("user_send_currency").alias("send_currencies_used"),
-        F.countDistinct("user_receive_currency").alias("receive_currencies_used"),
+        _distinct("origin_chain_name", mode).alias("origin_chains_used"),
+        _distinct("destination_chain_name", mode).alias("dest_chains_used"),
+        _distinct("user_send_currency", mode).alias("send_currencies_used"),
+        _distinct("user_receive_currency", mode).alias("receive_currencies_used"),
         F.min("created_at").alias("first_transaction"),
         F.max("created_at").alias("last_transaction"),
         money_sum("user_send_currency_usd").alias("total_volume_usd"))
@@ -195,8 +195,8 @@ def rule_segments(tx: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Per-wallet counts and an ordered CASE over the aggregates."""
     agg = tx.groupBy("wallet").agg(
         F.count(F.lit(1)).alias("tx_count"),
-        F.countDistinct("origin_chain_name").alias("chains_used"),
-        F.countDistinct("user_send_currency").alias("currencies_used"),
+        _distinct("origin_chain_name", p.distinct_mode).alias("chains_used"),
+        _distinct("user_send_currency", p.distinct_mode).alias("currencies_used"),
         F.min("created_at").alias("first_tx"),
         F.max("created_at").alias("last_tx"),
         avg_money("user_send_currency_usd").alias("avg_tx_size"))
