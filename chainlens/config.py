@@ -217,6 +217,8 @@ class Params:
     kmeans_max_iter: int = 100
     sweep_restarts: int = 1
     centroids: tuple = tuple(DRIVER_CENTROIDS)
+    #: persona model: "fixed" (given loadings + centroids) or "fitted" (Spark ML)
+    model: str = "fixed"
     loadings: tuple = tuple(tuple(r) for r in PUBLISHED_LOADINGS)
     #: distinct-count strategy for the wallet features: "exact" or "set"
     distinct_mode: str = "set"
@@ -248,6 +250,7 @@ class Params:
             heavy_min_tx=10000,
             sample_per_cluster=1000,
             centroids=tuple(PUBLISHED_CENTROIDS),
+            model="fitted",
         )
 
 

@@ -29,11 +29,23 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 class Inputs:
-    """Lazily built inputs for one (session, sf_dir); nothing is executed here."""
+    """Lazily built inputs for one query run; nothing is executed here.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, p: Params = DEFAULT):
+    With ``sf_dir`` the inputs come from the driver tables through the
+    adapter.  Given DataFrames (``tx``, ``competitor_usage``,
+    ``exclusions``) replace them: that is how ``plans.run`` feeds ingested
+    CSV data and a competitor extract through the same jobs."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str | None, p: Params = DEFAULT,
+                 tx: DataFrame | None = None, competitor_usage: DataFrame | None = None,
+                 exclusions=None):
         self.spark, self.sf_dir, self.p = spark, sf_dir, p
         self._memo: dict = {}
+        if tx is not None:
+            self._memo["tx"] = tx
+        if competitor_usage is not None:
+            self._memo["competitor_usage"] = competitor_usage
+        self._exclusions = exclusions
 
     def memo(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
         if key not in self._memo:
@@ -43,11 +55,13 @@ class Inputs:
     def _staged(self, name: str, build: Callable[[], DataFrame], tables: list[str],
                 rebalance: bool = True) -> DataFrame:
         """The adapter output staged once per session as a balanced Parquet
-        table (the ingest step of the pipeline); the raw adapter plan when
-        no checkpoint folder can be used."""
+        table (the ingest step); the raw adapter plan when no checkpoint
+        folder can be used.  Injected inputs are materialized per run."""
         if not self.p.stage_inputs:
             return build()
         try:
+            if self.sf_dir is None:
+                return P.materialize(build(), name)
             srcs = [f"{self.sf_dir.rstrip('/')}/{t}.parquet" for t in tables]
             return T_.staged(self.spark, name, build, srcs, rebalance)
         except RuntimeError:
@@ -61,7 +75,7 @@ class Inputs:
 
     @property
     def exclusions(self):
-        return A.DRIVER_EXCLUSIONS
+        return A.DRIVER_EXCLUSIONS if self._exclusions is None else self._exclusions
 
     @property
     def competitor_raw(self) -> DataFrame:
@@ -120,7 +134,7 @@ def _first_use_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
 
 
 def usage(i: Inputs) -> DataFrame:
-    return L.competitor_usage(i.competitor_raw, i.p)
+    return i.memo("competitor_usage", lambda: L.competitor_usage(i.competitor_raw, i.p))
 
 
 def home(i: Inputs) -> DataFrame:
@@ -194,6 +208,10 @@ def features_b_table(i: Inputs) -> DataFrame:
 
 
 def assigned(i: Inputs) -> DataFrame:
+    """Wallet scores and cluster ids: fixed loadings / centroids (default,
+    SQL-checkable) or the fitted Spark ML model (``Params.model="fitted"``)."""
+    if i.p.model == "fitted":
+        return _model_table(i, "assigned_fitted", lambda: P.assign_fitted(features_b_table(i), i.p))
     return _model_table(i, "assigned", lambda: P.assign_fixed(features_b_table(i), i.p))
 
 
