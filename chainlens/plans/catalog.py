@@ -53,7 +53,7 @@ class Inputs:
         return self._memo[key]
 
     def _staged(self, name: str, build: Callable[[], DataFrame], tables: list[str],
-                rebalance: bool = True) -> DataFrame:
+                rebalance: bool = True, bucket_by: str | None = None) -> DataFrame:
         """The adapter output staged once per session as a balanced Parquet
         table (the ingest step); the raw adapter plan when no checkpoint
         folder can be used.  Injected inputs are materialized per run."""
@@ -63,7 +63,7 @@ class Inputs:
             if self.sf_dir is None:
                 return P.materialize(build(), name)
             srcs = [f"{self.sf_dir.rstrip('/')}/{t}.parquet" for t in tables]
-            return T_.staged(self.spark, name, build, srcs, rebalance)
+            return T_.staged(self.spark, name, build, srcs, rebalance, bucket_by=bucket_by)
         except RuntimeError:
             return build()
 
@@ -188,13 +188,15 @@ def features_b(i: Inputs) -> DataFrame:
     return W.wallet_features(i.tx, i.exclusions, "B", i.p)
 
 
-def _model_table(i: Inputs, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def _model_table(i: Inputs, name: str, build: Callable[[], DataFrame],
+                 bucket_by: str | None = None) -> DataFrame:
     """Wallet-grain model tables (features, assignments, final persona x
     loyalty table) are written once per session and inputs, like the
-    stored tables the report stages read."""
+    stored tables the report stages read; the ones joined on wallet are
+    bucketed by it."""
     key = f"{name}-{abs(hash(repr(i.p))):x}"
     return i.memo(name, lambda: i._staged(key, build, ["lineitem", "orders", "part", "supplier", "events"],
-                                          rebalance=False))
+                                          rebalance=False, bucket_by=bucket_by))
 
 
 def features_a_table(i: Inputs) -> DataFrame:
@@ -204,15 +206,16 @@ def features_a_table(i: Inputs) -> DataFrame:
 
 def features_b_table(i: Inputs) -> DataFrame:
     """Variant B features, materialized (model input)."""
-    return _model_table(i, "features_b", lambda: features_b(i))
+    return _model_table(i, "features_b", lambda: features_b(i), bucket_by="wallet")
 
 
 def assigned(i: Inputs) -> DataFrame:
     """Wallet scores and cluster ids: fixed loadings / centroids (default,
     SQL-checkable) or the fitted Spark ML model (``Params.model="fitted"``)."""
     if i.p.model == "fitted":
-        return _model_table(i, "assigned_fitted", lambda: P.assign_fitted(features_b_table(i), i.p))
-    return _model_table(i, "assigned", lambda: P.assign_fixed(features_b_table(i), i.p))
+        return _model_table(i, "assigned_fitted", lambda: P.assign_fitted(features_b_table(i), i.p),
+                            bucket_by="wallet")
+    return _model_table(i, "assigned", lambda: P.assign_fixed(features_b_table(i), i.p), bucket_by="wallet")
 
 
 def persona_tbl(i: Inputs) -> DataFrame:

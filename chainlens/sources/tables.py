@@ -33,7 +33,7 @@ def _fingerprint(paths: Sequence[str]) -> tuple:
 
 def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame],
            sources: Sequence[str] = (), rebalance: bool = True,
-           partitions: int | None = None) -> DataFrame:
+           partitions: int | None = None, bucket_by: str | None = None) -> DataFrame:
     """Write ``build()`` once per session as Parquet under the checkpoint
     folder and return a reader over it.
 
@@ -43,8 +43,20 @@ def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame],
     aggregation are already split by the shuffle and are written as they
     are (``rebalance=False``).  Source files are fingerprinted:
     changed inputs give a new table."""
-    key = (spark.sparkContext.applicationId, name, _fingerprint(sources))
+    key = (spark.sparkContext.applicationId, name, _fingerprint(sources), bucket_by)
     path = _STAGED.get(key)
+    if path is None and bucket_by:
+        # one row per key (wallet grain): hash buckets are balanced; bucket
+        # count = shuffle partitions so freshly aggregated wallet-keyed
+        # frames join these tables without shuffling either side
+        base = ensure_checkpoint_dir(spark)
+        table = f"chainlens_{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+        path = f"{base.rstrip('/')}/tables/{table}"
+        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        write_bucketed(build(), table, path, bucket_by, n)
+        path = _STAGED[key] = "table:" + table
+    if path is not None and path.startswith("table:"):
+        return spark.table(path[6:])
     if path is None:
         base = ensure_checkpoint_dir(spark)
         path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"

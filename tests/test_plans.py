@@ -62,3 +62,16 @@ def test_hot_wallet_third_of_rows(spark):
         assert f["hot"].total_send_usd == 375.0
     fu = W.recent_transactions(tx, 3)
     assert fu.where("wallet = 'hot'").count() == 3
+
+
+def test_persona_join_uses_buckets(spark):
+    """features x assignments read co-located buckets: no exchange above
+    either bucketed scan."""
+    from chainlens.plans import catalog as C
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        i = C.Inputs(spark, SF001)
+        plan = plan_of(C.features_b_table(i).join(C.assigned(i), "wallet"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
