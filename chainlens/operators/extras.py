@@ -28,7 +28,7 @@ def usd_spread(features_a: DataFrame) -> DataFrame:
         F.round(F.avg(r), 2).alias("mean_receive_usd"),
         F.round(med.select("total_send_usd_q0").scalar(), 2).alias("median_send_usd"),
         F.round(med.select("total_receive_usd_q0").scalar(), 2).alias("median_receive_usd"),
-        F.round((F.sum(s) - F.sum(r)) * 100.0 / F.sum(s), 4).alias("weighted_spread_pct"))
+        F.round(F.try_divide((F.sum(s) - F.sum(r)) * 100.0, F.sum(s)), 4).alias("weighted_spread_pct"))
 
 
 def vwa_size(table: DataFrame, key: str = "persona") -> DataFrame:

@@ -45,7 +45,7 @@ def feature_summary(df: DataFrame, cols: list[str], exact: bool = True,
         q = long.groupBy("column").agg(
             F.percentile_approx("value", SUMMARY_QUANTILES, accuracy).alias("qa")).select(
             "column", *[F.col("qa")[i].cast("double").alias(f"q{i}") for i in range(len(SUMMARY_QUANTILES))])
-    j = moments.join(q, "column")   # 2 x len(cols) rows
+    j = moments.join(q, "column", "left")   # len(cols) rows on each side
     r = lambda c: F.round(F.col(c), 2)
     return j.select(
         "column", F.col("count").cast("bigint").alias("count"), r("mean").alias("mean"),

@@ -146,7 +146,7 @@ def top_wallet_stats(top: DataFrame, new_max: int, advanced_min: int,
     n = F.count(F.lit(1))
 
     def share(cond: Column) -> Column:
-        return F.round(F.count_if(cond) * 100.0 / n, 2)
+        return F.round(F.try_divide(F.count_if(cond) * 100.0, n), 2)
 
     x = F.col("n_tx")
     return top.agg(

@@ -178,3 +178,18 @@ def test_crosstab_margins(spark):
     ct = {r.persona: r for r in R.crosstab(t, "persona", "lt", ["x", "y"]).collect()}
     assert (ct["p1"].x, ct["p1"].y, ct["p1"].All) == (1, 1, 2)
     assert (ct["p2"].y, ct["All"].x, ct["All"].All) == (0, 2, 3)
+
+
+def test_empty_input_does_not_fail(spark):
+    """ANSI mode raises on division by zero; empty inputs must still work."""
+    from chainlens.operators import extras as X
+    tx = tx_rows(spark, [])
+    fa = W.wallet_features(tx, EXCL, "A", P0)
+    assert fa.count() == 0
+    assert W.top_wallet_stats(W.top_wallets(tx, 10), 5, 10, 20).first().n_wallets == 0
+    assert X.usd_spread(fa).first().weighted_spread_pct is None
+    assert FE.feature_summary(fa, ["origin_chains", "total_send_usd"]).count() == 2
+    fb = W.wallet_features(tx, EXCL, "B", P0)
+    assert P.assign_fixed(fb, P0).count() == 0
+    assert W.heavy_wallet_chains(tx, 1, 3).count() == 0
+    assert FU.first_top(FU.first_usage(tx, EXCL, P0), ["first_source_chain"]).count() == 0
