@@ -91,7 +91,7 @@ def persona_summary(t: DataFrame) -> DataFrame:
 
 
 def persona_profile(t: DataFrame, key: str = "persona") -> DataFrame:
-    return t.groupBy(key).agg(*[mean2(c).alias(c) for c in BUSINESS_FEATURES])
+    return t.where(F.col(key).isNotNull()).groupBy(key).agg(*[mean2(c).alias(c) for c in BUSINESS_FEATURES])
 
 
 def _characteristics(t: DataFrame, key: str, key_expr, money_name: str) -> DataFrame:
@@ -111,7 +111,10 @@ def _characteristics(t: DataFrame, key: str, key_expr, money_name: str) -> DataF
 
 
 def persona_characteristics(t: DataFrame) -> DataFrame:
-    return _characteristics(t, "persona", F.col("persona"), DISPLAY_NAMES["total_send_usd"])
+    """Persona table of the report; wallets without a persona are left out
+    first (a NULL group key would form its own row in Spark)."""
+    return _characteristics(t.where(F.col("persona").isNotNull()), "persona", F.col("persona"),
+                            DISPLAY_NAMES["total_send_usd"])
 
 
 def persona_loyalty_table(t: DataFrame) -> DataFrame:
