@@ -193,3 +193,24 @@ def test_empty_input_does_not_fail(spark):
     assert P.assign_fixed(fb, P0).count() == 0
     assert W.heavy_wallet_chains(tx, 1, 3).count() == 0
     assert FU.first_top(FU.first_usage(tx, EXCL, P0), ["first_source_chain"]).count() == 0
+
+
+def test_exclusions_as_dataframe_match_list(spark):
+    tx = tx_rows(spark, base_rows())
+    ex_df = spark.createDataFrame([("bad", "burn")], "wallet string, reasoning string")
+    for keep in (True, False):
+        a = sorted(map(str, W.exclude_wallets(tx, EXCL, keep_null=keep).collect()))
+        b = sorted(map(str, W.exclude_wallets(tx, ex_df, keep_null=keep).collect()))
+        assert a == b
+    plan = W.exclude_wallets(tx, ex_df)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan
+
+
+def test_reference_parameters():
+    from chainlens.config import REFERENCE_CHAINS, REFERENCE_EXCLUSIONS, Params
+    r = Params.reference()
+    assert (r.rule_new_max, r.rule_programmatic_min, r.rule_beginner_max_chains) == (5, 1000, 2)
+    assert r.heavy_min_tx == 10000 and r.top_k_wallets == 1000 and r.model == "fitted"
+    assert r.window_start == "2025-01-01" and r.window_end is None
+    assert (r.competitor_start, r.competitor_end) == ("2025-01-01", "2025-07-01")
+    assert list(r.chains) == REFERENCE_CHAINS and len(REFERENCE_EXCLUSIONS) == 13
