@@ -168,13 +168,24 @@ def marginal_effects(t: DataFrame, p: Params = DEFAULT, personas: Sequence[str]
                     F.when(present, F.round(ch, 4)).alias("origin_ratio"))
 
 
-def crosstab_long(ct: DataFrame, row: str, value_cols: Sequence[str], col_name: str) -> DataFrame:
-    """Wide crosstab -> long: drop the All row/column, unpivot, percent of
-    the grand total (1 dp) and a text label."""
+def crosstab_long(ct: DataFrame, row: str, value_cols: Sequence[str], col_name: str,
+                  relabel: dict | None = None) -> DataFrame:
+    """Wide crosstab -> long: drop the All row/column, unpivot, relabel the
+    column values for display, percent of the grand total (1 dp) and a
+    'count\n(pct%)' label with thousands separators."""
     body = ct.where(F.col(row) != ALL).select(row, *value_cols)
     long = body.unpivot(row, list(value_cols), col_name, "count")
+    if relabel:
+        m = F.create_map(*[F.lit(x) for kv in relabel.items() for x in kv])
+        long = long.withColumn(col_name, F.coalesce(F.element_at(m, F.col(col_name)), F.col(col_name)))
     long = share_of_total(long, "count", "pct", 1)
-    return long.withColumn("label", F.concat(F.col("pct").cast("string"), F.lit("%")))
+    return long.withColumn("label", F.concat(F.format_number("count", 0), F.lit("\n("),
+                                             F.col("pct").cast("string"), F.lit("%)")))
+
+
+def loyalty_display_names(p: Params = DEFAULT) -> dict:
+    """Display names of the loyalty types in the report."""
+    return {p.home_only_label: f"{p.home_platform.title()} Only", LOYALTY_MULTI: "Multi-platform"}
 
 
 def loyalty_table_ordered(table: DataFrame, p: Params = DEFAULT,

@@ -299,7 +299,8 @@ def _persona_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
         "persona_loyalty_table": lambda i: R.persona_loyalty_table(final_tbl(i)),
         "marginal_effects": lambda i: R.marginal_effects(final_tbl(i), p),
         "crosstab_long": lambda i: R.crosstab_long(
-            R.crosstab(final_tbl(i), "persona", "loyalty_type", lt), "persona", lt, "loyalty_type"),
+            R.crosstab(final_tbl(i), "persona", "loyalty_type", lt), "persona", lt, "loyalty_type",
+            R.loyalty_display_names(p)),
         "loyalty_table_ordered": lambda i: R.loyalty_table_ordered(R.persona_loyalty_table(final_tbl(i)), p),
         "persona_distribution": lambda i: R.persona_distribution(final_tbl(i)),
     }
