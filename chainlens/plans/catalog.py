@@ -111,7 +111,9 @@ def _wallet_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
         "heavy_wallet_chains": lambda i: W.heavy_wallet_chains(i.tx, p.heavy_min_tx, p.heavy_top_k),
         "exclusion_impact": lambda i: W.exclusion_impact(i.tx, i.exclusions),
         "wallet_features": lambda i: W.wallet_features(i.tx, i.exclusions, "A", p),
-        "wallet_features_window": lambda i: W.wallet_features(i.tx, i.exclusions, "B", p),
+        # log columns reported at 6 places: libm and Java's log10 differ in the last bit
+        "wallet_features_window": lambda i: round_doubles(
+            W.wallet_features(i.tx, i.exclusions, "B", p), 6),
         "route_lookup": lambda i: W.route_lookup(i.tx, p.lookup_wallet, p.lookup_origin,
                                                  p.lookup_dest, 2),
     }
