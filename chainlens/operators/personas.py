@@ -209,12 +209,13 @@ def persona_labels(assigned: DataFrame) -> DataFrame:
     """Clusters ordered by mean PC1: highest -> top persona, other positive ->
     second, the rest -> basic.  Fewer than three personas may appear."""
     cen = assigned.groupBy("cluster_id").agg(*[F.avg(c).alias(c) for c in PC_COLS[:3]])
-    w = Window.orderBy(F.desc("PC1"), "cluster_id")  # k rows only
-    return cen.withColumn("pc1_rank", F.row_number().over(w)).withColumn(
+    # the cluster with the highest mean PC1 (ties -> lowest id), as a scalar subquery
+    top = cen.orderBy(F.desc("PC1"), "cluster_id").limit(1).select("cluster_id").scalar()
+    return cen.withColumn(
         "persona",
-        F.when(F.col("pc1_rank") == 1, PERSONA_TOP)
+        F.when(F.col("cluster_id") == top, PERSONA_TOP)
          .when(F.col("PC1") > 0, PERSONA_POSITIVE)
-         .otherwise(PERSONA_OTHER)).drop("pc1_rank")
+         .otherwise(PERSONA_OTHER))
 
 
 def with_personas(assigned: DataFrame, labels: DataFrame | None = None) -> DataFrame:
