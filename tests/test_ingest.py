@@ -116,3 +116,14 @@ def test_bad_times_counted_and_kept(spark, tmp_dir):
     assert ing.data.count() == 4
     assert ing.data.where(F.col("created_at").isNull()).count() == 2
     assert [r.text for r in ing.bad_times.collect()] == ["not a time"]
+
+
+def test_month_partitions_prune(spark, tmp_dir):
+    rows = [row(i, ts=f"2025-0{1 + i % 3}-05 10:00:00") for i in range(6)]
+    write_csv(f"{tmp_dir}/months.csv", COLS, rows)
+    data = CI.read_transactions(spark, f"{tmp_dir}/months.csv").data
+    TB.write_transactions(data, f"{tmp_dir}/tx_m")
+    q = spark.read.parquet(f"{tmp_dir}/tx_m").where(F.col("month") >= "2025-02")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+    assert q.count() == 4
