@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlens.llm import exact_dedup, line_dedup, packing, pu_quality, quality_rules, rans_tokens, secret_scan, simhash, source_mix
+from chainlens.llm import exact_dedup, gated_lm, line_dedup, packing, pu_quality, quality_rules, rans_tokens, secret_scan, simhash, source_mix
 from chainlens.llm.common import fresh_path
 
 
@@ -47,6 +47,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "n_removed_words")
 
 
+def op6_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_lm.score(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"
     d = exact_dedup.dedup_path(spark, path, spark.read.parquet(path).schema)
