@@ -7,7 +7,7 @@ found by projected gradient descent over all documents.
 
 DataFrame functions only.  The classifier is naive Bayes over hashed words
 and a few shape features: its counts are one grouped aggregate, its
-weights two literal arrays of ``BUCKETS`` numbers, so that scoring is a
+weights literal arrays of ``BUCKETS`` small numbers, so that scoring is a
 fold over a text's words inside a projection, with no join and no shuffle.
 
 With p[d, k] the posteriors, w[d] the tokens and b[k] the targets, the
@@ -32,6 +32,8 @@ from chainlens.llm.common import stage
 BUCKETS = 1 << 16
 #: Labelled rows the classifier learns from at most, the first by a hash of their id.
 MAX_LABELLED = 20_000
+#: Weights are kept in steps of 1 / UNIT.
+UNIT = 16
 #: A bucket counts as evidence beyond this many standard deviations.
 LEAST_Z = 4.0
 PULL, ITERATIONS, TOLERANCE = 1e-3, 40, 1e-6
@@ -89,37 +91,50 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str,
     return {"prior": prior, "weights": [{r["b"]: r[f"w{k}"] for r in rows if r[f"w{k}"]} for k in range(1, len(domains))], "buckets": buckets}
 
 
-def posteriors(text: Column, model: dict) -> list[Column]:
-    """Probability of each domain, the first one first."""
+def evidence(text: Column, words: Column, model: dict) -> Column:
+    """Struct of the other domains' weights summed over the text's features, in ``1 / UNIT``."""
     tables = []
     for w in model["weights"]:
         flat = ["0"] * model["buckets"]
         for b, x in w.items():
-            flat[b] = f"{x:.4f}"
-        tables.append(F.split(F.lit(",".join(flat)), ",").cast("array<double>"))  # folded into one literal
+            flat[b] = str(max(-127, min(127, round(x * UNIT))))
+        tables.append(F.split(F.lit(",".join(flat)), ",").cast("array<tinyint>"))  # folded into one literal
 
     def add(acc: Column, w: Column) -> Column:
         b = bucket(w, model["buckets"])
         return F.struct(*((acc[f"s{k}"] + F.get(t, b)).alias(f"s{k}") for k, t in enumerate(tables)))
 
-    start = F.struct(*(F.lit(p).cast("double").alias(f"s{k}") for k, p in enumerate(model["prior"])))
-    score = F.aggregate(features(text, words_of(text)), start, add)
-    odds = [F.lit(1.0), *(F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), score[f"s{k}"]))) for k in range(len(tables)))]
-    return [o / sum(odds[1:], odds[0]) for o in odds]
+    start = F.struct(*(F.lit(0).cast("long").alias(f"s{k}") for k in range(len(tables))))
+    return F.aggregate(features(text, words), start, add)
 
 
-def fit_rates(members: DataFrame, n: int, targets: list[float] | None, shares: list[float] | None = None,
+def members(docs: DataFrame, model: dict, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """row (the carried columns), tokens, p0.. (posteriors, the first domain first) and u, a hash in [0, 1).
+
+    Written once: what follows is arithmetic on these columns, and the
+    texts are not read again."""
+    text, n = F.col(text_col), len(model["prior"]) + 1
+    scored = docs.select(F.struct(*carry).alias("row"), F.size(words_of(text)).cast("long").alias("tokens"),
+                         evidence(text, words_of(text), model).alias("s"),
+                         (F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
+    scored = stage(scored, "mix-evidence")
+    odds = [F.lit(1.0)] + [F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(f"s.s{k}") / float(UNIT) + p)))
+                           for k, p in enumerate(model["prior"])]
+    return scored.select("row", "tokens", "u", *((o / sum(odds[1:], odds[0])).alias(f"p{k}") for k, o in enumerate(odds[:n])))
+
+
+def fit_rates(rows: DataFrame, n: int, targets: list[float] | None, shares: list[float] | None = None,
               iterations: int = ITERATIONS, pull: float = PULL) -> list[list[float]]:
     """Misfits of each iteration, from (tokens, p0..pn-1); ``rates`` turns them into rates.
 
     ``targets`` are domain token totals; ``shares`` give them as shares of
     all tokens instead."""
-    sums = members.agg(*(F.sum(F.col("tokens") * F.col(f"p{k}")) for k in range(n))).first()
+    sums = rows.agg(*(F.sum(F.col("tokens") * F.col(f"p{k}")) for k in range(n))).first()
     base = [float(x or 0.0) for x in sums]
     want = targets if targets is not None else [s * sum(base) / sum(shares) for s in shares]
     steps: list[list[float]] = []
     for _ in range(iterations):
-        got = members.agg(*(F.sum(F.col("tokens") * F.col(f"p{k}") * rates(steps, n, pull)) for k in range(n))).first()
+        got = rows.agg(*(F.sum(F.col("tokens") * F.col(f"p{k}") * rates(steps, n, pull)) for k in range(n))).first()
         e = [((float(g or 0.0) - t) / b if b > 0 else 0.0) for g, t, b in zip(got, want, base, strict=True)]
         if steps and max(abs(x - y) for x, y in zip(e, steps[-1], strict=True)) < TOLERANCE:
             break
@@ -134,17 +149,9 @@ def rates(steps: list[list[float]], n: int, pull: float = PULL) -> Column:
     return r
 
 
-def with_members(docs: DataFrame, model: dict, text_col: str, n: int) -> DataFrame:
-    """``docs``' columns as a struct, with tokens and p0..pn-1."""
-    text = F.col(text_col)
-    inner = docs.select(F.struct(*docs.columns).alias("row"), F.size(words_of(text)).cast("long").alias("tokens"),
-                        F.array(*posteriors(text, model)).alias("p"))
-    return inner.select("row", "tokens", *(F.col("p")[k].alias(f"p{k}") for k in range(n)))
-
-
 def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] | None = None, keep: dict[str, float] | None = None,
-        id_col: str = "doc_id", text_col: str = "text", nearest: bool = False, **limits) -> DataFrame:
-    """Rates for every row of ``docs``: row (its columns), tokens, p0.. in the order of the domains, rate, copies.
+        id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), nearest: bool = False, **limits) -> DataFrame:
+    """Rates for every row of ``docs``: row (the carried columns), tokens, p0.. in the order of the domains, rate, copies.
 
     ``labelled`` has the id column and ``domain``.  Targets per domain are
     ``shares`` of all tokens, or ``keep`` times the domain's own expected
@@ -157,15 +164,13 @@ def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] | None =
     """
     domains = list(shares or keep)
     n = len(domains)
-    model = learn(docs, labelled, domains, id_col, text_col, **limits)
-    full = with_members(docs, model, text_col, n)
-    members = stage(full.select("tokens", *(f"p{k}" for k in range(n))), "mix-members")
+    full = members(docs, learn(docs, labelled, domains, id_col, text_col, **limits), id_col, text_col, carry)
     if keep:
-        own = members.agg(*(F.sum(F.col("tokens") * F.col(f"p{k}")) for k in range(n))).first()
-        steps = fit_rates(members, n, [float(o or 0) * keep[d] for o, d in zip(own, domains, strict=True)])
+        own = full.agg(*(F.sum(F.col("tokens") * F.col(f"p{k}")) for k in range(n))).first()
+        steps = fit_rates(full, n, [float(o or 0) * keep[d] for o, d in zip(own, domains, strict=True)])
     else:
-        steps = fit_rates(members, n, None, [shares[d] for d in domains])
-    u = F.lit(0.5) if nearest else F.pmod(F.xxhash64(f"row.{id_col}", f"row.{text_col}"), F.lit(1 << 30)) / float(1 << 30)
+        steps = fit_rates(full, n, None, [shares[d] for d in domains])
+    u = F.lit(0.5) if nearest else F.col("u")
     return full.withColumn("rate", rates(steps, n)).withColumn("copies", F.floor(F.col("rate") + u).cast("long"))
 
 

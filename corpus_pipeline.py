@@ -41,7 +41,7 @@ MIX_KEEP = {"good": 1.0, "poor": 1.0, "toxic": 0.0}
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: each document as often as its rate, rounded, says; at a rate under a half it goes."""
     labels = source_mix.domain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rated = source_mix.mix(docs, labels, keep=MIX_KEEP, nearest=True).filter("copies > 0")
+    rated = source_mix.mix(docs, labels, keep=MIX_KEEP, carry=tuple(docs.columns), nearest=True).filter("copies > 0")
     return rated.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
