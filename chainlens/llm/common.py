@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -28,6 +29,19 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """Session settings for what runs inside the block."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The batch's texts, null as the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -25,13 +25,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from chainlens.llm.common import fresh_path
+from chainlens.llm.common import fresh_path, settings, stage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CONF = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200"}
+#: Rows whose digest is not repeated leave at the scan by a Bloom filter of at most 8 MB, before their text is shuffled.
+BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+         "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+         "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t"}
 
 
 def sha256(text: Column) -> Column:
@@ -53,10 +57,7 @@ def run_stream(spark: SparkSession, path: str, schema: T.StructType, state: str,
     Each micro-batch of at most ``max_files`` files writes the digests it
     changed to a folder of its own, so a repeated batch replaces itself; the
     newest version of a digest is its state."""
-    before = {k: spark.conf.get(k, None) for k in CONF}
-    for k, v in CONF.items():
-        spark.conf.set(k, v)
-    try:
+    with settings(spark, CONF):
         # as a pattern, since a file stream takes a single file only by pattern
         rows = read_rows(spark.readStream.option("maxFilesPerTrigger", max_files), f"{path[:-1]}[{path[-1]}]", schema, id_col, text_col, digest)
         # a null id is smaller than any id: it stays only where all ids are null
@@ -69,9 +70,6 @@ def run_stream(spark: SparkSession, path: str, schema: T.StructType, state: str,
         q = (seen.writeStream.outputMode("update").option("checkpointLocation", f"{state}/checkpoint")
              .trigger(availableNow=True).foreachBatch(sink).start())
         q.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     locator = T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])
     kept = T.StructType([
         T.StructField("digest", T.StringType()), T.StructField("n", T.LongType()), T.StructField("batch", T.LongType()),
@@ -95,18 +93,17 @@ def dedup_path(spark: SparkSession, path: str, schema: T.StructType, id_col: str
     one at the largest locator.  Null ids are smallest.  An empty folder
     table gives an empty result.
     """
-    st = run_stream(spark, path, schema, state or fresh_path(spark, "dedup-state"), id_col, text_col, digest)
+    st = stage(run_stream(spark, path, schema, state or fresh_path(spark, "dedup-state"), id_col, text_col, digest), "dedup-digests")
     rows = read_rows(spark.read, path, schema, id_col, text_col, digest)
-    heads = st.filter("n > 1")
-    # hits: compare full bytes with the text at the locator
-    fetched = (rows.select(F.col("locator").alias("at"), F.col("text").alias("held"))
-               .join(heads.select("digest", F.col("best.locator").alias("at")), "at").select("digest", "held"))
-    # only rows of repeated digests carry their text through this join
-    hits = rows.join(fetched, "digest").withColumn("same", F.col("text") == F.col("held"))
-    other = hits.filter(~F.col("same"))
-    by_text = Window.partitionBy("digest", "text")
-    strays = (other.select("doc_id", "digest", "locator",
-                           F.max(F.struct("doc_id", "locator")).over(by_text).alias("best"), F.count("*").over(by_text).alias("n")))
+    # hits: compare full bytes with the text at the state's locator
+    heads = st.filter("n > 1").select("digest", F.col("best.locator").alias("at"))
+    with settings(spark, BLOOM):
+        hits = stage(rows.join(heads, "digest"), "dedup-hits")
+        held = hits.filter(F.col("locator") == F.col("at")).select("digest", F.col("text").alias("held"))
+        other = stage(hits.join(held, "digest").filter(F.col("text") != F.col("held")).drop("held"), "dedup-strays")
+    by_text = Window.partitionBy("digest", "text")  # rows of digests that collide only
+    strays = other.select("doc_id", "digest", "locator",
+                          F.max(F.struct("doc_id", "locator")).over(by_text).alias("best"), F.count("*").over(by_text).alias("n"))
     stray_n = other.groupBy("digest").agg(F.count("*").alias("strays"))
     true_st = st.join(stray_n, "digest", "left").select("digest", "best", (F.col("n") - F.coalesce("strays", F.lit(0))).alias("n"))
     light = rows.drop("text")

@@ -171,17 +171,18 @@ def learn(docs: DataFrame, trusted: DataFrame, labelled: DataFrame, id_col: str
 
     The sample's features (``WIDTH`` numbers a row, bounded by the two
     parameters) are all that reaches the driver."""
-    def sample(rows: DataFrame, n: int) -> np.ndarray:
+    def sample(ids: DataFrame, n: int) -> np.ndarray:
         def per_batch(batches: Batches) -> Batches:
             for b in batches:
                 yield record(pa.schema([("x", pa.binary())]), ([f.tobytes() for f in feature_matrix(texts_of(b))],))
-        chosen = rows.orderBy(F.xxhash64(id_col), F.xxhash64(text_col)).select(F.col(text_col).alias("text")).limit(n)
-        got = chosen.mapInArrow(per_batch, "x binary").collect()
+        chosen = ids.distinct().orderBy(F.xxhash64(id_col), id_col).limit(n)  # at most n ids: small enough to broadcast
+        texts = docs.join(F.broadcast(chosen), id_col).select(F.col(text_col).alias("text"))
+        got = texts.mapInArrow(per_batch, "x binary").limit(n).collect()
         return np.stack([np.frombuffer(r.x, np.float32) for r in got]) if got else np.zeros((0, WIDTH), np.float32)
 
-    own = docs.select(id_col, text_col)
-    pos = sample(own.join(trusted.select(id_col).distinct(), id_col), max_positive)
-    unl = sample(own.join(labelled.select(id_col).distinct(), id_col, "left_anti"), max_unlabelled)
+    ids = docs.select(id_col)
+    pos = sample(ids.join(trusted.select(id_col), id_col, "left_semi"), max_positive)
+    unl = sample(ids.join(labelled.select(id_col), id_col, "left_anti").filter(F.col(id_col).isNotNull()), max_unlabelled)
     return fit(pos, unl) if len(pos) and len(unl) else None
 
 
