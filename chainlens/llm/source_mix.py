@@ -16,7 +16,7 @@ against b[k], with a small pull of r towards 1.  In the token-weighted
 metric a gradient step is r[d] <- max(0, r[d] - sum_k p[d, k] e[k] - pull),
 with e[k] the relative misfit of domain k: all that an iteration needs
 from the corpus is one number per domain, an aggregate over a staged table
-of (tokens, posteriors).  The rates of an iteration are a formula in the
+of (tokens, posteriors).  The rates of an iteration are a fold over the
 misfits so far and are never stored.
 """
 
@@ -143,10 +143,14 @@ def fit_rates(rows: DataFrame, n: int, targets: list[float] | None, shares: list
 
 
 def rates(steps: list[list[float]], n: int, pull: float = PULL) -> Column:
-    r = F.lit(1.0)
-    for e in steps:
-        r = F.greatest(F.lit(0.0), (1 - pull) * r + pull - sum((F.col(f"p{k}") * float(e[k]) for k in range(1, n)), F.col("p0") * float(e[0])))
-    return r
+    """The rate after all steps, a fold over their misfits from a rate of 1."""
+    if not steps:
+        return F.lit(1.0)
+
+    def step(r: Column, e: Column) -> Column:
+        return F.greatest(F.lit(0.0), (1 - pull) * r + pull - sum((F.col(f"p{k}") * F.get(e, F.lit(k)) for k in range(1, n)), F.col("p0") * F.get(e, F.lit(0))))
+
+    return F.aggregate(F.array(*(F.array(*(F.lit(float(x)) for x in e)) for e in steps)), F.lit(1.0), step)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] | None = None, keep: dict[str, float] | None = None,
