@@ -165,8 +165,10 @@ def test_source_mix(spark, nasty, empty):
     p = np.array([[r.p0, r.p1, r.p2] for r in got])
     w, rate = np.array([r.tokens for r in got], float), np.ones(len(got))
     base, want = w @ p, np.array(list(shares.values())) * total
-    for _ in range(source_mix.ITERATIONS):
-        rate = np.maximum(0, rate - p @ (((w * rate) @ p - want) / base) - source_mix.PULL * (rate - 1))
+    before = rate
+    for t in range(source_mix.ITERATIONS):
+        y = rate + source_mix.momentum(t) * (rate - before)
+        rate, before = np.maximum(0, y - p @ (((w * y) @ p - want) / base) - source_mix.PULL * (y - 1)), rate
     assert np.abs(rate - [r.rate for r in got]).max() < 1e-3
     none = labels.filter("false")
     for rows in (nasty, empty):
