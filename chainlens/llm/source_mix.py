@@ -117,10 +117,12 @@ def members(docs: DataFrame, model: dict, id_col: str, text_col: str, carry: tup
     scored = docs.select(F.struct(*carry).alias("row"), F.size(words_of(text)).cast("long").alias("tokens"),
                          evidence(text, words_of(text), model).alias("s"),
                          (F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
-    scored = stage(scored, "mix-evidence")
     odds = [F.lit(1.0)] + [F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(f"s.s{k}") / float(UNIT) + p)))
                            for k, p in enumerate(model["prior"])]
-    return scored.select("row", "tokens", "u", *((o / sum(odds[1:], odds[0])).alias(f"p{k}") for k, o in enumerate(odds[:n])))
+    scored = scored.select("row", "tokens", "u", F.array(*odds).alias("odds"))
+    total = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
+    return stage(scored.select("row", "tokens", "u", F.transform("odds", lambda o: o / total).alias("p"))
+                 .select("row", "tokens", "u", *(F.col("p")[k].alias(f"p{k}") for k in range(n))), "mix-members")
 
 
 def fit_rates(rows: DataFrame, n: int, targets: list[float] | None, shares: list[float] | None = None,
@@ -134,7 +136,8 @@ def fit_rates(rows: DataFrame, n: int, targets: list[float] | None, shares: list
     want = targets if targets is not None else [s * sum(base) / sum(shares) for s in shares]
     steps: list[list[float]] = []
     for _ in range(iterations):
-        got = rows.agg(*(F.sum(F.col("tokens") * F.col(f"p{k}") * ahead(steps, n, pull)) for k in range(n))).first()
+        weighed = rows.withColumn("w", F.col("tokens") * ahead(steps, n, pull))
+        got = weighed.agg(*(F.sum(F.col("w") * F.col(f"p{k}")) for k in range(n))).first()
         e = [((float(g or 0.0) - t) / b if b > 0 else 0.0) for g, t, b in zip(got, want, base, strict=True)]
         if steps and max(abs(x - y) for x, y in zip(e, steps[-1], strict=True)) < TOLERANCE:
             break
