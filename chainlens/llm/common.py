@@ -25,7 +25,8 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     start from files that any executor can read, so a lost executor costs
     one task and not the lineage."""
     path = fresh_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    w = df.write.option("compression", "zstd")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -140,23 +140,28 @@ class Coder:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, ids): ids of the whole text and the end id, as unsigned 32-bit bytes."""
+    """(doc_id, ids): ids of the whole text and the end id, as unsigned bytes of
+    the vocabulary's width (``id_width``)."""
     def per_batch(batches: Batches) -> Batches:
-        enc, end = encoder(tokenizer), struct.pack("<I", end_id)
+        enc, end, width = encoder(tokenizer), struct.pack("<I", end_id), id_width(tokenizer, end_id)
         for b in batches:
-            yield record(pa.schema([("doc_id", b.column(0).type), ("ids", pa.binary())]),
-                         (b.column(0), [enc.encode(t) + end for t in texts_of(b)]))
+            ids = [np.frombuffer(enc.encode(t) + end, "<u4").astype(width).tobytes() for t in texts_of(b)]
+            yield record(pa.schema([("doc_id", b.column(0).type), ("ids", pa.binary())]), (b.column(0), ids))
 
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType())])
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(per_batch, out)
 
 
-def id_counts(tokens: DataFrame) -> dict[int, int]:
+def id_width(tokenizer: str, end_id: int) -> str:
+    return "<u2" if max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def id_counts(tokens: DataFrame, width: str) -> dict[int, int]:
     """Occurrences of every id: at most the vocabulary in rows."""
     def per_batch(batches: Batches) -> Batches:
         total = np.zeros(0, np.int64)
         for b in batches:
-            n = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"), minlength=len(total))
+            n = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), width), minlength=len(total))
             n[: len(total)] += total
             total = n
         ids = np.flatnonzero(total)
@@ -176,8 +181,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     """
     spark = docs.sparkSession
     tokens = stage(tokenized(docs, tokenizer, end_id, id_col, text_col), "token-ids")
-    counts = id_counts(tokens)
+    width = id_width(tokenizer, end_id)
+    size = np.dtype(width).itemsize
+    counts = id_counts(tokens, width)
     ids, freqs = shared_table(counts)
+    if len(ids) > 1 << SCALE:
+        raise ValueError("more ids than the frequency table has slots")
     table = spark.createDataFrame([(int(i), int(f)) for i, f in zip(ids, freqs)], "id int, freq int")
     table.coalesce(1).write.parquet(f"{path}/freqs")
     shards = max(1, -(-sum(counts.values()) // shard_tokens))
@@ -192,11 +201,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         state = {"block": 0, "base": 0}
 
         def emit(held: list, arrow_id: pa.DataType) -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            flat = np.frombuffer(b"".join(x for _, x in held), width)
             schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("base", pa.int64()), ("n_tokens", pa.int64()),
                                 ("doc_ids", pa.list_(arrow_id)), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
             out = record(schema, ([shard], [state["block"]], [state["base"]], [len(flat)], [[d for d, _ in held]],
-                                  [[len(x) // 4 for _, x in held]], [coder.encode(flat)]))
+                                  [[len(x) // size for _, x in held]], [coder.encode(flat)]))
             state["block"] += 1
             state["base"] += len(flat)
             return out
@@ -205,11 +214,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         for b in batches:
             arrow_id = b.column(0).type
             for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if held and n + len(x) // 4 > block_tokens:
+                if held and n + len(x) // size > block_tokens:
                     yield emit(held, arrow_id)
                     held, n = [], 0
                 held.append((d, x))
-                n += len(x) // 4
+                n += len(x) // size
         if held:
             yield emit(held, arrow_id)
 

@@ -89,6 +89,10 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         first, spaced = self.first, self.spaced
         if not self.keeps_space:
+            try:  # Latin-1 texts lower-case letter by letter, as the file's normalisation does: fewer distinct words
+                text = text.encode("latin-1").decode("latin-1").lower()
+            except UnicodeEncodeError:
+                pass
             # str.split also splits at four control characters that are no white space to the tokenizer
             words = text.split() if text.isprintable() or not re.search("[\x1c-\x1f]", text) else re.split(r"[ \t\n\r\f\v]+", text)
             return b"".join([first[w] for w in words])
