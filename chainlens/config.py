@@ -7,7 +7,7 @@ names, chain names, labels) are kept as data so that the jobs stay generic.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import types as T
 
@@ -214,17 +214,16 @@ class Params:
     k_max: int = 8
     kmeans_restarts: int = 10
     kmeans_seed: int = 42
-    kmeans_max_iter: int = 100
-    sweep_restarts: int = 1
+    kmeans_max_iter: int = 300
+    sweep_restarts: int = 10
     centroids: tuple = tuple(DRIVER_CENTROIDS)
     #: persona model: "fixed" (given loadings + centroids) or "fitted" (Spark ML)
     model: str = "fixed"
     loadings: tuple = tuple(tuple(r) for r in PUBLISHED_LOADINGS)
     #: distinct-count strategy for the wallet features: "exact" or "set"
-    distinct_mode: str = "set"
+    distinct_mode: str = "exact"
     #: stage the adapter output once per session as a Parquet table
     stage_inputs: bool = True
-    extra: dict = field(default_factory=dict)
 
     @property
     def home_only_label(self) -> str:

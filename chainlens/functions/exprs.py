@@ -15,19 +15,33 @@ def flag_sum(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
 
 
-def money_sum(c, scale: int = 2) -> Column:
+#: Amounts are summed with 8 decimals and 20 digits before the point.
+MONEY = "decimal(28,8)"
+
+
+def money(c) -> Column:
+    """An amount as an exact number; NULL beyond the range (see ``unsummable``)."""
+    return col_or(c).try_cast(MONEY)
+
+
+def unsummable(c) -> Column:
+    """Whether an amount is present but beyond the range of ``money``."""
+    return col_or(c).isNotNull() & money(c).isNull()
+
+
+def money_sum(c) -> Column:
     """Exact sum of a money column: decimal accumulation, double result.
 
     Double sums depend on the order partitions are merged in; a decimal
     sum does not, so results are identical across runs and engines."""
-    return F.sum(col_or(c).cast(f"decimal(18,{scale})")).cast("double")
+    return F.sum(money(c)).cast("double")
 
 
 def avg_money(c, scale: int = 2) -> Column:
     """Mean of a money column from an exact decimal sum, rounded half-up to
     cents.  A double mean rounds differently depending on summation order
     when it lands on half a cent."""
-    return F.round(F.avg(col_or(c).cast(f"decimal(18,{scale})")), scale).cast("double")
+    return F.round(F.avg(money(c)), scale).cast("double")
 
 
 def log10_guarded(c) -> Column:

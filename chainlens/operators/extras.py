@@ -28,7 +28,7 @@ def usd_spread(features_a: DataFrame) -> DataFrame:
         F.round(F.avg(r), 2).alias("mean_receive_usd"),
         F.round(med.select("total_send_usd_q0").scalar(), 2).alias("median_send_usd"),
         F.round(med.select("total_receive_usd_q0").scalar(), 2).alias("median_receive_usd"),
-        F.round(F.try_divide((F.sum(s) - F.sum(r)) * 100.0, F.sum(s)), 4).alias("weighted_spread_pct"))
+        F.round(F.try_divide((money_sum(s) - money_sum(r)) * 100.0, money_sum(s)), 4).alias("weighted_spread_pct"))
 
 
 def vwa_size(table: DataFrame, key: str = "persona") -> DataFrame:
@@ -43,8 +43,8 @@ def _flags(agg: DataFrame, keys: list[str], home: str) -> DataFrame:
     is_home = F.col("platform_") == home
     return agg.groupBy(*keys).agg(
         F.bool_or(is_home).alias("on_home"), F.bool_or(~is_home).alias("on_other"),
-        F.sum(F.when(is_home, F.col("amount_usd"))).alias("home_usd"),
-        F.sum(F.when(~is_home, F.col("amount_usd"))).alias("other_usd"),
+        money_sum(F.when(is_home, F.col("amount_usd"))).alias("home_usd"),
+        money_sum(F.when(~is_home, F.col("amount_usd"))).alias("other_usd"),
         F.sum(F.when(~is_home, F.col("tx_count"))).alias("other_tx"))
 
 
@@ -77,7 +77,7 @@ def unserved_routes(agg: DataFrame, p: Params = DEFAULT,
     f = f.where(F.col("on_other") & ~F.col("on_home"))
     return f.groupBy("source_chain", "destination_chain").agg(
         F.count(F.lit(1)).alias("wallets"),
-        F.round(F.sum("other_usd"), 2).alias("amount_usd"),
+        F.round(money_sum("other_usd"), 2).alias("amount_usd"),
         F.sum("other_tx").cast("bigint").alias("tx_count"))
 
 

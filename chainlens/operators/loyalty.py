@@ -171,12 +171,15 @@ def class_distribution(df: DataFrame, col: str, count_name: str = "n_wallets") -
 
 
 def load_competitor_usage(spark, path: str, fmt: str = "csv") -> DataFrame:
-    """Read an exported competitor usage table (header CSV or Parquet)."""
+    """Read an exported competitor usage table (header CSV or Parquet) by
+    column name, in any order; a file without one of the columns raises."""
     from chainlens.config import COMPETITOR_USAGE_SCHEMA
+    from chainlens.sources.tables import CSV_TEXT
     if fmt == "csv":
-        return spark.read.schema(COMPETITOR_USAGE_SCHEMA).option("header", True).csv(path)
-    return spark.read.parquet(path).select(*COMPETITOR_USAGE_COLUMNS)
-
-
-def in_home_window(tx: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    return in_window(tx, p.window_start, p.window_end)
+        found = spark.read.options(**CSV_TEXT).option("multiLine", True).csv(path)  # all text, names from the header
+    else:
+        found = spark.read.parquet(path)
+    check = check_columns(found, COMPETITOR_USAGE_COLUMNS)
+    if not check["ok"]:
+        raise ValueError(f"competitor usage lacks columns {check['missing']}")
+    return found.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in COMPETITOR_USAGE_SCHEMA.fields])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chainlens.config import (BUSINESS_FEATURES, DEFAULT, DISPLAY_NAMES, LOYALTY_METRICS,
                               LOYALTY_MULTI, PERSONAS, REPORT_FEATURES, Params)
-from chainlens.functions.exprs import avg_money, format_usd, parse_usd, ratio_or_zero, share_of_total
+from chainlens.functions.exprs import avg_money, format_usd, money_sum, parse_usd, ratio_or_zero, share_of_total
 from chainlens.functions.quantiles import exact_quantiles_wide
 
 ALL = "All"
@@ -67,7 +67,7 @@ def loyalty_volume(t: DataFrame) -> DataFrame:
     return t.groupBy("loyalty_type", "persona").agg(
         F.count("total_amount_usd").alias("wallets"),
         mean2("total_amount_usd").alias("mean_amount_usd"),
-        r(F.sum("total_amount_usd")).alias("sum_amount_usd"),
+        r(money_sum("total_amount_usd")).alias("sum_amount_usd"),
         r(F.avg("total_tx_count")).alias("mean_tx_count"),
         F.sum("total_tx_count").cast("bigint").alias("sum_tx_count"),
         r(F.avg("n_platforms")).alias("mean_platforms"))
@@ -214,6 +214,7 @@ def persona_distribution(t: DataFrame) -> DataFrame:
 
 
 def segment_cluster_crosstab(t: DataFrame, k: int) -> DataFrame:
+    """Volume segment x cluster counts; one column per cluster of the model."""
     from chainlens.operators.features import volume_segments
     seg = volume_segments(t)
     return crosstab(seg, "business_segment", "cluster_id", list(range(k)),

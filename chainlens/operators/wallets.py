@@ -15,51 +15,43 @@ from pyspark.sql import functions as F
 
 from chainlens.config import (DEFAULT, KIND_BRIDGE, KIND_CROSS_CHAIN_SWAP, RULE_BEGINNER,
                               RULE_NEW, RULE_PROGRAMMATIC, RULE_REGULAR, Params)
-from chainlens.functions.exprs import avg_money, flag_sum, log10_guarded, money_sum, share_of_total
-
-#: Literal exclusion lists up to this size become an IN-set filter (no join);
-#: larger lists or DataFrames go through an anti join planned by AQE.
-INLINE_LIST_LIMIT = 100_000
-
+from chainlens.functions.exprs import avg_money, flag_sum, log10_guarded, money_sum, share_of_total, unsummable
 
 # ---------------------------------------------------------------------------
 # Exclusions (Q8)
 # ---------------------------------------------------------------------------
 
 
+def exclusion_table(spark, exclusions) -> DataFrame:
+    """(wallet, reasoning) of a list of wallets or (wallet, reason) pairs, or
+    of a DataFrame with a ``wallet`` and perhaps a ``reasoning`` column."""
+    if isinstance(exclusions, DataFrame):
+        reason = F.col("reasoning") if "reasoning" in exclusions.columns else F.lit(None).cast("string")
+        return exclusions.select("wallet", reason.alias("reasoning"))
+    rows = [tuple(e) if isinstance(e, (tuple, list)) else (e, None) for e in exclusions]
+    return spark.createDataFrame(rows, "wallet string, reasoning string")
+
+
 def exclude_wallets(df: DataFrame, exclusions, wallet_col: str = "wallet",
                     keep_null: bool = True) -> DataFrame:
     """Drop listed wallets.
 
     ``keep_null=True`` is the NOT EXISTS form (a NULL wallet survives);
     ``keep_null=False`` is the NOT IN form (NULL wallets are dropped too,
-    valid because the list holds no NULL).  ``exclusions`` is a list of
-    wallets / (wallet, reason) pairs or a DataFrame with a ``wallet`` column.
-    A literal list becomes an ``InSet`` filter evaluated in the scan stage,
-    before any shuffle."""
-    w = F.col(wallet_col)
-    if isinstance(exclusions, DataFrame):
-        ex = exclusions.select(F.col("wallet").alias("__excluded")).where(F.col("__excluded").isNotNull())
-        out = df.join(ex, w == F.col("__excluded"), "left_anti")
-    else:
-        keys = [e[0] if isinstance(e, (tuple, list)) else e for e in exclusions]
-        if len(keys) > INLINE_LIST_LIMIT:
-            raise ValueError("exclusion list too large to inline; pass it as a DataFrame")
-        if not keys:
-            out = df
-        else:
-            out = df.where(w.isNull() | ~w.isin(keys))
-    return out if keep_null else out.where(w.isNotNull())
+    valid because NULLs in the list are ignored).  ``exclusions`` is a list
+    of wallets / (wallet, reason) pairs or a DataFrame with a ``wallet``
+    column; any size is the same anti join, whose list side Spark
+    broadcasts where its known size allows and shuffles beyond."""
+    ex = exclusion_table(df.sparkSession, exclusions).select(F.col("wallet").alias("__excluded"))
+    out = df.join(ex, F.col(wallet_col) == F.col("__excluded"), "left_anti")
+    return out if keep_null else out.where(F.col(wallet_col).isNotNull())
 
 
-def exclusion_impact(tx: DataFrame, exclusions: Sequence[tuple[str, str]]) -> DataFrame:
+def exclusion_impact(tx: DataFrame, exclusions) -> DataFrame:
     """Per exclusion reason: wallets listed, wallets present, rows removed."""
-    keys = [w for w, _ in exclusions]
-    spark = tx.sparkSession
-    listed = spark.createDataFrame(list(exclusions), "wallet string, reasoning string")
-    found = (tx.where(F.col("wallet").isin(keys))
+    listed = exclusion_table(tx.sparkSession, exclusions)
+    found = (tx.join(listed.select("wallet"), "wallet", "left_semi")
              .groupBy("wallet").agg(F.count(F.lit(1)).alias("n_rows")))
-    # both sides are bounded by the literal list length
     return (listed.join(found, "wallet", "left")
             .groupBy("reasoning")
             .agg(F.count(F.lit(1)).alias("wallets_listed"),
@@ -102,6 +94,14 @@ def retention_counts(tx: DataFrame, ts: str) -> DataFrame:
         .withColumn("rows_after", F.col("rows_before") - F.col("rows_deleted"))
 
 
+def money_rejects(tx: DataFrame, cols: Sequence[str] = ("user_send_currency_usd", "user_receive_currency_usd")) -> DataFrame:
+    """Per money column: amounts present, and those beyond the range that sums take."""
+    agg = tx.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[F.count_if(unsummable(c)).alias(f"r{i}") for i, c in enumerate(cols)])
+    pairs = ", ".join(f"'{c}', n{i}, r{i}" for i, c in enumerate(cols))
+    return agg.selectExpr(f"stack({len(cols)}, {pairs}) AS (column_name, n_amounts, n_rejected)")
+
+
 def load_summary(tx: DataFrame) -> DataFrame:
     return tx.agg(F.count(F.lit(1)).alias("total_transactions"),
                   F.countDistinct("wallet").alias("unique_wallets"),
@@ -215,41 +215,33 @@ def segment_distribution(segments: DataFrame, col: str = "user_segment") -> Data
 def heavy_wallet_chains(tx: DataFrame, min_tx: int, k: int = 3) -> DataFrame:
     """Wallets with more than ``min_tx`` rows; their top-k origin and
     destination chains side by side, one row per wallet x rank (NULL when a
-    wallet has fewer than k chains).
-
-    One scan: a GROUPING SETS aggregate gives (wallet, origin), (wallet,
-    destination) and (wallet) counts in one shuffle, after partial
-    aggregation.  Everything after works inside the wallet partitioning of
-    the next exchange (a few dozen rows per wallet): the wallet total by a
-    window, the ranks by ``row_number`` (per wallet and kind), the rank grid
-    by ``explode(sequence(1, k))`` and the side-by-side row by a group on
-    (wallet, rank).  No join, no cross join."""
-    g = (tx.groupingSets([["wallet", "origin_chain_name"], ["wallet", "destination_chain_name"], ["wallet"]],
-                         "wallet", "origin_chain_name", "destination_chain_name")
-         .agg(F.count(F.lit(1)).alias("n"),
-              F.grouping_id().alias("kind")))
-    # kind: 1 = origin row, 2 = destination row, 3 = wallet total
-    chain = F.when(F.col("kind") == 1, F.col("origin_chain_name")).otherwise(F.col("destination_chain_name"))
-    by_wallet = Window.partitionBy("wallet")
-    g = (g.select("wallet", "kind", chain.alias("chain"), "n")
-         .withColumn("total_tx", F.max(F.when(F.col("kind") == 3, F.col("n"))).over(by_wallet))
-         .where(F.col("total_tx") > min_tx))
-    rk = F.row_number().over(Window.partitionBy("wallet", "kind").orderBy(F.desc("n"), F.asc_nulls_first("chain")))
-    g = g.withColumn("rank", F.when(F.col("kind") == 3, F.lit(0)).otherwise(rk)).where(F.col("rank") <= k)
-    g = g.withColumn("rank", F.explode(F.when(F.col("kind") == 3, F.sequence(F.lit(1), F.lit(k)))
-                                       .otherwise(F.array(F.col("rank")))))
-    out = g.groupBy("wallet", "rank").agg(
-        F.max("total_tx").alias("total_tx"),
-        F.max(F.when(F.col("kind") == 1, F.col("chain"))).alias("source"),
-        F.max(F.when(F.col("kind") == 1, F.col("n"))).alias("source_count"),
-        F.max(F.when(F.col("kind") == 2, F.col("chain"))).alias("dest"),
-        F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("dest_count"))
-    return out.select(
-        "wallet", F.col("total_tx").cast("bigint").alias("total_tx"),
-        F.col("rank").alias("source_rank"), "source",
-        F.col("source_count").cast("bigint").alias("source_count"),
-        F.col("rank").alias("dest_rank"), "dest",
-        F.col("dest_count").cast("bigint").alias("dest_count"))
+    wallet has fewer than k chains, and throughout for a NULL wallet).
+
+    One aggregate over the raw rows, on (wallet, origin, destination).
+    Everything after it works on those counts inside one wallet
+    partitioning: the wallet total drops the light wallets first, then both
+    sides are counted per chain, ranked, and gathered by (wallet, rank)."""
+    routes = (tx.groupBy("wallet", "origin_chain_name", "destination_chain_name").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("total_tx", F.sum("n").over(Window.partitionBy("wallet")))
+              .where(F.col("total_tx") > min_tx))
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("chain"))
+                      for i, c in enumerate(["origin_chain_name", "destination_chain_name"])])
+    counts = (routes.select("wallet", "total_tx", "n", F.explode(sides).alias("s"))
+              .groupBy("wallet", "total_tx", "s.side", "s.chain").agg(F.sum("n").alias("n")))
+    order = Window.partitionBy("wallet", "side").orderBy(F.desc("n"), F.asc_nulls_first("chain"))
+    ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # the best chain of a wallet also stands for the ranks it may lack
+    ranks = F.when(F.col("rank") == 1, F.sequence(F.lit(1), F.lit(k))).otherwise(F.array("rank"))
+    grid = ranked.select("wallet", "total_tx", "side", "chain", "n", F.col("rank").alias("own"), F.explode(ranks).alias("rank"))
+
+    def pick(side: int, c: str) -> Column:
+        return F.max(F.when((F.col("side") == side) & (F.col("own") == F.col("rank")) & F.col("wallet").isNotNull(), F.col(c)))
+
+    out = grid.groupBy("wallet", "total_tx", "rank").agg(
+        pick(0, "chain").alias("source"), pick(0, "n").alias("source_count"),
+        pick(1, "chain").alias("dest"), pick(1, "n").alias("dest_count"))
+    return out.select("wallet", "total_tx", F.col("rank").alias("source_rank"), "source", "source_count",
+                      F.col("rank").alias("dest_rank"), "dest", "dest_count")
 
 
 def route_lookup(tx: DataFrame, wallet: str, origin: str, dest: str, n: int = 2) -> DataFrame:
@@ -265,8 +257,10 @@ def route_lookup(tx: DataFrame, wallet: str, origin: str, dest: str, n: int = 2)
 
 
 def _distinct(c: Column | str, mode: str) -> Column:
-    """COUNT(DISTINCT c).  ``set`` = size(collect_set): one shuffle, no Expand;
-    right for low-cardinality columns (chains, days, routes, tokens per wallet)."""
+    """COUNT(DISTINCT c).  The default counts distinct (wallet, value) pairs
+    over two shuffles, with bounded memory for any wallet.  ``set`` =
+    size(collect_set) takes one shuffle but holds a wallet's whole set in
+    one row; it is for columns known to have few values."""
     c = F.col(c) if isinstance(c, str) else c
     if mode == "set":
         return F.size(F.collect_set(c)).cast("bigint")
@@ -278,9 +272,9 @@ def wallet_features(tx: DataFrame, exclusions, variant: str = "A", p: Params = D
 
     Variant A: all rows, NOT EXISTS exclusion, 11 features.  Variant B:
     window ``[window_start, window_end)``, NOT IN exclusion, the 9 business
-    features plus four base-10 log columns.  The exclusion is a filter in
-    the scan stage, so listed wallets (the hottest keys) never reach the
-    shuffle."""
+    features plus four base-10 log columns.  The exclusion comes before the
+    grouping; with its list broadcast, listed wallets (the hottest keys)
+    never reach the shuffle."""
     m = p.distinct_mode
     if variant == "A":
         base = exclude_wallets(tx, exclusions, keep_null=True)
@@ -300,7 +294,7 @@ def wallet_features(tx: DataFrame, exclusions, variant: str = "A", p: Params = D
     if variant == "A":
         aggs += [F.count("deposit_tx_hash").alias("deposit_tx_count"),
                  money_sum("user_send_currency_usd").alias("total_send_usd"),
-                 money_sum("user_receive_currency_usd", 4).alias("total_receive_usd")]
+                 money_sum("user_receive_currency_usd").alias("total_receive_usd")]
     else:
         aggs += [money_sum("user_send_currency_usd").alias("total_send_usd")]
     feats = base.groupBy("wallet").agg(*aggs)

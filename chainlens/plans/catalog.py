@@ -55,17 +55,13 @@ class Inputs:
     def _staged(self, name: str, build: Callable[[], DataFrame], tables: list[str],
                 rebalance: bool = True, bucket_by: str | None = None) -> DataFrame:
         """The adapter output staged once per session as a balanced Parquet
-        table (the ingest step); the raw adapter plan when no checkpoint
-        folder can be used.  Injected inputs are materialized per run."""
+        table (the ingest step).  Injected inputs are materialized per run."""
         if not self.p.stage_inputs:
             return build()
-        try:
-            if self.sf_dir is None:
-                return P.materialize(build(), name)
-            srcs = [f"{self.sf_dir.rstrip('/')}/{t}.parquet" for t in tables]
-            return T_.staged(self.spark, name, build, srcs, rebalance, bucket_by=bucket_by)
-        except RuntimeError:
-            return build()
+        if self.sf_dir is None:
+            return P.materialize(build(), name)
+        srcs = [f"{self.sf_dir.rstrip('/')}/{t}.parquet" for t in tables]
+        return T_.staged(self.spark, name, build, srcs, rebalance, bucket_by=bucket_by)
 
     @property
     def tx(self) -> DataFrame:
@@ -73,6 +69,11 @@ class Inputs:
             "transactions", lambda: A.transactions(self.spark, self.sf_dir),
             ["lineitem", "orders", "part", "supplier"]))
 
+    @property
+    def kept(self) -> DataFrame:
+        """The transactions that retention keeps: what every analysis reads."""
+        return W.retain_from(self.tx, self.p.retain_from)
+
     @property
     def exclusions(self):
         return A.DRIVER_EXCLUSIONS if self._exclusions is None else self._exclusions
@@ -91,37 +92,35 @@ def _q(build: Callable[[Inputs], DataFrame], p: Params = DEFAULT) -> QueryFn:
 
 
 def _wallet_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
-    def retained(i: Inputs) -> DataFrame:
-        return W.retain_from(i.tx, p.retain_from)
-
     return {
         "retention_counts": lambda i: W.retention_counts(i.tx, p.retain_from),
-        "load_summary": lambda i: W.load_summary(retained(i)),
-        "top_origin_chains": lambda i: W.top_origin_chains(retained(i), 5),
-        "earliest_transactions": lambda i: W.earliest_transactions(retained(i), 5),
+        "money_rejects": lambda i: W.money_rejects(i.kept),
+        "load_summary": lambda i: W.load_summary(i.kept),
+        "top_origin_chains": lambda i: W.top_origin_chains(i.kept, 5),
+        "earliest_transactions": lambda i: W.earliest_transactions(i.kept, 5),
         "monthly_transactions": lambda i: W.monthly_transactions(i.tx),
-        "top_wallets": lambda i: W.top_wallets(i.tx, p.top_k_wallets),
+        "top_wallets": lambda i: W.top_wallets(i.kept, p.top_k_wallets),
         "top_wallet_stats": lambda i: W.top_wallet_stats(
-            W.top_wallets(i.tx, p.top_k_wallets), p.rule_new_max, p.advanced_min,
+            W.top_wallets(i.kept, p.top_k_wallets), p.rule_new_max, p.advanced_min,
             p.rule_programmatic_min),
-        "wallet_profile": lambda i: W.wallet_profile(i.tx),
-        "recent_transactions": lambda i: W.recent_transactions(i.tx, p.recent_n),
-        "rule_segments": lambda i: W.rule_segments(i.tx, p),
-        "segment_distribution": lambda i: W.segment_distribution(W.rule_segments(i.tx, p)),
-        "heavy_wallet_chains": lambda i: W.heavy_wallet_chains(i.tx, p.heavy_min_tx, p.heavy_top_k),
-        "exclusion_impact": lambda i: W.exclusion_impact(i.tx, i.exclusions),
-        "wallet_features": lambda i: W.wallet_features(i.tx, i.exclusions, "A", p),
+        "wallet_profile": lambda i: W.wallet_profile(i.kept),
+        "recent_transactions": lambda i: W.recent_transactions(i.kept, p.recent_n),
+        "rule_segments": lambda i: W.rule_segments(i.kept, p),
+        "segment_distribution": lambda i: W.segment_distribution(W.rule_segments(i.kept, p)),
+        "heavy_wallet_chains": lambda i: W.heavy_wallet_chains(i.kept, p.heavy_min_tx, p.heavy_top_k),
+        "exclusion_impact": lambda i: W.exclusion_impact(i.kept, i.exclusions),
+        "wallet_features": lambda i: W.wallet_features(i.kept, i.exclusions, "A", p),
         # log columns reported at 6 places: libm and Java's log10 differ in the last bit
         "wallet_features_window": lambda i: round_doubles(
-            W.wallet_features(i.tx, i.exclusions, "B", p), 6),
-        "route_lookup": lambda i: W.route_lookup(i.tx, p.lookup_wallet, p.lookup_origin,
+            W.wallet_features(i.kept, i.exclusions, "B", p), 6),
+        "route_lookup": lambda i: W.route_lookup(i.kept, p.lookup_wallet, p.lookup_origin,
                                                  p.lookup_dest, 2),
     }
 
 
 def _first_use_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
     def fu(i: Inputs) -> DataFrame:
-        return FU.first_usage(i.tx, i.exclusions, p)
+        return _model_table(i, "first_usage", lambda: FU.first_usage(i.kept, i.exclusions, p))
 
     return {
         "first_usage": fu,
@@ -140,7 +139,8 @@ def usage(i: Inputs) -> DataFrame:
 
 
 def home(i: Inputs) -> DataFrame:
-    return L.home_route_usage(i.tx, i.exclusions, i.p)
+    """Home usage per wallet and route, stored: the loyalty jobs read it, not the transactions."""
+    return _model_table(i, "home_route_usage", lambda: L.home_route_usage(i.kept, i.exclusions, i.p))
 
 
 def overlap(i: Inputs) -> DataFrame:
@@ -148,7 +148,8 @@ def overlap(i: Inputs) -> DataFrame:
 
 
 def loyalty_agg(i: Inputs) -> DataFrame:
-    return L.loyalty_aggregate(home(i), overlap(i))
+    """Home and competitor usage of the home wallets, stored."""
+    return _model_table(i, "loyalty_aggregate", lambda: L.loyalty_aggregate(home(i), overlap(i)))
 
 
 def loyalty_cls(i: Inputs) -> DataFrame:
@@ -183,11 +184,11 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def features_a(i: Inputs) -> DataFrame:
-    return W.wallet_features(i.tx, i.exclusions, "A", i.p)
+    return W.wallet_features(i.kept, i.exclusions, "A", i.p)
 
 
 def features_b(i: Inputs) -> DataFrame:
-    return W.wallet_features(i.tx, i.exclusions, "B", i.p)
+    return W.wallet_features(i.kept, i.exclusions, "B", i.p)
 
 
 def _model_table(i: Inputs, name: str, build: Callable[[], DataFrame],
@@ -287,7 +288,8 @@ def _persona_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
             P.cluster_centroids(P.with_personas(assigned(i)), ("cluster_id", "persona"))),
         "cluster_profiles": lambda i: P.cluster_profiles(persona_tbl(i)),
         "persona_labels": lambda i: round_doubles(P.persona_labels(assigned(i))),
-        "segment_cluster_crosstab": lambda i: R.segment_cluster_crosstab(persona_tbl(i), len(p.centroids)),
+        "segment_cluster_crosstab": lambda i: R.segment_cluster_crosstab(
+            persona_tbl(i), p.k if p.model == "fitted" else len(p.centroids)),
         "loyalty_persona": lambda i: round_doubles(final_tbl(i), 4),
         "persona_loyalty_crosstab": lambda i: R.crosstab(final_tbl(i), "persona", "loyalty_type", lt),
         "persona_loyalty_pct": lambda i: R.normalized_crosstab(final_tbl(i), "persona", "loyalty_type", lt),
@@ -315,7 +317,7 @@ def _extra_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
         "dest_overlap": lambda i: X.dest_overlap(loyalty_agg(i), p),
         "unserved_routes": lambda i: X.unserved_routes(loyalty_agg(i), p),
         "route_share": lambda i: X.route_share(loyalty_agg(i), p),
-        "return_routes": lambda i: X.return_routes(i.tx, i.exclusions, p),
+        "return_routes": lambda i: X.return_routes(i.kept, i.exclusions, p),
     }
 
 

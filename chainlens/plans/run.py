@@ -46,7 +46,7 @@ def run_analysis(spark: SparkSession, transactions: str | list[str], competitor:
     TB.write_transactions(ing.data, f"{out}/transactions")
     ing.quarantine.write.mode("overwrite").parquet(f"{out}/quarantine")
     ing.bad_times.write.mode("overwrite").parquet(f"{out}/unparsed_times")
-    TB.export_csv(ing.drift.drop("columns", "missing", "extra"), f"{out}/schema_drift", single_file=True)
+    TB.export_csv(ing.drift.drop("columns", "missing", "extra"), f"{out}/schema_drift")
     tx = spark.read.parquet(f"{out}/transactions").drop("month")
     usage = L.load_competitor_usage(spark, competitor)
     inputs = catalog.Inputs(spark, None, p, tx=tx, competitor_usage=usage,
@@ -61,7 +61,7 @@ def run_analysis(spark: SparkSession, transactions: str | list[str], competitor:
         if name in WALLET_GRAIN:
             df.write.mode("overwrite").parquet(path)
         else:
-            TB.export_csv(df, path, single_file=True)
+            TB.export_csv(df, path)
         written[name] = path
     return written
 

@@ -209,7 +209,3 @@ def sample_per_file(spark: SparkSession, paths: str | Sequence[str], n: int = 5,
         df = df.withColumn("__rn", w).where(F.col("__rn") <= n).drop("__pos", "__rn")
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out if out is not None else spark.createDataFrame([], "source_file string")
-
-
-def canonical_columns() -> list[str]:
-    return list(TRANSACTION_COLUMNS)

@@ -101,13 +101,15 @@ def write_bucketed(df: DataFrame, table: str, path: str, key: str = "wallet",
      .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """Header CSV export.  ``single_file`` only for group-grain results
-    (a few rows); wallet-grain tables are written in parallel parts."""
-    out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+#: Quotes are doubled, as CSV readers expect; values may hold line breaks.
+CSV_TEXT = {"header": "true", "quote": '"', "escape": '"'}
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """Header CSV export, in the parts the last stage has (one for small results)."""
+    df.write.mode("overwrite").options(**CSV_TEXT).csv(path)
 
 
 def read_csv_result(spark: SparkSession, path: str, schema) -> DataFrame:
     """Re-read an exported result with its declared schema (no inference)."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(**CSV_TEXT).option("multiLine", True).csv(path)

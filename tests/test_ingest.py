@@ -102,7 +102,7 @@ def test_table_sinks(spark, tmp_dir):
     TB.write_table(data.limit(1), f"{tmp_dir}/tx_app", mode="overwrite")
     TB.write_table(data.limit(1), f"{tmp_dir}/tx_app", mode="append")
     assert spark.read.parquet(f"{tmp_dir}/tx_app").count() == 2
-    TB.export_csv(data.groupBy("wallet").count(), f"{tmp_dir}/out_csv", single_file=True)
+    TB.export_csv(data.groupBy("wallet").count(), f"{tmp_dir}/out_csv")
     back = TB.read_csv_result(spark, f"{tmp_dir}/out_csv", "wallet string, count long")
     assert sorted((r.wallet, r["count"]) for r in back.collect()) == [("w1", 3), ("w2", 2)]
     TB.write_bucketed(data, "tx_bucketed", f"{tmp_dir}/tx_b", buckets=4)
