@@ -8,14 +8,16 @@ UTF-8, so the steps are:
 
 1. one distributed pass over the files' first lines and bytes gives, per
    file, its header and whether all of its lines are valid UTF-8;
-2. files are grouped by (header, encoding) - a handful of groups; each
-   group is read in parallel with the schema in its own column order plus
-   one sentinel column, then projected to the canonical order;
-3. lines with a value in the sentinel column (too many fields) go to a
-   quarantine frame; short lines keep NULLs; a field that does not parse
-   as its type becomes NULL.  (No corrupt-record column: with one, Spark
-   flags every token-count mismatch, and which lines it flags depends on
-   the columns a query prunes.)
+2. files are grouped by (header, encoding, line breaks inside quotes) - a
+   handful of groups; each group is read in parallel, all fields as text
+   in its own column order, then parsed and projected to the canonical
+   order.  Only files with a quoted line break are read whole (such files
+   cannot be split);
+3. Spark marks lines whose number of fields differs from the header and
+   keeps their source text.  Those with too many fields, empty ones
+   included, go to a quarantine frame as they were; short lines keep NULLs;
+   a field that does not parse as its type becomes NULL.  Quotes inside
+   quoted fields are doubled.
 
 Only per-file metadata (one row per file) reaches the driver.
 """
@@ -31,8 +33,31 @@ from pyspark.sql import types as T
 
 from chainlens.config import TRANSACTION_COLUMNS, TRANSACTION_SCHEMA
 
-EXTRA_COL = "_extra_field"
+#: Source text of a line whose number of fields is not the header's.
+RAW_COL = "_source_line"
 LATIN1 = "ISO-8859-1"
+#: A comma outside quotes.
+_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+#: All fields are parsed whatever columns a query takes, so that the same lines are marked each time.
+READ = {"header": "true", "mode": "PERMISSIVE", "quote": '"', "escape": '"', "columnNameOfCorruptRecord": RAW_COL,
+        "columnPruning": "false"}
+
+
+def fields_of(line) -> F.Column:
+    """Fields of a CSV line, without their quotes."""
+    line = F.col(line) if isinstance(line, str) else line
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"')
+    return F.transform(F.split(line, _COMMA, -1), bare)
+
+
+def source_line(columns: Sequence[str]) -> F.Column:
+    """The marked line; Spark wants a field named beside it, so none of the first one is added."""
+    return F.concat(F.col(RAW_COL), F.substring(F.coalesce(F.col(columns[0]), F.lit("")), 1, 0))
+
+
+def too_long(columns: Sequence[str]) -> F.Column:
+    """Whether a line has more fields than ``columns``."""
+    return F.coalesce(F.size(F.split(source_line(columns), _COMMA, -1)) > len(columns), F.lit(False))
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
@@ -58,9 +83,11 @@ def file_headers(spark: SparkSession, paths: str | Sequence[str],
     return (lines.groupBy("file_path", "file_name").agg(
                 F.min_by(F.when(F.col("block_start") == 0, F.col("value")),
                          F.when(F.col("block_start") == 0, F.col("pos"))).alias("header"),
-                F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+                F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+                # a line with an odd number of quotes opens a field that goes on in the next
+                F.bool_or((F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).alias("breaks"))
             .withColumn("header", F.regexp_replace("header", "^﻿", ""))
-            .withColumn("columns", F.transform(F.split("header", ","), lambda c: F.trim(c))))
+            .withColumn("columns", fields_of("header")))
 
 
 def schema_drift(headers: DataFrame, expected: Sequence[str] | None = None) -> DataFrame:
@@ -72,7 +99,7 @@ def schema_drift(headers: DataFrame, expected: Sequence[str] | None = None) -> D
     else:
         ref = F.array(*[F.lit(c) for c in expected])
     d = headers.select(
-        "file_path", "file_name", "utf8", "columns",
+        "file_path", "file_name", "utf8", "breaks", "columns",
         F.size("columns").alias("n_columns"),
         F.array_except(ref, F.col("columns")).alias("missing"),
         F.array_except(F.col("columns"), ref).alias("extra"),
@@ -102,9 +129,6 @@ def parse_bool(c) -> F.Column:
     return F.when(v.isin(TRUE_WORDS), F.lit(True)).when(v.isin(FALSE_WORDS), F.lit(False))
 
 
-_TEXT_READ = (T.BooleanType, T.TimestampType)
-
-
 def parse_time(c, fmt: str | None = None) -> F.Column:
     """Text -> timestamp, once, at ingest; text that does not parse -> NULL."""
     c = F.col(c) if isinstance(c, str) else c
@@ -112,26 +136,25 @@ def parse_time(c, fmt: str | None = None) -> F.Column:
 
 
 def _typed(schema: T.StructType, fmt: str | None = None) -> list[F.Column]:
-    """Canonical projection.  Boolean and timestamp columns are read as
-    text and parsed here: the CSV reader only knows 'true' / 'false', and
-    a time that fails to parse must be counted, not silently nulled."""
+    """Canonical projection of the text fields; empty text is NULL."""
     out = []
     for f in schema.fields:
         if isinstance(f.dataType, T.BooleanType):
-            out.append(parse_bool(f.name).alias(f.name))
+            c = parse_bool(f.name)
         elif isinstance(f.dataType, T.TimestampType):
-            out.append(parse_time(f.name, fmt).alias(f.name))
+            c = parse_time(f.name, fmt)
         else:
-            out.append(F.col(f.name))
+            c = F.col(f.name).try_cast(f.dataType)
+        out.append(c.alias(f.name))
     return out
 
 
-def _group_schema(columns: Sequence[str], schema: T.StructType) -> T.StructType:
-    by_name = {f.name: f for f in schema.fields}
-    fields = [T.StructField(c, T.StringType() if isinstance(by_name[c].dataType, _TEXT_READ)
-                            else by_name[c].dataType, True) for c in columns]
-    fields += [T.StructField(EXTRA_COL, T.StringType(), True)]
-    return T.StructType(fields)
+def _group_schema(columns: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in [*columns, RAW_COL]])
+
+
+def _quarantined(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.where(too_long(columns)).select("file_path", source_line(columns).alias("line"))
 
 
 def read_transactions(spark: SparkSession, paths: str | Sequence[str],
@@ -146,21 +169,19 @@ def read_transactions(spark: SparkSession, paths: str | Sequence[str],
     expected = [f.name for f in schema.fields]
     headers = file_headers(spark, paths, exclude_prefix)
     drift = schema_drift(headers, expected)
-    meta = drift.select("file_path", "columns", "utf8", "matches").collect()  # one row per file
+    meta = drift.select("file_path", "columns", "utf8", "breaks", "matches").collect()  # one row per file
     skipped = [r.file_path for r in meta if not r.matches]
     if skipped and strict:
         raise ValueError(f"column schema mismatch in {len(skipped)} file(s): {skipped[:5]}")
     groups: dict[tuple, list[str]] = {}
     for r in meta:
         if r.matches:
-            groups.setdefault((tuple(r.columns), bool(r.utf8)), []).append(r.file_path)
+            groups.setdefault((tuple(r.columns), bool(r.utf8), bool(r.breaks)), []).append(r.file_path)
     data_parts, bad_parts, time_parts = [], [], []
-    for (cols, utf8), files in sorted(groups.items()):
-        reader = (spark.read.schema(_group_schema(cols, schema))
-                  .option("header", True).option("mode", "PERMISSIVE")
-                  .option("encoding", "UTF-8" if utf8 else LATIN1))
-        df = reader.csv(files).withColumn("file_path", F.col("_metadata.file_path"))
-        bad = F.col(EXTRA_COL).isNotNull()
+    for (cols, utf8, breaks), files in sorted(groups.items()):
+        reader = spark.read.schema(_group_schema(cols)).options(**READ).option("multiLine", breaks)
+        df = reader.option("encoding", "UTF-8" if utf8 else LATIN1).csv(files).withColumn("file_path", F.col("_metadata.file_path"))
+        bad = too_long(cols)
         data_parts.append(df.where(~bad).select(*_typed(schema, timestamp_format)))
         for f in schema.fields:
             if isinstance(f.dataType, T.TimestampType):
@@ -168,9 +189,7 @@ def read_transactions(spark: SparkSession, paths: str | Sequence[str],
                                            & parse_time(f.name, timestamp_format).isNull())
                                   .select("file_path", F.lit(f.name).alias("column"),
                                           F.col(f.name).alias("text")))
-        bad_parts.append(df.where(bad).select(
-            "file_path", F.concat_ws(",", *[F.col(c).cast("string") for c in cols],
-                                     F.col(EXTRA_COL)).alias("line")))
+        bad_parts.append(_quarantined(df, cols))
     if data_parts:
         data = data_parts[0]
         for d in data_parts[1:]:
@@ -195,17 +214,17 @@ def sample_per_file(spark: SparkSession, paths: str | Sequence[str], n: int = 5,
     ``row_number() <= n`` over each file is a WindowGroupLimit, so every
     task forwards at most n rows per file."""
     headers = file_headers(spark, paths, exclude_prefix)
-    meta = headers.select("file_path", "columns").collect()
+    meta = headers.select("file_path", "columns", "utf8", "breaks").collect()
     groups: dict[tuple, list[str]] = {}
     for r in meta:
-        groups.setdefault(tuple(r.columns), []).append(r.file_path)
+        groups.setdefault((tuple(r.columns), bool(r.utf8), bool(r.breaks)), []).append(r.file_path)
     out = None
-    for cols, files in sorted(groups.items()):
-        sch = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
-        df = (spark.read.schema(sch).option("header", True).csv(files)
-              .withColumn("source_file", F.col("_metadata.file_name"))
-              .withColumn("__pos", F.monotonically_increasing_id()))
-        w = F.row_number().over(Window.partitionBy("source_file").orderBy("__pos"))
-        df = df.withColumn("__rn", w).where(F.col("__rn") <= n).drop("__pos", "__rn")
+    for (cols, utf8, breaks), files in sorted(groups.items()):
+        reader = spark.read.schema(_group_schema(cols)).options(**READ).option("multiLine", breaks)
+        df = (reader.option("encoding", "UTF-8" if utf8 else LATIN1).csv(files).where(~too_long(cols)).select(
+              *cols, F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("__path"),
+              F.monotonically_increasing_id().alias("__pos")))
+        w = F.row_number().over(Window.partitionBy("__path").orderBy("__pos"))
+        df = df.withColumn("__rn", w).where(F.col("__rn") <= n).drop("__pos", "__rn", "__path")
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out if out is not None else spark.createDataFrame([], "source_file string")

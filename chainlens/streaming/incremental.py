@@ -23,27 +23,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chainlens.config import TRANSACTION_SCHEMA
-from chainlens.sources.csv_ingest import EXTRA_COL, _group_schema, _typed
+from chainlens.sources.csv_ingest import READ, _group_schema, _quarantined, _typed, too_long
 
 
 def start_ingest(spark: SparkSession, in_dir: str, table_path: str, quarantine_path: str,
                  checkpoint_dir: str, header: Sequence[str] | None = None,
-                 available_now: bool = True, max_files_per_trigger: int | None = None
+                 available_now: bool = True, max_files_per_trigger: int | None = None,
+                 encoding: str = "UTF-8", multi_line: bool = False
                  ) -> tuple[StreamingQuery, StreamingQuery]:
     """Start the two streaming queries (data, quarantine).  Data lands in
     ``table_path`` partitioned by month, canonical column order."""
     expected = [f.name for f in TRANSACTION_SCHEMA.fields]
     cols = list(header or expected)
-    reader = (spark.readStream.schema(_group_schema(cols, TRANSACTION_SCHEMA))
-              .option("header", True).option("mode", "PERMISSIVE"))
+    # enforceSchema off: a file whose header has other names or another order stops the query
+    reader = spark.readStream.schema(_group_schema(cols)).options(**READ).option("enforceSchema", False).option("multiLine", multi_line).option("encoding", encoding)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.csv(in_dir)
-    good = (src.where(F.col(EXTRA_COL).isNull()).select(*_typed(TRANSACTION_SCHEMA))
+    good = (src.where(~too_long(cols)).select(*_typed(TRANSACTION_SCHEMA))
             .withColumn("month", F.date_format("created_at", "yyyy-MM")))
-    bad = src.where(F.col(EXTRA_COL).isNotNull()).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.concat_ws(",", *[F.col(c).cast("string") for c in cols], F.col(EXTRA_COL)).alias("line"))
+    bad = _quarantined(src.withColumn("file_path", F.col("_metadata.file_path")), cols)
 
     def sink(df, path, name, parts=()):
         w = (df.writeStream.format("parquet").option("path", path)

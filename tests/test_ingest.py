@@ -127,3 +127,59 @@ def test_month_partitions_prune(spark, tmp_dir):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
     assert q.count() == 4
+
+
+def quoted(cols, rows):
+    import csv
+    import io
+    f = io.StringIO()
+    w = csv.writer(f, quoting=csv.QUOTE_ALL, lineterminator="\n")
+    w.writerow(cols)
+    w.writerows([r[c] for c in cols] for r in rows)
+    return f.getvalue()
+
+
+def test_quoted_text(spark, tmp_dir):
+    odd = ['say "hi", you', "two\nlines", 'a "" b', ",", "plain"]
+    with open(f"{tmp_dir}/quoted.csv", "w") as f:
+        f.write(quoted(COLS, [row(i, wallet=w) for i, w in enumerate(odd)]))
+    ing = CI.read_transactions(spark, f"{tmp_dir}/quoted.csv")
+    assert [r.wallet for r in ing.data.orderBy("deposit_tx_hash").collect()] == odd
+    assert ing.quarantine.count() == 0 and not ing.skipped and ing.data.filter("user_send_currency_usd = 10.5").count() == len(odd)
+
+
+def test_quarantine_keeps_the_source_line(spark, tmp_dir):
+    base = ",".join(row(1, usd="10.50").values())
+    lines = [base + ",,x2", base + ",", base + ',"q,r",z', ",,10.50" + base]
+    write_csv(f"{tmp_dir}/long.csv", COLS, [row(2)], raw_lines=[*lines, base])
+    ing = CI.read_transactions(spark, f"{tmp_dir}/long.csv")
+    assert sorted(r.line for r in ing.quarantine.collect()) == sorted(lines)
+    assert ing.data.count() == 2
+
+
+def test_sample_of_files_with_one_name(spark, tmp_dir):
+    for d, enc in (("a", "utf-8"), ("b", "latin-1")):
+        os.makedirs(f"{tmp_dir}/{d}")
+        write_csv(f"{tmp_dir}/{d}/same.csv", COLS, [row(i, wallet="wé") for i in range(5)], encoding=enc)
+    got = CI.sample_per_file(spark, f"{tmp_dir}/*/same.csv", 2).collect()
+    assert len(got) == 4 and {r.wallet for r in got} == {"wé"}
+
+
+def test_competitor_file_is_read_by_name(spark, tmp_dir):
+    import pytest
+
+    from chainlens.operators.loyalty import load_competitor_usage
+    with open(f"{tmp_dir}/c.csv", "w") as f:
+        f.write("tx_count,amount_usd,wallet_,platform_,source_chain,destination_chain\n3,9.25,w1,across-v3,base,zora\n")
+    r = load_competitor_usage(spark, f"{tmp_dir}/c.csv").first()
+    assert (r.wallet_, r.amount_usd, r.tx_count, r.source_chain) == ("w1", 9.25, 3, "base")
+    with open(f"{tmp_dir}/d.csv", "w") as f:
+        f.write("wallet,amount_usd\nw1,1\n")
+    with pytest.raises(ValueError):
+        load_competitor_usage(spark, f"{tmp_dir}/d.csv")
+
+
+def test_exported_text_round_trip(spark, tmp_dir):
+    df = spark.createDataFrame([("a\nb", 'say "x", y', 1), ("c", None, 2)], "k string, t string, n int")
+    TB.export_csv(df, f"{tmp_dir}/out")
+    assert sorted(map(tuple, TB.read_csv_result(spark, f"{tmp_dir}/out", df.schema).collect())) == [("a\nb", 'say "x", y', 1), ("c", None, 2)]

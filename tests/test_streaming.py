@@ -25,3 +25,13 @@ def test_incremental_ingest(spark, tmp_dir):
     t = spark.read.parquet(f"{tmp_dir}/table")
     assert t.count() == 9 and t.where("wallet = 'w3'").count() == 4
     assert "month" in t.columns
+
+
+def test_file_with_another_column_order_is_refused(spark, tmp_dir):
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    os.makedirs(f"{tmp_dir}/in")
+    write_csv(f"{tmp_dir}/in/a.csv", list(reversed(TRANSACTION_COLUMNS)), [row(1)])
+    with pytest.raises(StreamingQueryException):
+        INC.run_once(spark, f"{tmp_dir}/in", f"{tmp_dir}/t", f"{tmp_dir}/q", f"{tmp_dir}/c")
