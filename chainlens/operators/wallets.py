@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,9 @@ def exclusion_table(spark, exclusions) -> DataFrame:
         reason = F.col("reasoning") if "reasoning" in exclusions.columns else F.lit(None).cast("string")
         return exclusions.select("wallet", reason.alias("reasoning"))
     rows = [tuple(e) if isinstance(e, (tuple, list)) else (e, None) for e in exclusions]
-    return spark.createDataFrame(rows, "wallet string, reasoning string")
+    # an Arrow table becomes a relation of known size, which the planner needs to choose its join
+    cols = {name: pa.array([r[i] for r in rows], pa.string()) for i, name in enumerate(("wallet", "reasoning"))}
+    return spark.createDataFrame(pa.table(cols))
 
 
 def exclude_wallets(df: DataFrame, exclusions, wallet_col: str = "wallet",
@@ -67,12 +70,16 @@ def exclusion_impact(tx: DataFrame, exclusions) -> DataFrame:
 def in_window(df: DataFrame, start: str | None, end: str | None = None,
               ts_col: str = "created_at") -> DataFrame:
     """``start <= ts < end``; NULL times are dropped (the comparison is NULL).
-    Pushed to the Parquet scan as a range predicate."""
+    Pushed to the Parquet scan as a range predicate; on a stored table with
+    a ``month`` partition column only the months of the range are listed."""
+    months = ts_col == "created_at" and "month" in df.columns
     cond = F.lit(True)
     if start is not None:
         cond = cond & (F.col(ts_col) >= F.to_timestamp(F.lit(start)))
+        cond = cond & (F.col("month") >= start[:7]) if months else cond
     if end is not None:
         cond = cond & (F.col(ts_col) < F.to_timestamp(F.lit(end)))
+        cond = cond & (F.col("month") <= end[:7]) if months else cond
     return df.where(cond)
 
 
@@ -84,7 +91,8 @@ def in_window(df: DataFrame, start: str | None, end: str | None = None,
 def retain_from(tx: DataFrame, ts: str) -> DataFrame:
     """Delete rows before ``ts``; rows with a NULL time are kept (T5)."""
     c = F.col("created_at") < F.to_timestamp(F.lit(ts))
-    return tx.where(~F.coalesce(c, F.lit(False)))
+    kept = tx.where(~F.coalesce(c, F.lit(False)))
+    return kept.where(F.col("month").isNull() | (F.col("month") >= ts[:7])) if "month" in tx.columns else kept
 
 
 def retention_counts(tx: DataFrame, ts: str) -> DataFrame:

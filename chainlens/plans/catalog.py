@@ -7,6 +7,7 @@ matching SQL for every entry that SQL can express.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,7 @@ class Inputs:
                  exclusions=None):
         self.spark, self.sf_dir, self.p = spark, sf_dir, p
         self._memo: dict = {}
+        self.run_id = uuid.uuid4().hex[:8]
         if tx is not None:
             self._memo["tx"] = tx
         if competitor_usage is not None:
@@ -53,15 +55,15 @@ class Inputs:
         return self._memo[key]
 
     def _staged(self, name: str, build: Callable[[], DataFrame], tables: list[str],
-                rebalance: bool = True, bucket_by: str | None = None) -> DataFrame:
+                bucket_by: str | None = None) -> DataFrame:
         """The adapter output staged once per session as a balanced Parquet
         table (the ingest step).  Injected inputs are materialized per run."""
         if not self.p.stage_inputs:
             return build()
         if self.sf_dir is None:
-            return P.materialize(build(), name)
+            return T_.staged(self.spark, f"{name}-{self.run_id}", build, bucket_by=bucket_by)
         srcs = [f"{self.sf_dir.rstrip('/')}/{t}.parquet" for t in tables]
-        return T_.staged(self.spark, name, build, srcs, rebalance, bucket_by=bucket_by)
+        return T_.staged(self.spark, name, build, srcs, bucket_by=bucket_by)
 
     @property
     def tx(self) -> DataFrame:
@@ -199,7 +201,7 @@ def _model_table(i: Inputs, name: str, build: Callable[[], DataFrame],
     bucketed by it."""
     key = f"{name}-{abs(hash(repr(i.p))):x}"
     return i.memo(name, lambda: i._staged(key, build, ["lineitem", "orders", "part", "supplier", "events"],
-                                          rebalance=False, bucket_by=bucket_by))
+                                          bucket_by=bucket_by))
 
 
 def features_a_table(i: Inputs) -> DataFrame:

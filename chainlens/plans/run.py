@@ -47,7 +47,7 @@ def run_analysis(spark: SparkSession, transactions: str | list[str], competitor:
     ing.quarantine.write.mode("overwrite").parquet(f"{out}/quarantine")
     ing.bad_times.write.mode("overwrite").parquet(f"{out}/unparsed_times")
     TB.export_csv(ing.drift.drop("columns", "missing", "extra"), f"{out}/schema_drift")
-    tx = spark.read.parquet(f"{out}/transactions").drop("month")
+    tx = spark.read.parquet(f"{out}/transactions")
     usage = L.load_competitor_usage(spark, competitor)
     inputs = catalog.Inputs(spark, None, p, tx=tx, competitor_usage=usage,
                             exclusions=exclusions if exclusions is not None else REFERENCE_EXCLUSIONS)

@@ -8,7 +8,6 @@ wallet-keyed tables for joins without a shuffle.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -18,32 +17,35 @@ from pyspark.sql import functions as F
 from chainlens.session import ensure_checkpoint_dir
 
 _STAGED: dict[tuple, str] = {}
+#: Bytes of a row group of a staged table.
+ROW_GROUP = 16 << 20
 
 
-def _fingerprint(paths: Sequence[str]) -> tuple:
+def _fingerprint(spark: SparkSession, paths: Sequence[str]) -> tuple:
+    """Files, bytes and newest change of each path, from the file system that Spark reads it with."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     out = []
     for p in paths:
-        try:
-            st = os.stat(p)
-            out.append((p, st.st_size, int(st.st_mtime)))
-        except OSError:
-            out.append((p, None, None))
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        files = path.getFileSystem(conf).listFiles(path, True)
+        n = size = newest = 0
+        while files.hasNext():
+            f = files.next()
+            n, size, newest = n + 1, size + f.getLen(), max(newest, f.getModificationTime())
+        out.append((p, n, size, newest))
     return tuple(out)
 
 
 def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame],
-           sources: Sequence[str] = (), rebalance: bool = True,
-           partitions: int | None = None, bucket_by: str | None = None) -> DataFrame:
+           sources: Sequence[str] = (), partitions: int | None = None,
+           bucket_by: str | None = None) -> DataFrame:
     """Write ``build()`` once per session as Parquet under the checkpoint
     folder and return a reader over it.
 
-    ``rebalance`` spreads the rows round-robin over ``partitions`` files
-    (default: the cluster's parallelism), which balances them whatever the
-    key skew; it is for inputs read from few large splits.  Results of an
-    aggregation are already split by the shuffle and are written as they
-    are (``rebalance=False``).  Source files are fingerprinted:
-    changed inputs give a new table."""
-    key = (spark.sparkContext.applicationId, name, _fingerprint(sources), bucket_by)
+    Rows are written as the last stage has them, with no shuffle of their
+    own; row groups of ``ROW_GROUP`` bytes let readers split the files.
+    Source files are fingerprinted: changed inputs give a new table."""
+    key = (spark.sparkContext.applicationId, name, _fingerprint(spark, sources), bucket_by)
     path = _STAGED.get(key)
     if path is None and bucket_by:
         # one row per key (wallet grain): hash buckets are balanced; bucket
@@ -60,10 +62,7 @@ def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame],
     if path is None:
         base = ensure_checkpoint_dir(spark)
         path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-        df = build()
-        n = partitions or max(spark.sparkContext.defaultParallelism, 1)
-        out = df.repartition(n) if rebalance else df
-        out.write.mode("overwrite").parquet(path)
+        build().write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(path)
 
@@ -87,9 +86,12 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
 def write_transactions(tx: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The transaction table laid out for its queries: one directory per
     month (date-range pruning) and files sorted by wallet then time (Parquet
-    statistics skip row groups on wallet lookups)."""
-    write_table(tx.withColumn("month", F.date_format("created_at", "yyyy-MM")), path, mode,
-                partition_by=["month"], sort_by=["wallet", "created_at"])
+    statistics skip row groups on wallet lookups).  Rows are ranged over
+    (month, wallet, time), so a task writes few months and a wallet or month
+    with a third of the rows is spread over many files."""
+    order = ["month", "wallet", "created_at"]
+    laid = tx.withColumn("month", F.date_format("created_at", "yyyy-MM")).repartitionByRange(*order)
+    write_table(laid, path, mode, partition_by=["month"], sort_by=order)
 
 
 def write_bucketed(df: DataFrame, table: str, path: str, key: str = "wallet",

@@ -3,11 +3,11 @@ import pytest
 
 from conftest import SF001, tx_rows
 
-import __spark_entry__ as E
 from chainlens.config import DEFAULT
 from chainlens.operators import wallets as W
+from chainlens.plans import catalog
 
-Q = E.queries()
+Q = catalog.queries()
 FITS = {"pca_variance", "pca_loadings", "pca_scores", "kmeans_sweep", "kmeans_assign"}
 
 
@@ -24,21 +24,60 @@ def test_no_cartesian_or_nested_loop(spark, name):
 
 @pytest.mark.parametrize("name", ["first_usage", "recent_transactions", "cluster_sample"])
 def test_group_limits_run_map_side(spark, name):
-    plan = plan_of(Q[name](spark, SF001))
+    if name == "first_usage":  # stored; the plan is that of its writing
+        from chainlens.operators.first_use import first_usage
+        i = catalog.Inputs(spark, SF001)
+        plan = plan_of(first_usage(i.kept, i.exclusions))
+    else:
+        plan = plan_of(Q[name](spark, SF001))
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_exclusion_is_a_filter_not_a_join(spark):
-    df = W.wallet_features(Q["wallet_features"](spark, SF001).sparkSession.read.parquet(
-        f"{SF001}/orders.parquet").selectExpr("o_orderdate AS created_at", "concat('w', o_custkey) AS wallet",
-                                              "'Bridge' AS execution_kind", "true AS is_call",
-                                              "'r' AS route_source", "'h' AS deposit_tx_hash",
-                                              "'a' AS origin_chain_name", "'b' AS destination_chain_name",
-                                              "'c' AS user_send_currency", "1.0 AS user_send_currency_usd",
-                                              "1.0 AS user_receive_currency_usd"),
-                           [("w1", "x")], "A", DEFAULT)
-    plan = plan_of(df)
-    assert "Join" not in plan and "w1" in plan
+def test_exclusion_comes_before_the_shuffle(spark):
+    tx = tx_rows(spark, [dict(wallet=f"w{i}", is_call=True) for i in range(50)])
+    plan = plan_of(W.wallet_features(tx, [("w1", "x")], "A", DEFAULT))
+    assert plan.index("hashpartitioning(wallet") < plan.index("LeftAnti")  # printed from the top down
+
+
+def test_exclusion_lists_of_any_size(spark):
+    tx = tx_rows(spark, [dict(wallet=f"w{i % 40}") for i in range(400)] + [dict(wallet=None)])
+    long = [f"w{i}" for i in range(10)] + [f"z{i}" for i in range(200_000)]
+    for keep_null, n in ((True, 301), (False, 300)):
+        sizes = {W.exclude_wallets(tx, x, keep_null=keep_null).count()
+                 for x in (long[:10], long, spark.createDataFrame([(w,) for w in long[:10]], "wallet string"))}
+        assert sizes == {n}
+    assert W.exclude_wallets(tx, []).count() == 401
+    got = W.exclusion_impact(tx, spark.createDataFrame([("w1", "a"), ("zz", "a"), ("w2", None)], "wallet string, reasoning string"))
+    assert {r.reasoning: (r.wallets_listed, r.wallets_found, r.rows_removed) for r in got.collect()} == {"a": (2, 1, 10), None: (1, 1, 10)}
+
+
+def test_money_is_exact_and_never_fails(spark):
+    rows = [dict(wallet="small", user_send_currency_usd=0.004)] * 1000 + [dict(wallet="large", user_send_currency_usd=2e16)]
+    rows += [dict(wallet="beyond", user_send_currency_usd=1e25), dict(wallet="beyond", user_send_currency_usd=1.5)]
+    tx = tx_rows(spark, rows)
+    got = {r.wallet: r.total_send_usd for r in W.wallet_features(tx, [], "A", DEFAULT).collect()}
+    assert got == {"small": 4.0, "large": 2e16, "beyond": 1.5}
+    rejects = {r.column_name: (r.n_amounts, r.n_rejected) for r in W.money_rejects(tx).collect()}
+    assert rejects["user_send_currency_usd"] == (1003, 1)
+
+
+def test_quantiles_keep_rows_in_place(spark):
+    """No exchange but those of aggregates: the exploded rows are never dealt by group."""
+    import re
+
+    from chainlens.functions.quantiles import exact_quantiles_wide
+    df = spark.range(1000).selectExpr("id % 3 AS g", "cast(id AS double) AS a", "cast(id * id AS double) AS b")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        q = exact_quantiles_wide(df, ["g"], ["a", "b"], [0.5])
+        plan = plan_of(q)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        if re.search(r"Exchange hashpartitioning", line) and "__x" not in line:
+            assert "Generate" not in lines[i + 1], lines[i:i + 2]
+    assert [(r.g, r.a_q0) for r in q.orderBy("g").collect()] == [(0, 499.5), (1, 499.0), (2, 500.0)]
 
 
 def test_hot_wallet_third_of_rows(spark):
