@@ -1,8 +1,8 @@
 """LM scoring with a gated recurrent language model.
 
 Tokens are words in ASCII lower case, then one end.  Counting: every task
-sums its words and Spark adds them up.  Encoding: the ``HEAD`` most
-frequent words (a bounded table) are looked up in the task; the remaining
+sums its words and Spark adds them up.  Encoding: up to ``HEAD`` of the
+most frequent words (a bounded table) are looked up in the task; the remaining
 words of a document join the count table, so every word's count takes
 part, however many there are.  Words beyond the model's vocabulary are its
 unknown token times their add-one unigram share among such words, so the
@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from chainlens.llm.common import Batches, record, stage, texts_of
 
 #: Words looked up in the task; words and classes of the model.
-HEAD, VOCABULARY, CLASSES = 65_536, 2_048, 32
-UNITS, STEPS, LANES, RATE = 16, 32, 512, 0.01
+HEAD, VOCABULARY, CLASSES = 65_536, 1_024, 32
+UNITS, STEPS, LANES, RATE = 12, 32, 1_024, 0.01
 ROUNDS = 3
 END, UNKNOWN = 0, 1
 #: Key of the end token; no word has white space.
@@ -83,34 +83,45 @@ def run_window(net: dict, h: np.ndarray, x: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(1, keepdims=True)
-    return a - np.log(np.exp(a).sum(1, keepdims=True))
+    """Over the first axis: reductions then run along whole rows of tokens."""
+    a -= a.max(0)
+    a -= np.log(np.exp(a).sum(0))
+    return a
 
 
 def outputs(net: dict, h: np.ndarray, y: np.ndarray, grad: bool = False):
     """Log-probability of each target; with ``grad`` also d(-sum)/dh and the parameters' gradients."""
     size = net["o"].shape[1]
-    cls, rows = y // size, np.arange(len(y))
-    lc = log_softmax(h @ net["C"] + net["c"])
-    logp = lc[rows, cls]
-    g = None
+    order = np.argsort(y // size, kind="stable")  # class by class
+    cls, at, rows = (y // size)[order], (y % size)[order], np.arange(len(y))
+    states = np.ascontiguousarray(h[order].T)
+    lc = log_softmax(net["C"].T @ states + net["c"][:, None])
+    logp = lc[cls, rows]
     if grad:
         dc = np.exp(lc)
-        dc[rows, cls] -= 1
-        g = {"C": h.T @ dc, "c": dc.sum(0), "O": np.zeros_like(net["O"]), "o": np.zeros_like(net["o"])}
-        dh = dc @ net["C"].T
-    order = np.argsort(cls, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(cls[order])) + 1) if len(y) else ():
-        k, own = cls[part[0]], h[part]
-        lo = log_softmax(own @ net["O"][k] + net["o"][k])
-        at, who = y[part] % size, np.arange(len(part))
-        logp[part] += lo[who, at]
+        dc[cls, rows] -= 1
+        g = {"C": states @ dc.T, "c": dc.sum(1), "O": np.zeros_like(net["O"]), "o": np.zeros_like(net["o"])}
+        dh = net["C"] @ dc
+    ends = np.append(np.flatnonzero(np.diff(cls)) + 1, len(y)) if len(y) else ()
+    first = 0
+    for last in ends:
+        k, own = cls[first], states[:, first:last]
+        lo = log_softmax(net["O"][k].T @ own + net["o"][k][:, None])
+        spots = (at[first:last], rows[: last - first])
+        logp[first:last] += lo[spots]
         if grad:
             do = np.exp(lo)
-            do[who, at] -= 1
-            g["O"][k], g["o"][k] = own.T @ do, do.sum(0)
-            dh[part] += do @ net["O"][k].T
-    return (logp, dh, g) if grad else logp
+            do[spots] -= 1
+            g["O"][k], g["o"][k] = own @ do.T, do.sum(1)
+            dh[:, first:last] += net["O"][k] @ do
+        first = last
+    back_in_order = np.empty_like(logp)
+    back_in_order[order] = logp
+    if not grad:
+        return back_in_order
+    dh_rows = np.empty_like(h)
+    dh_rows[order] = dh.T
+    return back_in_order, dh_rows, g
 
 
 def back(net: dict, kept: list[tuple], dhs: list[np.ndarray], g: dict) -> None:
@@ -125,8 +136,10 @@ def back(net: dict, kept: list[tuple], dhs: list[np.ndarray], g: dict) -> None:
         dz = d * (prev - n) * z * (1 - z)
         dn = d * (1 - z) * (1 - n * n)
         dr = dn * ghn * r * (1 - r)
-        dgh = np.concatenate([dz, dr, dn * r], 1)
-        gates.append((ids, np.concatenate([dz, dr, dn], 1)))
+        dgx = np.concatenate([dz, dr, dn], 1)
+        gates.append((ids, dgx))
+        dgh = dgx.copy()
+        dgh[:, 2 * units:] *= r
         g["W"] += prev.T @ dgh
         carry[:m] = d * z + dgh @ net["W"].T
     ids = np.concatenate([i for i, _ in gates])
@@ -193,7 +206,7 @@ def train(net: dict, opt: Adam, docs: list[np.ndarray], lanes: int = LANES, step
     return seen
 
 
-def log_likelihood(net: dict, docs: list[np.ndarray], lanes: int = 2 * LANES, steps: int = STEPS) -> np.ndarray:
+def log_likelihood(net: dict, docs: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> np.ndarray:
     """Natural log-probability of each whole document."""
     total = np.zeros(len(docs))
     for group, lengths in lanes_of(docs, lanes):
@@ -238,6 +251,22 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     return found.groupBy("key").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
+    """(key, c) of at most ``most`` keys, in falling order: all from the lowest
+    level of counts (sixteenths of a power of two) that keeps within it.
+    Levels are counted first, so no task sends more than its share of these."""
+    level = F.floor(F.log2("c") * 16).cast("int")
+    sizes = sorted(((r.level, r.n) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    kept, least = 0, None
+    for k, n in sizes:
+        if kept + n > most:
+            break
+        kept, least = kept + n, k
+    if least is None:
+        return []
+    return sorted(((r.key, r.c) for r in counts.filter(level >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def average(parts: DataFrame) -> dict | None:
     """Token-weighted mean of the parameters in (part, tokens, net), in two levels."""
     def mean(pdf):
@@ -294,7 +323,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = stage(count_words(own.filter(~F.col("held_out")), "text"), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(r.key, r.c) for r in counts.filter(F.col("key") != END_KEY).orderBy(F.desc("c"), "key").limit(head).collect()]  # bounded
+    top = most_frequent(counts.filter(F.col("key") != END_KEY), head)
     ends = sum(r.c for r in counts.filter(F.col("key") == END_KEY).collect())
     known = top[: vocabulary - 2]
     inside = ends + sum(c for _, c in known)
