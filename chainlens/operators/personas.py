@@ -140,7 +140,7 @@ def loadings_report(comps: Sequence[Sequence[float]], cols: Sequence[str], spark
     rows = [(f"PC{i + 1}", c, float(w)) for i, comp in enumerate(comps) for c, w in zip(cols, comp)]
     df = spark.createDataFrame(rows, "component string, feature string, loading double")
     w = Window.partitionBy("component").orderBy(F.desc(F.abs("loading")), "feature")
-    df = df.withColumn("abs_rank", F.row_number().over(w)).withColumn("loading", F.round("loading", 3))
+    df = df.withColumn("abs_rank", F.row_number().over(w))
     pos = Window.partitionBy("component", F.col("loading") > 0).orderBy("abs_rank")
     df = df.withColumn("sign_rank", F.row_number().over(pos))
     top = (df.groupBy("component").agg(
@@ -148,11 +148,11 @@ def loadings_report(comps: Sequence[Sequence[float]], cols: Sequence[str], spark
                                                                F.struct("abs_rank", "feature")))).getField("feature")).alias("top_positive"),
         F.concat_ws(", ", F.sort_array(F.collect_list(F.when((F.col("loading") < 0) & (F.col("sign_rank") <= 2),
                                                                F.struct("abs_rank", "feature")))).getField("feature")).alias("top_negative")))
-    return df.drop("sign_rank").join(top, "component")
+    return df.drop("sign_rank").withColumn("loading", F.round("loading", 3)).join(top, "component")
 
 
 def fit_kmeans(points: DataFrame, dims: Sequence[str], k: int, seed: int, restarts: int,
-               max_iter: int = 100):
+               max_iter: int = 300):
     """Best of ``restarts`` k-means|| runs (lowest training cost).
     Returns (centroids, cost).  The small vector table is persisted
     (memory + disk, recomputable from lineage if an executor is lost)."""
@@ -175,7 +175,7 @@ def fit_kmeans(points: DataFrame, dims: Sequence[str], k: int, seed: int, restar
 
 
 def kmeans_sweep(points: DataFrame, dims: Sequence[str], k_values: Sequence[int], seed: int,
-                 restarts: int = 1, max_iter: int = 100):
+                 restarts: int = 10, max_iter: int = 300):
     """Inertia (training cost) for each k: list of (k, cost)."""
     return [(k, fit_kmeans(points, dims, k, seed, restarts, max_iter)[1]) for k in k_values]
 

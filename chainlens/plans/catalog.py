@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainlens.config import (BUSINESS_FEATURES, CLUSTER_FEATURES, DEFAULT, FEATURES_A, PERSONAS,
+from chainlens.config import (BUSINESS_FEATURES, CLUSTER_FEATURES, DEFAULT, FEATURES_A, LOG_FEATURES, PERSONAS,
                               Params)
 from chainlens.operators import extras as X
 from chainlens.operators import features as FE
@@ -217,12 +217,48 @@ def features_b_table(i: Inputs) -> DataFrame:
 def assigned(i: Inputs) -> DataFrame:
     """Wallet scores and cluster ids: fixed loadings / centroids (default,
     SQL-checkable) or the fitted Spark ML model (``Params.model="fitted"``)."""
-    if i.p.model == "fitted":
-        return _model_table(i, "assigned_fitted", lambda: P.assign_fitted(features_b_table(i), i.p),
-                            bucket_by="wallet")
+    return assigned_fitted(i) if i.p.model == "fitted" else assigned_fixed(i)
+
+
+def assigned_fixed(i: Inputs) -> DataFrame:
     return _model_table(i, "assigned", lambda: P.assign_fixed(features_b_table(i), i.p), bucket_by="wallet")
 
 
+def assigned_fitted(i: Inputs) -> DataFrame:
+    """The one variant B fit of a run, stored: all its outputs agree."""
+    return _model_table(i, "assigned_fitted", lambda: P.assign_fitted(features_b_table(i), i.p), bucket_by="wallet")
+
+
+#: Inputs of the variant A model: the business features, the heavy-tailed ones as log1p.
+MODEL_A = [f"{c}_log" if c in LOG_FEATURES else c for c in BUSINESS_FEATURES]
+PCS_A = [f"PC{k}" for k in range(1, 6)]
+
+
+def scaled_a(i: Inputs) -> DataFrame:
+    """Variant A model inputs, standardized."""
+    return _model_table(i, "scaled_a", lambda: FE.standardize(FE.log1p_features(features_a_table(i)), MODEL_A))
+
+
+def pca_a(i: Inputs):
+    return i.memo("pca_a", lambda: P.fit_pca(scaled_a(i), MODEL_A, i.p.n_components))
+
+
+def assigned_a(i: Inputs) -> DataFrame:
+    """Variant A scores and clusters: k-means on five components, the best
+    of the restarts; fitted once and stored."""
+    def build() -> DataFrame:
+        scores = P.materialize(P.project(scaled_a(i), MODEL_A, pca_a(i)[0]), "pca_scores_a")
+        dims = [c for c in PCS_A if c in scores.columns]
+        centers, _ = P.fit_kmeans(scores, dims, i.p.k, i.p.kmeans_seed, i.p.kmeans_restarts, i.p.kmeans_max_iter)
+        return P.nearest_centroid(scores, P.order_centroids(centers), dims)
+    return _model_table(i, "assigned_a", build, bucket_by="wallet")
+
+
+def clusters_a(i: Inputs) -> DataFrame:
+    """Variant A features with their clusters."""
+    return features_a_table(i).join(assigned_a(i), "wallet")
+
+
 def persona_tbl(i: Inputs) -> DataFrame:
     return P.persona_table(features_b_table(i), assigned(i))
 
@@ -258,11 +294,7 @@ def _fitted_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
         return P.project(P.scaled_inputs(features_b_table(i)), CLUSTER_FEATURES, comps)
 
     def kmeans_assign(i: Inputs) -> DataFrame:
-        sc = P.materialize(scores(i), "pca_scores")
-        cen, _ = P.fit_kmeans(sc, ["PC1", "PC2", "PC3"], p.k, p.kmeans_seed, p.kmeans_restarts,
-                              p.kmeans_max_iter)
-        a = P.nearest_centroid(sc, P.order_centroids(cen))
-        return round_doubles(P.with_personas(a))
+        return round_doubles(P.with_personas(assigned_fitted(i)))
 
     def sweep(i: Inputs) -> DataFrame:
         sc = P.materialize(scores(i), "pca_scores")
@@ -274,6 +306,11 @@ def _fitted_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
         "pca_variance": lambda i: P.pca_variance(fit_pca(i)[1], i.spark),
         "pca_loadings": lambda i: P.loadings_report(fit_pca(i)[0], CLUSTER_FEATURES, i.spark),
         "pca_scores": lambda i: round_doubles(scores(i)),
+        "pca_variance_a": lambda i: P.pca_variance(pca_a(i)[1], i.spark),
+        "pca_loadings_a": lambda i: P.loadings_report(pca_a(i)[0], MODEL_A, i.spark),
+        "kmeans_assign_a": lambda i: round_doubles(assigned_a(i)),
+        "cluster_profiles_a": lambda i: P.cluster_profiles(clusters_a(i)),
+        "segment_cluster_crosstab_a": lambda i: R.segment_cluster_crosstab(clusters_a(i), p.k),
         "kmeans_sweep": sweep,
         "kmeans_assign": kmeans_assign,
         "cluster_sample": lambda i: round_doubles(P.cluster_sample(final_tbl(i), p.sample_per_cluster,
@@ -284,7 +321,7 @@ def _fitted_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
 def _persona_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
     lt = [p.home_only_label, "multi-platform"]
     return {
-        "assign_fixed_centroids": lambda i: round_doubles(assigned(i), 4),
+        "assign_fixed_centroids": lambda i: round_doubles(assigned_fixed(i), 4),
         "cluster_sizes": lambda i: P.cluster_sizes(assigned(i)),
         "cluster_centroids": lambda i: round_doubles(
             P.cluster_centroids(P.with_personas(assigned(i)), ("cluster_id", "persona"))),

@@ -31,7 +31,7 @@ WALLET_GRAIN = {
     "wallet_features_window", "first_usage", "competitor_usage", "home_route_usage",
     "competitor_overlap", "loyalty_aggregate", "loyalty_class", "features_log1p",
     "features_log10", "features_scaled", "volume_segments", "assign_fixed_centroids",
-    "loyalty_persona", "pca_scores", "kmeans_assign", "route_share", "return_routes",
+    "loyalty_persona", "pca_scores", "kmeans_assign", "kmeans_assign_a", "route_share", "return_routes",
 }
 #: Driver-table specific entries that have no meaning on real inputs.
 SKIP = {"route_lookup"}

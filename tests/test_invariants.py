@@ -77,3 +77,46 @@ def test_return_routes_and_aliases(spark):
     assert un == {("eth", 1)}   # arbitrum is served once aliases are merged
     sh = {r.source_chain: r.home_share for r in X.route_share(agg, p).collect()}
     assert sh["arb"] == 1.0 and sh["eth"] == 0.0
+
+
+def test_variant_a_model(spark):
+    """Orthonormal components, falling variance, one stored fit behind every output, and a cost no better restart beats."""
+    import numpy as np
+
+    from chainlens.config import DEFAULT
+    from chainlens.operators import personas as P
+    from chainlens.plans import catalog as C
+    i = C.Inputs(spark, SF001)
+    comps, ratios = C.pca_a(i)
+    m = np.array(comps)
+    assert np.allclose(m @ m.T, np.eye(len(m)), atol=1e-8) and ratios == sorted(ratios, reverse=True) and sum(ratios) <= 1 + 1e-9
+    a = C.assigned_a(i)
+    n = C.features_a_table(i).count()
+    assert a.count() == n and {r.cluster_id for r in a.select("cluster_id").distinct().collect()} == set(range(DEFAULT.k))
+    table = C.queries()["segment_cluster_crosstab_a"](spark, SF001).collect()
+    total = [r for r in table if r.business_segment == "All"] or table
+    assert sum(r[f"cluster_{k}"] for r in total for k in range(DEFAULT.k)) == n
+    pts = np.array([[r[c] for c in C.PCS_A] for r in a.collect()])
+    ids = np.array([r.cluster_id for r in a.collect()])
+    cost = sum(((pts[ids == k] - pts[ids == k].mean(0)) ** 2).sum() for k in range(DEFAULT.k))
+    for seed in (1, 2):
+        assert cost <= P.fit_kmeans(a, C.PCS_A, DEFAULT.k, seed, 1)[1] * (1 + 1e-6)
+    profiles = C.queries()["cluster_profiles_a"](spark, SF001)
+    assert profiles.count() == DEFAULT.k
+
+
+def test_sweep_falls(spark):
+    from chainlens.plans import catalog as C
+    rows = C.queries()["kmeans_sweep"](spark, SF001).orderBy("k").collect()
+    costs = [r.inertia for r in rows]
+    assert costs == sorted(costs, reverse=True)
+
+
+def test_crosstab_has_every_cluster(spark):
+    from chainlens.config import DEFAULT
+    from chainlens.plans import catalog as C
+    p = DEFAULT.with_(k=4, model="fitted")
+    r = C.queries(p)["segment_cluster_crosstab"](spark, SF001)
+    assert [c for c in r.columns if c.startswith("cluster_")] == [f"cluster_{k}" for k in range(4)]
+    for row in r.collect():
+        assert sum(row[f"cluster_{k}"] for k in range(4)) == row["All"]

@@ -8,7 +8,7 @@ from chainlens.operators import wallets as W
 from chainlens.plans import catalog
 
 Q = catalog.queries()
-FITS = {"pca_variance", "pca_loadings", "pca_scores", "kmeans_sweep", "kmeans_assign"}
+FITS = {"pca_variance_a", "pca_loadings_a", "pca_variance", "pca_loadings", "pca_scores", "kmeans_sweep", "kmeans_assign"}
 
 
 def plan_of(df):
