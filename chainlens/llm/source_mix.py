@@ -37,34 +37,39 @@ UNIT = 16
 #: A bucket counts as evidence beyond this many standard deviations.
 LEAST_Z = 4.0
 PULL, ITERATIONS, TOLERANCE = 1e-3, 24, 1e-5
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    """Words in ASCII lower case; none for null and blank texts."""
-    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words in lower case; none for null and blank texts."""
+    low = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(low == "", F.array().cast("array<string>")).otherwise(F.split(low, r"[\x20\x09-\x0D]+"))
 
 
 def _level(share: Column) -> Column:
     return F.floor(F.log2(1 + 256 * share)).cast("string")
 
 
-def features(text: Column, words: Column) -> Column:
-    """Words and shape marks (levels of symbols, capitals, repeated words)."""
+def marks(text: Column, words: Column) -> Column:
+    """Shape marks of a text: levels of symbols, capitals, repeated words."""
     text = F.coalesce(text, F.lit(""))
-    chars = F.char_length(text) + 1
-    without = lambda s: (chars - 1 - F.char_length(F.translate(text, s, ""))) / chars
-    marks = F.array(F.concat(F.lit("\x01symbols "), _level(without("#*$%&|<>!"))),
-                    F.concat(F.lit("\x01capitals "), _level(without(UPPER))),
-                    F.concat(F.lit("\x01repeats "), _level(1 - F.size(F.array_distinct(words)) / (F.size(words) + 1))))
-    return F.concat(words, marks)
+    share = lambda s: F.char_length(F.regexp_replace(text, f"[^{s}]+", "")) / (F.char_length(text) + 1)
+    return F.array(F.concat(F.lit("\x01symbols "), _level(share("#*$%&|<>!"))),
+                   F.concat(F.lit("\x01capitals "), _level(share("A-Z"))),
+                   F.concat(F.lit("\x01repeats "), _level(1 - F.size(F.array_distinct(words)) / (F.size(words) + 1))))
 
 
 def bucket(word: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
+def with_buckets(docs: DataFrame, text: Column, buckets: int, *carry: Column) -> DataFrame:
+    """The carried columns, tokens, and the buckets of the text's words and
+    marks.  Step by step, so that each is computed once per row."""
+    own = docs.select(F.struct(*carry).alias("c"), text.alias("t"), words_of(text).alias("ws"))
+    own = own.select("c", F.size("ws").cast("long").alias("tokens"), F.concat("ws", marks(F.col("t"), F.col("ws"))).alias("fs"))
+    return own.select("c.*", "tokens", F.transform("fs", lambda w: bucket(w, buckets)).alias("bs"))
+
+
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str,
           max_labelled: int = MAX_LABELLED, buckets: int = BUCKETS) -> dict:
     """Naive Bayes weights against the first domain: prior log odds and, per
@@ -72,12 +77,12 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str,
     rows = labelled.select(F.col(id_col).alias("label_id"), F.col("domain").alias("label_domain")).filter(F.col("label_domain").isin(domains))
     rows = rows.orderBy(F.xxhash64("label_id"), "label_id", "label_domain").limit(max_labelled)
     own = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("t")).join(F.broadcast(rows), "label_id")
-    words = own.select("label_domain", features(F.col("t"), words_of(F.col("t"))).alias("ws"))
-    sizes = {r[0]: (r[1], r[2]) for r in words.groupBy("label_domain").agg(F.count("*"), F.sum(F.size("ws"))).collect()}
+    words = stage(with_buckets(own, F.col("t"), buckets, F.col("label_domain")), "mix-labelled")  # bounded by max_labelled
+    sizes = {r[0]: (r[1], r[2]) for r in words.groupBy("label_domain").agg(F.count("*"), F.sum(F.size("bs"))).collect()}
     n_docs = [sizes.get(d, (0, 0))[0] for d in domains]
     n_words = [sizes.get(d, (0, 0))[1] or 0 for d in domains]
-    counts = (words.select("label_domain", F.explode("ws").alias("w"))
-              .groupBy(bucket(F.col("w"), buckets).alias("b")).agg(*(F.sum((F.col("label_domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(domains))))
+    counts = (words.select("label_domain", F.explode("bs").alias("b"))
+              .groupBy("b").agg(*(F.sum((F.col("label_domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(domains))))
     weights = []
     total = F.lit(0) + sum(F.col(f"n{k}") for k in range(len(domains)))
     for k in range(1, len(domains)):
@@ -91,21 +96,20 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str,
     return {"prior": prior, "weights": [{r["b"]: r[f"w{k}"] for r in rows if r[f"w{k}"]} for k in range(1, len(domains))], "buckets": buckets}
 
 
-def evidence(text: Column, words: Column, model: dict) -> Column:
-    """Struct of the other domains' weights summed over the text's features, in ``1 / UNIT``."""
-    tables = []
-    for w in model["weights"]:
+def _adder(table: Column):
+    return lambda acc, b: acc + F.get(table, b)
+
+
+def evidence(buckets: Column, model: dict) -> Column:
+    """Struct of the other domains' weights summed over a text's buckets, in ``1 / UNIT``."""
+    sums = []
+    for k, w in enumerate(model["weights"]):
         flat = ["0"] * model["buckets"]
         for b, x in w.items():
             flat[b] = str(max(-127, min(127, round(x * UNIT))))
-        tables.append(F.split(F.lit(",".join(flat)), ",").cast("array<tinyint>"))  # folded into one literal
-
-    def add(acc: Column, w: Column) -> Column:
-        b = bucket(w, model["buckets"])
-        return F.struct(*((acc[f"s{k}"] + F.get(t, b)).alias(f"s{k}") for k, t in enumerate(tables)))
-
-    start = F.struct(*(F.lit(0).cast("long").alias(f"s{k}") for k in range(len(tables))))
-    return F.aggregate(features(text, words), start, add)
+        table = F.split(F.lit(",".join(flat)), ",").cast("array<tinyint>")  # folded into one literal
+        sums.append(F.aggregate(buckets, F.lit(0).cast("long"), _adder(table)).alias(f"s{k}"))
+    return F.struct(*sums)
 
 
 def members(docs: DataFrame, model: dict, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
@@ -114,9 +118,9 @@ def members(docs: DataFrame, model: dict, id_col: str, text_col: str, carry: tup
     Written once: what follows is arithmetic on these columns, and the
     texts are not read again."""
     text, n = F.col(text_col), len(model["prior"]) + 1
-    scored = docs.select(F.struct(*carry).alias("row"), F.size(words_of(text)).cast("long").alias("tokens"),
-                         evidence(text, words_of(text), model).alias("s"),
-                         (F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
+    u = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) / float(1 << 30)
+    scored = with_buckets(docs, text, model["buckets"], F.struct(*carry).alias("row"), u.alias("u"))
+    scored = scored.select("row", "tokens", "u", evidence(F.col("bs"), model).alias("s"))
     odds = [F.lit(1.0)] + [F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(f"s.s{k}") / float(UNIT) + p)))
                            for k, p in enumerate(model["prior"])]
     scored = scored.select("row", "tokens", "u", F.array(*odds).alias("odds"))
