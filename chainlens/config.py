@@ -140,7 +140,7 @@ LOYALTY_MULTI = "multi-platform"
 SEGMENT_TOP1 = "Programmatic (Top 1%)"
 SEGMENT_TOP10 = "Core Users (Top 10%)"
 SEGMENT_REST = "The Masses (Bottom 90%)"
-# Rule segments in test order.
+# Rule segments in test order (the first has a wording of its own).
 RULE_NEW = "New User"
 RULE_PROGRAMMATIC = "Advanced Programmatic"
 RULE_BEGINNER = "Beginner Explorer"

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlens.config import (COMPETITOR_RAW_SCHEMA, EXCLUSION_SCHEMA, KIND_BRIDGE,
+from chainlens.config import (COMPETITOR_RAW_SCHEMA, KIND_BRIDGE,
                               KIND_CROSS_CHAIN_SWAP, TRANSACTION_COLUMNS)
 
 # Exclusion list used with the driver tables.
@@ -89,8 +89,3 @@ def competitor_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 7 == 0, "inbound").otherwise("outbound").alias("direction"),
         (k % 10 != 0).alias("token_is_verified"),
     ).select(*[f.name for f in COMPETITOR_RAW_SCHEMA.fields])
-
-
-def exclusions(spark: SparkSession, rows=None) -> DataFrame:
-    """The exclusion list as a small literal relation (wallet, reasoning)."""
-    return spark.createDataFrame(list(rows or DRIVER_EXCLUSIONS), EXCLUSION_SCHEMA)

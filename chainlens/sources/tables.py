@@ -67,8 +67,15 @@ def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame],
     return spark.read.parquet(path)
 
 
-def forget_staged() -> None:
-    """Drop the per-session registry of staged tables (next use rebuilds)."""
+def forget_staged(spark: SparkSession | None = None) -> None:
+    """Forget the session's staged tables (next use rebuilds); with a
+    session, their files under the checkpoint folder go as well."""
+    for path in _STAGED.values() if spark is not None else ():
+        if path.startswith("table:"):
+            spark.sql(f"DROP TABLE IF EXISTS {path[6:]}")
+            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{path[6:]}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     _STAGED.clear()
 
 
