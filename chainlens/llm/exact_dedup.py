@@ -30,6 +30,8 @@ from chainlens.llm.common import fresh_path, settings, stage
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CONF = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # no disk set aside ahead of need: a state partition is small, and there are many
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200"}
 #: Rows whose digest is not repeated leave at the scan by a Bloom filter of at most 8 MB, before their text is shuffled.
