@@ -35,7 +35,7 @@ MAX_LABELLED = 20_000
 #: Weights are kept in steps of 1 / UNIT.
 UNIT = 16
 #: A bucket counts as evidence beyond this many standard deviations.
-LEAST_Z = 4.0
+LEAST_Z = 6.0
 PULL, ITERATIONS, TOLERANCE = 1e-3, 24, 1e-5
 
 
@@ -63,11 +63,11 @@ def bucket(word: Column, buckets: int) -> Column:
 
 
 def with_buckets(docs: DataFrame, text: Column, buckets: int, *carry: Column) -> DataFrame:
-    """The carried columns, tokens, and the buckets of the text's words and
-    marks.  Step by step, so that each is computed once per row."""
+    """The carried columns, tokens, and the distinct buckets of the text's words
+    and marks (a word that one text repeats is evidence once).  Step by step, so that each is computed once per row."""
     own = docs.select(F.struct(*carry).alias("c"), text.alias("t"), words_of(text).alias("ws"))
     own = own.select("c", F.size("ws").cast("long").alias("tokens"), F.concat("ws", marks(F.col("t"), F.col("ws"))).alias("fs"))
-    return own.select("c.*", "tokens", F.transform("fs", lambda w: bucket(w, buckets)).alias("bs"))
+    return own.select("c.*", "tokens", F.array_distinct(F.transform("fs", lambda w: bucket(w, buckets))).alias("bs"))
 
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str,
@@ -78,18 +78,17 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str,
     rows = rows.orderBy(F.xxhash64("label_id"), "label_id", "label_domain").limit(max_labelled)
     own = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("t")).join(F.broadcast(rows), "label_id")
     words = stage(with_buckets(own, F.col("t"), buckets, F.col("label_domain")), "mix-labelled")  # bounded by max_labelled
-    sizes = {r[0]: (r[1], r[2]) for r in words.groupBy("label_domain").agg(F.count("*"), F.sum(F.size("bs"))).collect()}
-    n_docs = [sizes.get(d, (0, 0))[0] for d in domains]
-    n_words = [sizes.get(d, (0, 0))[1] or 0 for d in domains]
+    sizes = {r[0]: r[1] for r in words.groupBy("label_domain").agg(F.count("*")).collect()}
+    n_docs = [sizes.get(d, 0) for d in domains]
     counts = (words.select("label_domain", F.explode("bs").alias("b"))
               .groupBy("b").agg(*(F.sum((F.col("label_domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(domains))))
     weights = []
     total = F.lit(0) + sum(F.col(f"n{k}") for k in range(len(domains)))
     for k in range(1, len(domains)):
-        share = (n_words[k] + 1) / (sum(n_words) + 1)
+        share = (n_docs[k] + 1) / (sum(n_docs) + 1)
         expected = total * share
         z = (F.col(f"n{k}") - expected) / F.sqrt(expected * (1 - share) + 1e-9)
-        ratio = F.log((F.col(f"n{k}") + 0.5) / (n_words[k] + 0.5 * buckets)) - F.log((F.col("n0") + 0.5) / (n_words[0] + 0.5 * buckets))
+        ratio = F.log((F.col(f"n{k}") + 0.5) / (n_docs[k] + 1.0)) - F.log((F.col("n0") + 0.5) / (n_docs[0] + 1.0))
         weights.append(F.when(F.abs(z) > LEAST_Z, ratio).otherwise(0.0).alias(f"w{k}"))
     rows = counts.select("b", *weights).filter(" OR ".join(f"w{k} <> 0" for k in range(1, len(domains)))).collect()  # at most ``buckets`` rows
     prior = [math.log((n + 1) / (n_docs[0] + 1)) for n in n_docs[1:]]
