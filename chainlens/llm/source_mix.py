@@ -35,7 +35,9 @@ MAX_LABELLED = 20_000
 #: Weights are kept in steps of 1 / UNIT.
 UNIT = 16
 #: A bucket counts as evidence beyond this many standard deviations.
-LEAST_Z = 6.0
+LEAST_Z = 9.0
+#: ... and this log ratio.
+LEAST_RATIO = 1.5
 PULL, ITERATIONS, TOLERANCE = 1e-3, 24, 1e-5
 
 
@@ -89,7 +91,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str,
         expected = total * share
         z = (F.col(f"n{k}") - expected) / F.sqrt(expected * (1 - share) + 1e-9)
         ratio = F.log((F.col(f"n{k}") + 0.5) / (n_docs[k] + 1.0)) - F.log((F.col("n0") + 0.5) / (n_docs[0] + 1.0))
-        weights.append(F.when(F.abs(z) > LEAST_Z, ratio).otherwise(0.0).alias(f"w{k}"))
+        weights.append(F.when((F.abs(z) > LEAST_Z) & (F.abs(ratio) > LEAST_RATIO), ratio).otherwise(0.0).alias(f"w{k}"))
     rows = counts.select("b", *weights).filter(" OR ".join(f"w{k} <> 0" for k in range(1, len(domains)))).collect()  # at most ``buckets`` rows
     prior = [math.log((n + 1) / (n_docs[0] + 1)) for n in n_docs[1:]]
     return {"prior": prior, "weights": [{r["b"]: r[f"w{k}"] for r in rows if r[f"w{k}"]} for k in range(1, len(domains))], "buckets": buckets}
