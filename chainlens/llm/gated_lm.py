@@ -6,7 +6,8 @@ most frequent words (a bounded table) are looked up in the task; the remaining
 words of a document join the count table, so every word's count takes
 part, however many there are.  Words beyond the model's vocabulary are its
 unknown token times their add-one unigram share among such words, so the
-model gives every text a probability.
+model gives every text a probability.  The vocabulary grows with the corpus:
+every word seen ``OFTEN`` times is in it, up to ``MOST_WORDS``.
 
 The network is a gated recurrent unit in numpy with an output softmax
 factored into classes: P(word) = P(class | state) P(word | class, state).
@@ -21,6 +22,7 @@ document, so a long text costs time but never memory, and is never cut.
 from __future__ import annotations
 
 import io
+import math
 from collections import Counter
 
 import numpy as np
@@ -32,9 +34,11 @@ from pyspark.sql import types as T
 
 from chainlens.llm.common import Batches, record, stage, texts_of
 
-#: Words looked up in the task; words and classes of the model.
-HEAD, VOCABULARY, CLASSES = 65_536, 1_024, 32
-UNITS, STEPS, LANES, RATE = 12, 32, 1_024, 0.01
+#: Words looked up in the task.
+HEAD = 65_536
+#: The model's words: all that training holds this often, within these bounds (the parameters go to every task).
+OFTEN, LEAST_WORDS, MOST_WORDS = 64, 2_048, 16_384
+UNITS, STEPS, LANES, RATE = 16, 32, 1_024, 0.01
 ROUNDS = 3
 END, UNKNOWN = 0, 1
 #: Key of the end token; no word has white space.
@@ -267,6 +271,11 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
     return sorted(((r.key, r.c) for r in counts.filter(level >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
+def vocabulary_size(found: list[int]) -> int:
+    """Words of the model, the end and unknown tokens among them, from the words' counts in falling order."""
+    return max(LEAST_WORDS, min(MOST_WORDS, sum(c >= OFTEN for c in found) + 2))
+
+
 def average(parts: DataFrame) -> dict | None:
     """Token-weighted mean of the parameters in (part, tokens, net), in two levels."""
     def mean(pdf):
@@ -278,11 +287,9 @@ def average(parts: DataFrame) -> dict | None:
         return pdf.iloc[:1][["part"]].assign(tokens=int(total), net=[dump({k: v.astype(np.float32) for k, v in net.items()})])
 
     kind = "part long, tokens long, net binary"
-    few = parts.withColumn("part", F.pmod("part", F.lit(16))).groupBy("part").applyInPandas(mean, kind).collect()  # 16 rows
-    if not few:
-        return None
-    nets, n = [load(r.net) for r in few], np.array([r.tokens for r in few], np.float64)
-    return {k: np.tensordot(n / n.sum(), np.stack([x[k] for x in nets]), 1).astype(np.float32) for k in nets[0]}
+    few = parts.withColumn("part", F.pmod("part", F.lit(16))).groupBy("part").applyInPandas(mean, kind)  # 16 rows
+    one = few.withColumn("part", F.lit(0).cast("long")).groupBy("part").applyInPandas(mean, kind).first()
+    return load(one.net) if one else None
 
 
 def fit(encoded: DataFrame, net: dict, rounds: int = ROUNDS) -> dict:
@@ -310,10 +317,11 @@ def fit(encoded: DataFrame, net: dict, rounds: int = ROUNDS) -> dict:
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD,
-          vocabulary: int = VOCABULARY, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
+          vocabulary: int | None = None, classes: int | None = None, rounds: int = ROUNDS) -> DataFrame:
     """Base and model scores of every row: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score (log10).
 
+    ``vocabulary`` grows with the counted words and ``classes`` with its root, unless given.
     ``held_out`` (a condition on the columns of ``docs``; null counts as
     false) keeps rows out of all counts and training.  Null and empty texts
     are the end token alone; repeated rows count and score each; without
@@ -325,7 +333,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = most_frequent(counts.filter(F.col("key") != END_KEY), head)
     ends = sum(r.c for r in counts.filter(F.col("key") == END_KEY).collect())
-    known = top[: vocabulary - 2]
+    known = top[: (vocabulary or vocabulary_size([c for _, c in top])) - 2]
+    classes = classes or math.isqrt(len(known) + 2)
     inside = ends + sum(c for _, c in known)
     rest, rest_distinct = total - inside, distinct - len(known) - (1 if ends else 0)
     # log10 shares: of any token, and of an unknown word among unknown words

@@ -108,6 +108,18 @@ def test_language_model_scores(nasty, empty, spark):
     assert gated_lm.score(empty, held()).count() == 0
 
 
+def test_language_model_grows_with_the_words(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(j, 3000, 3))) for i, j in enumerate([0, 1, 2] * 64)]
+    sizes = []
+    fit, gated_lm.fit = gated_lm.fit, lambda encoded, net, rounds: sizes.append((net["U"].shape[0], net["W"].shape[0])) or net
+    try:
+        gated_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False))
+    finally:
+        gated_lm.fit = fit
+    assert sizes == [(3002, gated_lm.UNITS)] and gated_lm.UNITS >= 16
+    assert gated_lm.vocabulary_size([5] * 9000) == 2048 and gated_lm.vocabulary_size([64] * 9000) == 9002
+
+
 BASE = {"assign": re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A),
         "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+")}
 LEAST = {"assign": 6, "access": 20, "hex": 24}
