@@ -9,6 +9,11 @@ DataFrame functions only.  The classifier is naive Bayes over hashed words
 and a few shape features: its counts are one grouped aggregate, its
 weights literal arrays of ``BUCKETS`` small numbers, so that scoring is a
 fold over a text's words inside a projection, with no join and no shuffle.
+Weights are log ratios that shrink smoothly with the deviation they rest on.
+A logistic calibration turns their sums into posteriors; it is fitted on
+labelled rows scored by the weights of the other folds, so that a text
+without evidence for a domain is evidence against it, as far as such texts
+are rarely of that domain.
 
 With p[d, k] the posteriors, w[d] the tokens and b[k] the targets, the
 objective is the squared relative misfit of sum_d r[d] w[d] p[d, k]
@@ -22,8 +27,7 @@ misfits so far and are never stored.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +37,13 @@ BUCKETS = 1 << 16
 #: Labelled rows the classifier learns from at most, the first by a hash of their id.
 MAX_LABELLED = 20_000
 #: Weights are kept in steps of 1 / UNIT.
-UNIT = 16
-#: A bucket counts as evidence beyond this many standard deviations.
-LEAST_Z = 9.0
-#: ... and this log ratio.
-LEAST_RATIO = 1.5
+UNIT = 64
+#: A weight is half its log ratio at this many standard deviations, with this steepness.
+HALF_Z, STEEP = 6.0, 6
+#: Labelled rows are scored by weights learned without their own fold.
+FOLDS = 4
+#: Bound of a text's summed weights.
+MOST_EVIDENCE = 40.0
 PULL, ITERATIONS, TOLERANCE = 1e-3, 24, 1e-5
 
 
@@ -74,27 +80,66 @@ def with_buckets(docs: DataFrame, text: Column, buckets: int, *carry: Column) ->
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str,
           max_labelled: int = MAX_LABELLED, buckets: int = BUCKETS) -> dict:
-    """Naive Bayes weights against the first domain: prior log odds and, per
-    other domain, {bucket: log ratio} of the buckets with evidence."""
+    """Naive Bayes weights against the first domain, per other domain {bucket:
+    weight}, and the calibration of their sums: ``prior`` (log odds without
+    evidence) and ``scale`` (a row of factors per other domain)."""
     rows = labelled.select(F.col(id_col).alias("label_id"), F.col("domain").alias("label_domain")).filter(F.col("label_domain").isin(domains))
     rows = rows.orderBy(F.xxhash64("label_id"), "label_id", "label_domain").limit(max_labelled)
     own = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("t")).join(F.broadcast(rows), "label_id")
-    words = stage(with_buckets(own, F.col("t"), buckets, F.col("label_domain")), "mix-labelled")  # bounded by max_labelled
-    sizes = {r[0]: r[1] for r in words.groupBy("label_domain").agg(F.count("*")).collect()}
-    n_docs = [sizes.get(d, 0) for d in domains]
-    counts = (words.select("label_domain", F.explode("bs").alias("b"))
-              .groupBy("b").agg(*(F.sum((F.col("label_domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(domains))))
-    weights = []
-    total = F.lit(0) + sum(F.col(f"n{k}") for k in range(len(domains)))
-    for k in range(1, len(domains)):
-        share = (n_docs[k] + 1) / (sum(n_docs) + 1)
-        expected = total * share
-        z = (F.col(f"n{k}") - expected) / F.sqrt(expected * (1 - share) + 1e-9)
-        ratio = F.log((F.col(f"n{k}") + 0.5) / (n_docs[k] + 1.0)) - F.log((F.col("n0") + 0.5) / (n_docs[0] + 1.0))
-        weights.append(F.when((F.abs(z) > LEAST_Z) & (F.abs(ratio) > LEAST_RATIO), ratio).otherwise(0.0).alias(f"w{k}"))
-    rows = counts.select("b", *weights).filter(" OR ".join(f"w{k} <> 0" for k in range(1, len(domains)))).collect()  # at most ``buckets`` rows
-    prior = [math.log((n + 1) / (n_docs[0] + 1)) for n in n_docs[1:]]
-    return {"prior": prior, "weights": [{r["b"]: r[f"w{k}"] for r in rows if r[f"w{k}"]} for k in range(1, len(domains))], "buckets": buckets}
+    words = with_buckets(own, F.col("t"), buckets, F.col("label_domain"))
+    # copies of a text share a fold
+    words = stage(words.select("label_domain", "bs", F.pmod(F.xxhash64("bs"), F.lit(FOLDS)).cast("int").alias("fold"),
+                               F.monotonically_increasing_id().alias("uid")), "mix-labelled")  # bounded by max_labelled
+    sizes = {(r[0], r[1]): r[2] for r in words.groupBy("label_domain", "fold").agg(F.count("*")).collect()}
+    counts = (words.select("label_domain", "fold", F.explode("bs").alias("b")).groupBy("b").agg(
+        *(F.sum(((F.col("label_domain") == d) & (F.col("fold") == f)).cast("long")).alias(f"n{k}_{f}")
+          for k, d in enumerate(domains) for f in range(FOLDS))))
+
+    def weight(k: int, folds: list[int]) -> Column:
+        n_docs = [sum(sizes.get((d, f), 0) for f in folds) for d in domains]
+        held = [sum((F.col(f"n{j}_{f}") for f in folds), F.lit(0)) for j in range(len(domains))]
+        share = (n_docs[k] + 1) / (sum(n_docs) + 1 + len(domains))
+        expected = sum(held, F.lit(0)) * share
+        z = F.abs(held[k] - expected) / F.sqrt(expected * (1 - share) + 0.25)
+        ratio = F.log((held[k] + 0.5) / (n_docs[k] + 1.0)) - F.log((held[0] + 0.5) / (n_docs[0] + 1.0))
+        there = F.pow(z / HALF_Z, F.lit(STEEP))
+        return F.round(ratio * there / (1 + there) * UNIT) / UNIT
+
+    others, every = range(1, len(domains)), list(range(FOLDS))
+    table = stage(counts.select("b", *(weight(k, every).alias(f"w{k}") for k in others), *(
+        F.array(*(weight(k, [g for g in every if g != f]) for f in every)).alias(f"x{k}") for k in others)), "mix-weights")  # at most ``buckets`` rows
+    crossed = (words.select("uid", "label_domain", "fold", F.explode("bs").alias("b")).join(F.broadcast(table), "b")
+               .groupBy("uid", "label_domain").agg(*(F.sum(F.get(f"x{k}", F.col("fold"))).alias(f"s{k}") for k in others)).collect())  # bounded by max_labelled
+    scores = np.array([[r[f"s{k}"] for k in others] for r in crossed]).reshape(len(crossed), len(others))
+    prior, scale = calibrate(scores, np.array([domains.index(r["label_domain"]) for r in crossed], int), len(domains))
+    rows = table.select("b", *(f"w{k}" for k in others)).filter(" OR ".join(f"w{k} <> 0" for k in others)).collect()  # at most ``buckets`` rows
+    return {"prior": prior, "scale": scale, "weights": [{r["b"]: r[f"w{k}"] for r in rows if r[f"w{k}"]} for k in others], "buckets": buckets}
+
+
+def calibrate(scores: np.ndarray, domain: np.ndarray, n: int, ridge: float = 1.0, few: float = 0.1) -> tuple[list[float], list[list[float]]]:
+    """Multinomial logistic fit of the domain on the scores by Newton steps:
+    log odds against the first domain, as intercepts and factors.  Each
+    domain counts as seen ``few`` times more without evidence, so that one without labels has odds."""
+    x = np.concatenate([np.ones((len(scores), 1)), np.clip(scores, -MOST_EVIDENCE, MOST_EVIDENCE)], 1)
+    x = np.concatenate([x, np.eye(x.shape[1])[[0] * n]])
+    y, weight = np.eye(n)[np.append(domain, range(n))], np.append(np.ones(len(domain)), [few] * n)[:, None]
+    d = x.shape[1]
+    w, pull = np.zeros((d, n)), np.full((d, 1), ridge)
+    pull[0] = 1e-6
+    for _ in range(100):
+        z = x @ w
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        g = x.T @ (weight * (p - y)) + pull * w
+        h = np.einsum("ia,ij,ik,ib->jakb", x, weight * p, -p, x, optimize=True)
+        for k in range(n):
+            h[k, :, k] += x.T @ (weight * p[:, k:k + 1] * x) + np.diag(pull[:, 0] + 1e-3)
+        step = np.linalg.solve(h.reshape(n * d, n * d), g.T.ravel()).reshape(n, d).T
+        w = w - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-6:
+            break
+    w = w - w[:, :1]
+    return [float(v) for v in w[0, 1:]], [[float(v) for v in w[1:, k]] for k in range(1, n)]
 
 
 def _adder(table: Column):
@@ -107,8 +152,8 @@ def evidence(buckets: Column, model: dict) -> Column:
     for k, w in enumerate(model["weights"]):
         flat = ["0"] * model["buckets"]
         for b, x in w.items():
-            flat[b] = str(max(-127, min(127, round(x * UNIT))))
-        table = F.split(F.lit(",".join(flat)), ",").cast("array<tinyint>")  # folded into one literal
+            flat[b] = str(max(-32767, min(32767, round(x * UNIT))))
+        table = F.split(F.lit(",".join(flat)), ",").cast("array<smallint>")  # folded into one literal
         sums.append(F.aggregate(buckets, F.lit(0).cast("long"), _adder(table)).alias(f"s{k}"))
     return F.struct(*sums)
 
@@ -122,8 +167,10 @@ def members(docs: DataFrame, model: dict, id_col: str, text_col: str, carry: tup
     u = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) / float(1 << 30)
     scored = with_buckets(docs, text, model["buckets"], F.struct(*carry).alias("row"), u.alias("u"))
     scored = scored.select("row", "tokens", "u", evidence(F.col("bs"), model).alias("s"))
-    odds = [F.lit(1.0)] + [F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(f"s.s{k}") / float(UNIT) + p)))
-                           for k, p in enumerate(model["prior"])]
+    bounded = lambda x, most: F.greatest(F.lit(-most), F.least(F.lit(most), x))
+    scored = scored.select("row", "tokens", "u", *(bounded(F.col(f"s.s{k}") / float(UNIT), MOST_EVIDENCE).alias(f"s{k}") for k in range(n - 1)))
+    odds = [F.lit(1.0)] + [F.exp(bounded(sum((F.col(f"s{j}") * a for j, a in enumerate(scale)), F.lit(p)), 30.0))
+                           for p, scale in zip(model["prior"], model["scale"], strict=True)]
     scored = scored.select("row", "tokens", "u", F.array(*odds).alias("odds"))
     total = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
     return stage(scored.select("row", "tokens", "u", F.transform("odds", lambda o: o / total).alias("p"))

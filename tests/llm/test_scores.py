@@ -189,6 +189,24 @@ def test_source_mix(spark, nasty, empty):
     assert all(r.p0 == pytest.approx(0.5) for r in source_mix.mix(nasty, none, shares={"a": 1.0, "b": 1.0}).collect())
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_source_mix_held_out(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = source_mix.domain_labels(spark.read.parquet(f"{sf}/labels.parquet"))
+    judged = F.crc32(F.col("doc_id").cast("string")) % 10 < 3
+    shares = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
+    got = source_mix.mix(docs, labels.filter(~judged), shares=shares).collect()
+    total = sum(r.tokens for r in got)
+    for k, s in enumerate(shares.values()):
+        assert sum(r.tokens * r[f"p{k}"] * r.rate for r in got) == pytest.approx(s * total, rel=0.05)
+    by_label = {r.doc_id: r.domain for r in labels.filter(judged).collect()}
+    pairs = [(by_label[r.row.doc_id], list(shares)[max(range(3), key=lambda k: r[f"p{k}"])]) for r in got if r.row.doc_id in by_label]
+    print(sf, Counter(pairs))
+    assert sum(a == b for a, b in pairs) > 0.85 * len(pairs)
+    toxic = [b for a, b in pairs if a == "toxic"]
+    assert toxic.count("toxic") >= 0.4 * len(toxic)
+
+
 def test_pu_quality(spark, nasty, empty):
     r = np.random.default_rng(0)
     pos = r.normal(1, 1, (1500, 5)).astype(np.float32)
