@@ -3,7 +3,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import SF001, tx_rows
+from core_helpers import SF001, tx_rows
 
 import __spark_entry__ as E
 from chainlens.config import DEFAULT

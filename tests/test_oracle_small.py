@@ -2,7 +2,7 @@
 import duckdb
 import pytest
 
-from conftest import SF001
+from core_helpers import SF001
 from tools.check_oracle import TABLES, rows_of
 
 import __spark_entry__ as E

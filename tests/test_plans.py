@@ -1,7 +1,7 @@
 """Plan-shape checks: the properties the scale design relies on."""
 import pytest
 
-from conftest import SF001, tx_rows
+from core_helpers import SF001, tx_rows
 
 from chainlens.config import DEFAULT
 from chainlens.operators import wallets as W

@@ -3,7 +3,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import tx_rows
+from core_helpers import tx_rows
 
 from chainlens.config import DEFAULT, PERSONA_OTHER, PERSONA_POSITIVE, PERSONA_TOP
 from chainlens.operators import features as FE
