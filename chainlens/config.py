@@ -222,6 +222,15 @@ class Params:
     loadings: tuple = tuple(tuple(r) for r in PUBLISHED_LOADINGS)
     #: distinct-count strategy for the wallet features: "exact" or "set"
     distinct_mode: str = "exact"
+    #: a session ends where a wallet pauses for longer
+    session_gap_days: float = 30.0
+    #: campaigns: days from each chain's days of most volume
+    campaigns_per_chain: int = 3
+    campaign_days: int = 14
+    #: rows of a wallet that one task may sort; wallets with more are cut into time slices
+    slice_rows: int = 2_000_000
+    #: rows before this time are the first load of the incremental features
+    first_load_end: str = "1999-01-01"
     #: stage the adapter output once per session as a Parquet table
     stage_inputs: bool = True
 
@@ -247,6 +256,8 @@ class Params:
             rule_beginner_max_chains=2,
             advanced_min=100,
             heavy_min_tx=10000,
+            session_gap_days=7.0,
+            first_load_end="2025-04-01",
             sample_per_cluster=1000,
             centroids=tuple(PUBLISHED_CENTROIDS),
             model="fitted",

@@ -10,6 +10,11 @@ def col_or(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def micros(c) -> Column:
+    """Microseconds since 1970 of a time with or without a zone (UTC sessions)."""
+    return F.unix_micros(col_or(c).cast("timestamp"))
+
+
 def flag_sum(cond: Column) -> Column:
     """SUM(CASE WHEN cond THEN 1 ELSE 0 END); NULL conditions count as 0."""
     return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")

@@ -15,7 +15,6 @@ model parameters (a 9x5 matrix, k centroids) live on the driver.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -27,7 +26,7 @@ from chainlens.config import (BUSINESS_FEATURES, CLUSTER_FEATURES, DEFAULT, PERS
 from chainlens.functions.exprs import avg_money, share_of_total
 from chainlens.functions.quantiles import exact_quantiles_wide
 from chainlens.operators.features import log10_features, standardize
-from chainlens.session import ensure_checkpoint_dir
+from chainlens.sources.tables import materialize
 
 PC_COLS = [f"PC{i + 1}" for i in range(5)]
 
@@ -42,21 +41,6 @@ def mean2(c: str):
 # ---------------------------------------------------------------------------
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a wallet-grain table as Parquet under the checkpoint folder and
-    read it back.
-
-    The model steps read the feature table several times (stats, fit,
-    scores, joins).  Writing it once cuts the lineage back to the raw scan,
-    survives executor loss, and (unlike an RDD checkpoint) computes the
-    input a single time and re-reads it columnar with pruning."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def project(df: DataFrame, cols: Sequence[str], loadings: Sequence[Sequence[float]],
             keep: Sequence[str] = ("wallet",)) -> DataFrame:
     """PC_k = sum_j x_j * loadings[k][j]: one codegen'd expression per component."""

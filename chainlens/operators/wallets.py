@@ -168,7 +168,7 @@ def top_wallet_stats(top: DataFrame, new_max: int, advanced_min: int,
         share(x > programmatic_min).alias("programmatic_pct"))
 
 
-def wallet_profile(tx: DataFrame, wallet: str | None = None, mode: str = "set") -> DataFrame:
+def wallet_profile(tx: DataFrame, wallet: str | None = None, mode: str = "exact") -> DataFrame:
     """Rows, distinct chains / currencies, first / last time and USD per wallet.
     With ``wallet`` set the filter is pushed to the scan (one-wallet form)."""
     if wallet is not None:

@@ -16,15 +16,24 @@ from pyspark.sql import types as T
 
 from chainlens.config import (BUSINESS_FEATURES, CLUSTER_FEATURES, DEFAULT, FEATURES_A, LOG_FEATURES, PERSONAS,
                               Params)
+from chainlens.operators import differences as D
 from chainlens.operators import extras as X
 from chainlens.operators import features as FE
 from chainlens.operators import first_use as FU
+from chainlens.operators import incremental_features as INC
+from chainlens.operators import intervals as IV
 from chainlens.operators import loyalty as L
 from chainlens.operators import personas as P
+from chainlens.operators import props as PR
+from chainlens.operators import ranks as RK
 from chainlens.operators import reports as R
+from chainlens.operators import rolling as RO
+from chainlens.operators import sequences as S
+from chainlens.operators import sketches as SK
 from chainlens.operators import wallets as W
 from chainlens.sources import adapters as A
 from chainlens.sources import tables as T_
+from chainlens.session import ensure_checkpoint_dir
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -105,7 +114,7 @@ def _wallet_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
         "top_wallet_stats": lambda i: W.top_wallet_stats(
             W.top_wallets(i.kept, p.top_k_wallets), p.rule_new_max, p.advanced_min,
             p.rule_programmatic_min),
-        "wallet_profile": lambda i: W.wallet_profile(i.kept),
+        "wallet_profile": lambda i: W.wallet_profile(i.kept, mode=p.distinct_mode),
         "recent_transactions": lambda i: W.recent_transactions(i.kept, p.recent_n),
         "rule_segments": lambda i: W.rule_segments(i.kept, p),
         "segment_distribution": lambda i: W.segment_distribution(W.rule_segments(i.kept, p)),
@@ -355,11 +364,72 @@ def _extra_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
         "vwa_size": lambda i: X.vwa_size(final_tbl(i)),
         "dest_overlap": lambda i: X.dest_overlap(loyalty_agg(i), p),
         "unserved_routes": lambda i: X.unserved_routes(loyalty_agg(i), p),
+        "unserved_routes_aliased": lambda i: X.unserved_routes(loyalty_agg(i), p, A.DRIVER_ALIASES),
         "route_share": lambda i: X.route_share(loyalty_agg(i), p),
         "return_routes": lambda i: X.return_routes(i.kept, i.exclusions, p),
     }
 
 
+def windowed(i: Inputs) -> DataFrame:
+    """Home transactions in the window, exclusions applied (wallet not NULL)."""
+    return W.exclude_wallets(W.in_window(i.kept, i.p.window_start, i.p.window_end), i.exclusions, keep_null=False)
+
+
+def trips(i: Inputs) -> DataFrame:
+    return _model_table(i, "return_trips", lambda: S.return_trips(windowed(i), i.p.slice_rows))
+
+
+def sessions(i: Inputs) -> DataFrame:
+    return _model_table(i, "wallet_sessions", lambda: S.sessions(windowed(i), i.p.session_gap_days, i.p.slice_rows))
+
+
+def campaigns(i: Inputs) -> DataFrame:
+    return _model_table(i, "campaigns", lambda: IV.campaigns(windowed(i), i.p.campaigns_per_chain, i.p.campaign_days))
+
+
+def rolled(i: Inputs) -> DataFrame:
+    return _model_table(i, "rolling_volume", lambda: RO.rolling_volume(windowed(i)))
+
+
+def sketches(i: Inputs) -> DataFrame:
+    """Wallet sketches per chain, kind and month, stored: rollups read no raw rows."""
+    return _model_table(i, "wallet_sketches", lambda: SK.wallet_sketches(windowed(i)))
+
+
+def features_by_loads(i: Inputs) -> DataFrame:
+    """Variant A features of two loads, the second appended to the stored parts of the first."""
+    path = f"{ensure_checkpoint_dir(i.spark).rstrip('/')}/tables/feature-parts-{uuid.uuid4().hex}"
+    first = F.coalesce(F.col("created_at") < F.to_timestamp(F.lit(i.p.first_load_end)), F.lit(True))
+    INC.append(i.kept.where(first), i.exclusions, path, "first")
+    INC.append(i.kept.where(~first), i.exclusions, path, "second")
+    return INC.features(i.spark, path)
+
+
+def _sequence_queries(p: Params) -> dict[str, Callable[[Inputs], DataFrame]]:
+    return {
+        "home_before_competitor": lambda i: S.home_before_competitor(i.competitor_raw, windowed(i), p.slice_rows),
+        "bridge_after_swap": lambda i: S.bridge_after_swap(windowed(i), p.slice_rows),
+        "return_trips": trips,
+        "trip_routes": lambda i: S.trip_routes(trips(i)),
+        "wallet_sessions": sessions,
+        "session_summary": lambda i: S.session_summary(sessions(i)),
+        "campaign_volume": lambda i: IV.campaign_volume(windowed(i), campaigns(i)),
+        "campaign_sessions": lambda i: IV.campaign_sessions(sessions(i), campaigns(i)),
+        "rolling_volume": rolled,
+        "rolling_peaks": lambda i: RO.rolling_peaks(rolled(i)),
+        "wallet_volume_ranks": lambda i: RK.exact_ranks(features_a_table(i).select("wallet", "total_send_usd"), "total_send_usd", "wallet"),
+        "wallet_activity_ranks": lambda i: RK.exact_ranks(features_a_table(i).select("wallet", "deposit_tx_count"), "deposit_tx_count", "wallet"),
+        "reach_rollup": lambda i: SK.reach_check(windowed(i), sketches(i), "origin_chain_name", "month"),
+        "reach_estimates": lambda i: SK.reach(sketches(i), "origin_chain_name", "execution_kind", "month"),
+        "route_bag_difference": lambda i: D.bag_difference(
+            windowed(i).select("wallet", F.col("origin_chain_name").alias("source_chain"), F.col("destination_chain_name").alias("destination_chain")),
+            i.competitor_raw.where(F.col("direction") == "outbound").select(F.col("source_address").alias("wallet"), "source_chain", "destination_chain")),
+        "wallet_features_incremental": features_by_loads,
+        "event_props": lambda i: PR.typed(A.read_table(i.spark, i.sf_dir, "events"), "props", {"k": ("$.k", "int")}, ["event_id", "event_type"]),
+        "event_prop_report": lambda i: PR.key_report(A.read_table(i.spark, i.sf_dir, "events"), "props", "event_type"),
+    }
+
+
 def builders(p: Params = DEFAULT) -> dict[str, Callable[[Inputs], DataFrame]]:
     out: dict[str, Callable[[Inputs], DataFrame]] = {}
     out.update(_wallet_queries(p))
@@ -369,6 +439,7 @@ def builders(p: Params = DEFAULT) -> dict[str, Callable[[Inputs], DataFrame]]:
     out.update(_persona_queries(p))
     out.update(_fitted_queries(p))
     out.update(_extra_queries(p))
+    out.update(_sequence_queries(p))
     return out
 
 

@@ -32,9 +32,11 @@ WALLET_GRAIN = {
     "competitor_overlap", "loyalty_aggregate", "loyalty_class", "features_log1p",
     "features_log10", "features_scaled", "volume_segments", "assign_fixed_centroids",
     "loyalty_persona", "pca_scores", "kmeans_assign", "kmeans_assign_a", "route_share", "return_routes",
+    "bridge_after_swap", "return_trips", "wallet_sessions", "session_summary", "rolling_volume", "rolling_peaks",
+    "wallet_volume_ranks", "wallet_activity_ranks", "wallet_features_incremental",
 }
-#: Driver-table specific entries that have no meaning on real inputs.
-SKIP = {"route_lookup"}
+#: Entries on the driver's tables (a fixed wallet, raw competitor events, event properties) that have no meaning on these inputs.
+SKIP = {"route_lookup", "home_before_competitor", "route_bag_difference", "event_props", "event_prop_report", "unserved_routes_aliased"}
 
 
 def run_analysis(spark: SparkSession, transactions: str | list[str], competitor: str, out: str,

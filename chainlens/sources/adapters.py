@@ -23,6 +23,9 @@ DRIVER_EXCLUSIONS = [
     ("w52", "burn"),
 ]
 
+# Chain aliases used with the driver tables (alias -> name).
+DRIVER_ALIASES = {"NATION_1": "NATION_2", "NATION_7": "NATION_8"}
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -6,20 +6,23 @@ short, some files are Latin-1 instead of UTF-8.  Spark's CSV reader
 applies an explicit schema by position and silently replaces invalid
 UTF-8, so the steps are:
 
-1. one distributed pass over the files' first lines and bytes gives, per
-   file, its header and whether all of its lines are valid UTF-8;
+1. one distributed pass over the files' lines gives, per file, its header,
+   whether all of its lines are valid UTF-8 and whether its quotes pair up.
+   It is stored; the drift report and all later steps read it;
 2. files are grouped by (header, encoding, line breaks inside quotes) - a
-   handful of groups; each group is read in parallel, all fields as text
-   in its own column order, then parsed and projected to the canonical
-   order.  Only files with a quoted line break are read whole (such files
-   cannot be split);
+   handful of groups; each group is read once, in parallel, all fields as
+   text in its own column order, then parsed, projected to the canonical
+   order and stored with what was wrong with the line.  Only files with a
+   quoted line break are read whole (such files cannot be split).  A file
+   whose quotes do not pair up has a stray one: it is read line by line;
 3. Spark marks lines whose number of fields differs from the header and
    keeps their source text.  Those with too many fields, empty ones
-   included, go to a quarantine frame as they were; short lines keep NULLs;
-   a field that does not parse as its type becomes NULL.  Quotes inside
-   quoted fields are doubled.
+   included, or with a quote that is never closed go to a quarantine frame
+   as they were; short lines keep NULLs; a field that does not parse as its
+   type becomes NULL.  Quotes inside quoted fields are doubled.
 
-Only per-file metadata (one row per file) reaches the driver.
+The paths of each group reach the driver, which hands them to the reader;
+Spark's own file index holds the same list there.
 """
 
 from __future__ import annotations
@@ -31,23 +34,42 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainlens.config import TRANSACTION_COLUMNS, TRANSACTION_SCHEMA
+from chainlens.config import TRANSACTION_SCHEMA
+from chainlens.sources.tables import materialize
 
 #: Source text of a line whose number of fields is not the header's.
 RAW_COL = "_source_line"
 LATIN1 = "ISO-8859-1"
-#: A comma outside quotes.
-_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 #: All fields are parsed whatever columns a query takes, so that the same lines are marked each time.
 READ = {"header": "true", "mode": "PERMISSIVE", "quote": '"', "escape": '"', "columnNameOfCorruptRecord": RAW_COL,
-        "columnPruning": "false"}
+        "columnPruning": "false", "maxColumns": "500000"}
+#: Stands for a comma outside quotes while a line is split.
+_CUT = "\x1f"
+
+
+def _pieces(line) -> F.Column:
+    """A line cut at its quotes: every second piece, from the first on, lies outside quotes."""
+    return F.split(line, '"', -1)
 
 
 def fields_of(line) -> F.Column:
     """Fields of a CSV line, without their quotes."""
     line = F.col(line) if isinstance(line, str) else line
+    marked = F.transform(_pieces(line), lambda x, i: F.when(i % 2 == 0, F.replace(x, F.lit(","), F.lit(_CUT))).otherwise(x))
     bare = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"')
-    return F.transform(F.split(line, _COMMA, -1), bare)
+    return F.transform(F.split(F.array_join(marked, '"'), _CUT, -1), bare)
+
+
+def n_fields(line) -> F.Column:
+    """Number of fields of a CSV line: one more than its commas outside quotes, in one pass over the line."""
+    outside = F.filter(_pieces(line), lambda x, i: i % 2 == 0)
+    commas = F.aggregate(outside, F.lit(0), lambda n, x: n + F.char_length(x) - F.char_length(F.replace(x, F.lit(","), F.lit(""))))
+    return commas + 1
+
+
+def quotes(line) -> F.Column:
+    line = F.col(line) if isinstance(line, str) else line
+    return F.char_length(line) - F.char_length(F.replace(line, F.lit('"'), F.lit("")))
 
 
 def source_line(columns: Sequence[str]) -> F.Column:
@@ -55,9 +77,10 @@ def source_line(columns: Sequence[str]) -> F.Column:
     return F.concat(F.col(RAW_COL), F.substring(F.coalesce(F.col(columns[0]), F.lit("")), 1, 0))
 
 
-def too_long(columns: Sequence[str]) -> F.Column:
-    """Whether a line has more fields than ``columns``."""
-    return F.coalesce(F.size(F.split(source_line(columns), _COMMA, -1)) > len(columns), F.lit(False))
+def rejected(columns: Sequence[str]) -> F.Column:
+    """Whether a line has more fields than ``columns`` or leaves a quote open."""
+    line = source_line(columns)
+    return F.coalesce((n_fields(line) > len(columns)) | (quotes(line) % 2 == 1), F.lit(False))
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
@@ -66,8 +89,8 @@ def _paths(paths: str | Sequence[str]) -> list[str]:
 
 def file_headers(spark: SparkSession, paths: str | Sequence[str],
                  exclude_prefix: str | None = None) -> DataFrame:
-    """One row per file: path, name, header line, header columns, and
-    whether every line is valid UTF-8.
+    """One row per file: path, name, header line, header columns, whether
+    every line is valid UTF-8 and whether quoted fields hold line breaks.
 
     The header is the first line of the split starting at byte 0 (row
     order within a split is read order).  The UTF-8 flag needs every line,
@@ -84,8 +107,9 @@ def file_headers(spark: SparkSession, paths: str | Sequence[str],
                 F.min_by(F.when(F.col("block_start") == 0, F.col("value")),
                          F.when(F.col("block_start") == 0, F.col("pos"))).alias("header"),
                 F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-                # a line with an odd number of quotes opens a field that goes on in the next
-                F.bool_or((F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).alias("breaks"))
+                # a line with an odd number of quotes opens a field that goes on in the next,
+                # unless the file's quotes do not pair up: then one of them is stray
+                (F.bool_or(quotes("value") % 2 == 1) & (F.sum(quotes("value")) % 2 == 0)).alias("breaks"))
             .withColumn("header", F.regexp_replace("header", "^﻿", ""))
             .withColumn("columns", fields_of("header")))
 
@@ -154,7 +178,13 @@ def _group_schema(columns: Sequence[str]) -> T.StructType:
 
 
 def _quarantined(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.where(too_long(columns)).select("file_path", source_line(columns).alias("line"))
+    return df.where(rejected(columns)).select("file_path", source_line(columns).alias("line"))
+
+
+def _groups(headers: DataFrame) -> dict[tuple, list[str]]:
+    """(columns, utf8, breaks) -> paths, grouped on the cluster."""
+    found = headers.groupBy("columns", "utf8", "breaks").agg(F.sort_array(F.collect_list("file_path")).alias("paths")).collect()
+    return dict(sorted(((tuple(r.columns), bool(r.utf8), bool(r.breaks)), r.paths) for r in found))
 
 
 def read_transactions(spark: SparkSession, paths: str | Sequence[str],
@@ -165,45 +195,34 @@ def read_transactions(spark: SparkSession, paths: str | Sequence[str],
 
     Files with the expected column set in another order are realigned;
     files missing or adding columns are skipped (or raise with
-    ``strict``).  Latin-1 files are read with their encoding."""
+    ``strict``).  Latin-1 files are read with their encoding.  Rows are
+    parsed and stored once, in the shared folder; data, quarantine and
+    unparsed times are read from there."""
     expected = [f.name for f in schema.fields]
-    headers = file_headers(spark, paths, exclude_prefix)
+    headers = materialize(file_headers(spark, paths, exclude_prefix), "csv-headers")
     drift = schema_drift(headers, expected)
-    meta = drift.select("file_path", "columns", "utf8", "breaks", "matches").collect()  # one row per file
-    skipped = [r.file_path for r in meta if not r.matches]
+    skipped = [r.file_path for r in drift.where(~F.col("matches")).select("file_path").collect()]
     if skipped and strict:
         raise ValueError(f"column schema mismatch in {len(skipped)} file(s): {skipped[:5]}")
-    groups: dict[tuple, list[str]] = {}
-    for r in meta:
-        if r.matches:
-            groups.setdefault((tuple(r.columns), bool(r.utf8), bool(r.breaks)), []).append(r.file_path)
-    data_parts, bad_parts, time_parts = [], [], []
-    for (cols, utf8, breaks), files in sorted(groups.items()):
+    times = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampType)]
+    rows = None
+    for (cols, utf8, breaks), files in _groups(drift.where("matches")).items():
         reader = spark.read.schema(_group_schema(cols)).options(**READ).option("multiLine", breaks)
-        df = reader.option("encoding", "UTF-8" if utf8 else LATIN1).csv(files).withColumn("file_path", F.col("_metadata.file_path"))
-        bad = too_long(cols)
-        data_parts.append(df.where(~bad).select(*_typed(schema, timestamp_format)))
-        for f in schema.fields:
-            if isinstance(f.dataType, T.TimestampType):
-                time_parts.append(df.where(~bad & F.col(f.name).isNotNull()
-                                           & parse_time(f.name, timestamp_format).isNull())
-                                  .select("file_path", F.lit(f.name).alias("column"),
-                                          F.col(f.name).alias("text")))
-        bad_parts.append(_quarantined(df, cols))
-    if data_parts:
-        data = data_parts[0]
-        for d in data_parts[1:]:
-            data = data.unionByName(d)
-        bad = bad_parts[0]
-        for b in bad_parts[1:]:
-            bad = bad.unionByName(b)
+        df = reader.option("encoding", "UTF-8" if utf8 else LATIN1).csv(files)
+        bad = F.when(rejected(cols), source_line(cols))
+        unparsed = [F.when(F.col(c).isNotNull() & parse_time(c, timestamp_format).isNull(), F.struct(F.lit(c).alias("column"), F.col(c).alias("text")))
+                    for c in times]
+        part = df.select(F.col("_metadata.file_path").alias("_file"), bad.alias("_line"), F.array_compact(F.array(*unparsed)).alias("_times"),
+                         *_typed(schema, timestamp_format))
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        rows = spark.createDataFrame([], T.StructType([*T._parse_datatype_string(
+            "_file string, _line string, _times array<struct<column: string, text: string>>").fields, *schema.fields]))
     else:
-        data = spark.createDataFrame([], schema)
-        bad = spark.createDataFrame([], "file_path string, line string")
-    times = spark.createDataFrame([], "file_path string, column string, text string")
-    for t in time_parts:
-        times = times.unionByName(t)
-    return Ingested(data, bad, drift, skipped, times)
+        rows = materialize(rows, "csv-rows")
+    good = rows.where(F.col("_line").isNull())
+    return Ingested(good.select(*expected), rows.where(F.col("_line").isNotNull()).select(F.col("_file").alias("file_path"), F.col("_line").alias("line")),
+                    drift, skipped, good.select(F.col("_file").alias("file_path"), F.explode("_times").alias("t")).select("file_path", "t.*"))
 
 
 def sample_per_file(spark: SparkSession, paths: str | Sequence[str], n: int = 5,
@@ -213,15 +232,11 @@ def sample_per_file(spark: SparkSession, paths: str | Sequence[str], n: int = 5,
 
     ``row_number() <= n`` over each file is a WindowGroupLimit, so every
     task forwards at most n rows per file."""
-    headers = file_headers(spark, paths, exclude_prefix)
-    meta = headers.select("file_path", "columns", "utf8", "breaks").collect()
-    groups: dict[tuple, list[str]] = {}
-    for r in meta:
-        groups.setdefault((tuple(r.columns), bool(r.utf8), bool(r.breaks)), []).append(r.file_path)
+    headers = materialize(file_headers(spark, paths, exclude_prefix), "csv-headers")
     out = None
-    for (cols, utf8, breaks), files in sorted(groups.items()):
+    for (cols, utf8, breaks), files in _groups(headers).items():
         reader = spark.read.schema(_group_schema(cols)).options(**READ).option("multiLine", breaks)
-        df = (reader.option("encoding", "UTF-8" if utf8 else LATIN1).csv(files).where(~too_long(cols)).select(
+        df = (reader.option("encoding", "UTF-8" if utf8 else LATIN1).csv(files).where(~rejected(cols)).select(
               *cols, F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("__path"),
               F.monotonically_increasing_id().alias("__pos")))
         w = F.row_number().over(Window.partitionBy("__path").orderBy("__pos"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from chainlens.session import ensure_checkpoint_dir
 
 _STAGED: dict[tuple, str] = {}
+_SCRATCH: list[str] = []
 #: Bytes of a row group of a staged table.
 ROW_GROUP = 16 << 20
 
@@ -67,6 +68,26 @@ def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame],
     return spark.read.parquet(path)
 
 
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table as Parquet under the checkpoint folder and read it back.
+
+    For tables that several later steps read: the input is computed a single
+    time, the lineage is cut, a lost executor costs one task, and readers
+    prune columns.  ``drop_scratch`` deletes what was written."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    _SCRATCH.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` wrote; results that still read them must be stored before."""
+    for path in _SCRATCH:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _SCRATCH.clear()
+
+
 def forget_staged(spark: SparkSession | None = None) -> None:
     """Forget the session's staged tables (next use rebuilds); with a
     session, their files under the checkpoint folder go as well."""

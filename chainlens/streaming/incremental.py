@@ -7,7 +7,7 @@ sink commits each micro-batch exactly once.  ``availableNow`` processes
 the backlog and stops, so the same job runs on a schedule without a
 long-lived cluster.
 
-Rows are never dropped: lines with surplus fields go to a quarantine table
+Rows are never dropped: lines with surplus fields or an open quote go to a quarantine table
 written by a second query over the same source (own checkpoint, also
 exactly-once).  A streaming source has one fixed schema, so every file in
 the folder must share one header order; files with another header order
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chainlens.config import TRANSACTION_SCHEMA
-from chainlens.sources.csv_ingest import READ, _group_schema, _quarantined, _typed, too_long
+from chainlens.sources.csv_ingest import READ, _group_schema, _quarantined, _typed, rejected
 
 
 def start_ingest(spark: SparkSession, in_dir: str, table_path: str, quarantine_path: str,
@@ -40,7 +40,7 @@ def start_ingest(spark: SparkSession, in_dir: str, table_path: str, quarantine_p
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.csv(in_dir)
-    good = (src.where(~too_long(cols)).select(*_typed(TRANSACTION_SCHEMA))
+    good = (src.where(~rejected(cols)).select(*_typed(TRANSACTION_SCHEMA))
             .withColumn("month", F.date_format("created_at", "yyyy-MM")))
     bad = _quarantined(src.withColumn("file_path", F.col("_metadata.file_path")), cols)
 

@@ -183,3 +183,46 @@ def test_exported_text_round_trip(spark, tmp_dir):
     df = spark.createDataFrame([("a\nb", 'say "x", y', 1), ("c", None, 2)], "k string, t string, n int")
     TB.export_csv(df, f"{tmp_dir}/out")
     assert sorted(map(tuple, TB.read_csv_result(spark, f"{tmp_dir}/out", df.schema).collect())) == [("a\nb", 'say "x", y', 1), ("c", None, 2)]
+
+
+def test_line_of_many_quoted_fields_is_quarantined(spark, tmp_dir):
+    base = ",".join(row(1).values())
+    long_line = base + "," + ",".join(['"a,b"'] * 10_000)
+    write_csv(f"{tmp_dir}/long.csv", COLS, [row(2), row(3)], raw_lines=[long_line, ",".join(row(4).values())])
+    ing = CI.read_transactions(spark, f"{tmp_dir}/long.csv")
+    assert [r.line for r in ing.quarantine.collect()] == [long_line] and ing.data.count() == 3
+    assert CI.sample_per_file(spark, f"{tmp_dir}/long.csv", 5).count() == 3
+
+
+def test_stray_quote_costs_one_line(spark, tmp_dir):
+    """A quote that opens and is never closed before 10,000 rows: they all stay."""
+    stray = '"' + ",".join(row(1).values())
+    write_csv(f"{tmp_dir}/stray.csv", COLS, [row(0)], raw_lines=[stray, *(",".join(row(i).values()) for i in range(2, 10_002))])
+    ing = CI.read_transactions(spark, f"{tmp_dir}/stray.csv")
+    assert ing.data.count() == 10_001 and [r.line for r in ing.quarantine.collect()] == [stray]
+
+
+def test_stray_quotes_that_pair_up_swallow_no_more_than_the_rows_between(spark, tmp_dir):
+    inside = [",".join(row(i).values()) for i in range(2, 12_002)]
+    write_csv(f"{tmp_dir}/pair.csv", COLS, [row(0)], raw_lines=['"' + ",".join(row(1).values()), *inside, '"' + ",".join(row(12_002).values()),
+                                                               ",".join(row(12_003).values())])
+    ing = CI.read_transactions(spark, f"{tmp_dir}/pair.csv")
+    kept, gone = ing.data.count(), ing.quarantine.collect()
+    assert kept + len(gone) == 3 and ing.data.where("deposit_tx_hash = 'd12003'").count() == 1
+
+
+def test_fields_are_counted_outside_quotes(spark):
+    lines = ["", "a", "a,b", ',', '"a,b",c', '"a ""q"", b",,"",x', '"open,a,b', 'a"b,c"d,e']
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", CI.n_fields(F.col("line")).alias("n"), CI.fields_of("line").alias("f")).collect()
+    want = {"": 1, "a": 1, "a,b": 2, ",": 2, '"a,b",c': 2, '"a ""q"", b",,"",x': 4, '"open,a,b': 1, 'a"b,c"d,e': 2}
+    assert {r.line: r.n for r in got} == want and all(len(r.f) == r.n for r in got)
+    assert next(r.f for r in got if r.line.startswith('"a ""')) == ['a "q", b', "", "", "x"]
+
+
+def test_each_file_is_parsed_once(spark, tmp_dir):
+    """Data, quarantine and unparsed times are read from the stored rows, the drift report from the stored headers."""
+    write_csv(f"{tmp_dir}/a.csv", COLS, [row(1), row(2, ts="never")])
+    ing = CI.read_transactions(spark, f"{tmp_dir}/a.csv")
+    for df in (ing.data, ing.quarantine, ing.bad_times, ing.drift):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "csv-" in plan and "FileScan csv" not in plan and "FileScan text" not in plan
