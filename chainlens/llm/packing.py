@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import struct
 import zlib
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,21 +36,28 @@ PART, GROUP_TOKENS = 256, 48 * WINDOW
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Karmarkar-Karp: indexes of ``sizes`` in ``k`` sets of near-equal sums."""
-    # a partial partition: sums in falling order, less the smallest, beside what each holds
-    heap = [(-s, i, [s] + [0] * (k - 1), [[i]] + [[] for _ in range(k - 1)]) for i, s in enumerate(sizes)]
+    """Karmarkar-Karp: indexes of ``sizes`` in ``k`` sets of near-equal sums.
+
+    A partial partition lists its windows that hold something, (sum, indexes)
+    in falling order; the others of its k windows are empty."""
+    heap = [(-s, i, [(s, [i])]) for i, s in enumerate(sizes)]
+    if k == 1:
+        return [list(range(len(sizes)))]
     heapq.heapify(heap)
     count = len(heap)
     while len(heap) > 1:
-        _, _, s1, h1 = heapq.heappop(heap)
-        _, _, s2, h2 = heapq.heappop(heap)
-        # heaviest with lightest
-        merged = sorted(((a + b, h + g) for a, b, h, g in zip(s1, reversed(s2), h1, reversed(h2))), key=lambda x: -x[0])
-        low = merged[-1][0]
-        sums = [a - low for a, _ in merged]
-        heapq.heappush(heap, (-sums[0], count, sums, [h for _, h in merged]))
+        _, _, w1 = heapq.heappop(heap)
+        _, _, w2 = heapq.heappop(heap)
+        # heaviest with lightest: window i of one meets window k - 1 - i of the other, often an empty one
+        lone1, lone2 = max(0, k - len(w2)), max(0, k - len(w1))
+        merged = w1[:lone1] + w2[:lone2]
+        merged += [(a + b, g + h) for (a, g), (b, h) in zip(w1[lone1:], reversed(w2[lone2:]))]
+        merged.sort(key=itemgetter(0), reverse=True)
+        imbalance = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
+        heapq.heappush(heap, (-imbalance, count, merged))
         count += 1
-    return heap[0][3] if heap else [[] for _ in range(k)]
+    sets = [g for _, g in heap[0][2]] if heap else []
+    return sets + [[] for _ in range(k - len(sets))]
 
 
 def windows_of(sizes: list[int], window: int) -> list[list[int]]:
@@ -82,8 +90,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, par
     Every id of every text (and its end id) lies in one piece; pieces of a
     sequence follow each other without a gap from offset 0 and fill at most
     ``window``.  Null and empty texts are the end id alone; null and
-    repeated ids are documents like any other; an empty table gives an
-    empty result.
+    repeated ids are documents like any other; parts of equal size are
+    dealt in the order they come; very long texts are cut, never
+    shortened; other columns, whatever their names, play no part; an empty
+    table gives an empty result.
     """
     kind = docs.schema[id_col].dataType
     fields = [T.StructField("doc_id", kind), *T._parse_datatype_string(
