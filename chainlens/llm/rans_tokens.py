@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from chainlens.llm.common import Batches, record, stage, texts_of
 from chainlens.llm.token_ids import encoder
 
-SCALE, LANES, STRIDE = 20, 512, 256
+SCALE, LANES, STRIDE = 20, 2048, 128
 #: Ids of a block, or one document's if it has more.
 BLOCK_TOKENS = 1 << 19
 MAGIC = b"RNS1"
