@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chainlens.session import ensure_checkpoint_dir
 
@@ -48,6 +49,20 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def most_frequent(counts: DataFrame, key: str, count: str, most: int) -> list:
+    """Rows of at most ``most`` keys: all from the lowest level of counts
+    (sixteenths of a power of two) that keeps within it.  Levels are counted
+    first, so no task sends more than its share of these."""
+    level = F.floor(F.log2(count) * 16).cast("int")
+    sizes = sorted(((r.level, r.n) for r in counts.groupBy(level.alias("level")).agg(F.count(key).alias("n")).collect()), reverse=True)
+    kept, least = 0, None
+    for k, n in sizes:
+        if kept + n > most:
+            break
+        kept, least = kept + n, k
+    return [] if least is None else counts.filter(level >= least).collect()
+
+
 def signed(h: int) -> int:
     """An unsigned 64-bit hash as Spark's long."""
     return h - (1 << 64) if h >> 63 else h

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlens.llm import exact_dedup, gated_lm, line_dedup, packing, pu_quality, quality_rules, rans_tokens, secret_scan, simhash, source_mix
+from chainlens.llm import (exact_dedup, gated_lm, language_id, line_dedup, packing, pu_quality, quality_rules, rans_tokens, secret_scan, simhash,
+                           source_mix, spelling_variants, token_alignment)
 from chainlens.llm.common import fresh_path
 
 
@@ -88,5 +89,20 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(documents(spark, sf_dir), min_chars=5, min_count=3, ratio=2, typo_every=97)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    docs = documents(spark, sf_dir)
+    model = language_id.learn(docs.filter(~held_out))
+    return language_id.identify(docs, model, carry=(held_out.alias("held_out"),))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
