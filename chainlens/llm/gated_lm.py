@@ -15,15 +15,20 @@ It is trained by truncated backpropagation through time over windows of
 ``STEPS`` tokens, states carried on from window to window, on all training
 documents: each round's share of the documents is trained on in parallel
 from the same parameters, and the partitions' parameters are averaged,
-weighted by their tokens.  Scoring carries the state through the whole
-document, so a long text costs time but never memory, and is never cut.
+weighted by their tokens, in a tree whose tasks read ``FAN_IN`` nets each.
+Documents follow each other in lanes of near-equal length, so that windows
+stay full.  Scoring carries the state through the whole document, so a long
+text costs time but never memory, and is never cut.
 """
 
 from __future__ import annotations
 
+import functools
+import heapq
 import io
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,10 @@ HEAD = 65_536
 #: The model's words: all that training holds this often, within these bounds (the parameters go to every task).
 OFTEN, LEAST_WORDS, MOST_WORDS = 64, 2_048, 16_384
 UNITS, STEPS, LANES, RATE = 16, 32, 1_024, 0.01
+#: Tokens of a training step at least; width of the classes.
+BATCH, SPREAD = 16_384, 3.0
+#: Nets that one task of the averaging tree reads.
+FAN_IN = 16
 ROUNDS = 3
 END, UNKNOWN = 0, 1
 #: Key of the end token; no word has white space.
@@ -52,176 +61,253 @@ def key_of(word: bytes) -> str:
 
 # ---------------------------------------------------------------- the network
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def new_net(counts: np.ndarray, classes: int, units: int = UNITS, seed: int = 0) -> dict[str, np.ndarray]:
-    """Parameters for ids 0..len(counts)-1; biases start at the unigram model."""
+@functools.lru_cache(maxsize=8)
+def class_bounds(n: int) -> np.ndarray:
+    """First id of each class, then ``n``.  The end and the unknown token,
+    nearly half of all tokens, are classes of their own; after them ids fall
+    in frequency and a class holds about ``SPREAD`` times the root of its
+    first word's rank: few words where tokens are many, so that a token meets
+    few outputs on average."""
+    out, at = [0, 1], 2
+    while at < n:
+        out.append(at)
+        at += max(1, round(SPREAD * math.sqrt(at - 1)))
+    return np.array(out + [n], np.int64)
+
+
+@functools.lru_cache(maxsize=8)
+def classes_of(n: int) -> np.ndarray:
+    """The class of each id."""
+    sizes = np.diff(class_bounds(n))
+    return np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+
+
+def new_net(counts: np.ndarray, units: int = UNITS, seed: int = 0) -> dict[str, np.ndarray]:
+    """Parameters for ids 0..len(counts)-1, at least two; biases start at the unigram model."""
     r = np.random.default_rng(seed)
-    size = -(-len(counts) // classes)
-    share = np.zeros(classes * size)
-    share[: len(counts)] = (counts + 1) / (counts + 1).sum()
-    by_class = share.reshape(classes, size)
-    with np.errstate(divide="ignore"):
-        net = {"U": r.normal(0, 0.1, (len(counts), 3 * units)), "W": r.normal(0, units ** -0.5, (units, 3 * units)), "b": np.zeros(3 * units),
-               "C": r.normal(0, 0.1, (units, classes)), "c": np.log(np.maximum(by_class.sum(1), 1e-12)),
-               "O": r.normal(0, 0.1, (classes, units, size)), "o": np.where(by_class > 0, np.log(by_class), -30.0)}
+    n = len(counts)
+    share = (counts + 1) / (counts + 1).sum()
+    of_class = np.add.reduceat(share, class_bounds(n)[:-1])
+    net = {"U": r.normal(0, 0.1, (n, 3 * units)), "W": r.normal(0, units ** -0.5, (units, 3 * units)), "b": np.zeros(3 * units),
+           "C": r.normal(0, 0.1, (units, len(of_class))), "c": np.log(of_class),
+           "O": r.normal(0, 0.1, (n, units)), "o": np.log(share / of_class[classes_of(n)])}
     return {k: v.astype(np.float32) for k, v in net.items()}
 
 
-def run_window(net: dict, h: np.ndarray, x: list[np.ndarray]) -> tuple[np.ndarray, list[tuple]]:
-    """State after the window and, per step, what backpropagation needs; lanes that have ended stay behind."""
-    units, kept = h.shape[1], []
-    for ids in x:
-        m = len(ids)
-        prev = h[:m]
-        gx, gh = net["U"][ids] + net["b"], prev @ net["W"]
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, x)
+    np.exp(x, x)
+    x += 1
+    return np.reciprocal(x, x)
+
+
+class Window:
+    """Steps of lanes: inputs, targets and documents, each (lanes, steps); the lanes that run at each step come first."""
+
+    def __init__(self, block: np.ndarray, runs: list[int]):
+        self.x, self.fresh, self.y, self.doc = block
+        self.runs = runs
+        self.steps = [0, *np.cumsum(runs).tolist()]
+
+    def flat(self, rows: np.ndarray) -> np.ndarray:
+        """Step after step, the running lanes alone."""
+        return np.concatenate([rows[:m, t] for t, m in enumerate(self.runs)])
+
+
+def lanes_of(docs: list[np.ndarray], lanes: int) -> list[np.ndarray]:
+    """Documents one after the other in near-equal lanes, the longest lane
+    first: per lane the rows input, first token of a document, target and
+    document."""
+    heap = [(0, k) for k in range(min(lanes, len(docs)))]
+    held: list[list[int]] = [[] for _ in heap]
+    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+        size, k = heapq.heappop(heap)
+        held[k].append(i)
+        heapq.heappush(heap, (size + len(docs[i]), k))
+    out = []
+    for k, own in enumerate(held):
+        order = np.random.default_rng(k).permutation(own)
+        sizes = np.array([len(docs[i]) for i in order])
+        y = np.concatenate([docs[i] for i in order]).astype(np.int32)
+        starts = np.cumsum(sizes) - sizes
+        lane = np.zeros((4, len(y)), np.int32)
+        lane[0, 1:] = y[:-1]
+        lane[0, starts] = END
+        lane[1, starts] = 1
+        lane[2], lane[3] = y, np.repeat(order, sizes)
+        out.append(lane)
+    return sorted(out, key=lambda lane: -lane.shape[1])
+
+
+def windows(lanes: list[np.ndarray], steps: int) -> Iterator[Window]:
+    lengths = np.array([lane.shape[1] for lane in lanes])
+    for a in range(0, int(lengths.max(initial=0)), steps):
+        live, span = int((lengths > a).sum()), min(steps, int(lengths[0]) - a)
+        block = np.zeros((4, live, span), np.int32)
+        for k in range(live):
+            part = lanes[k][:, a:a + span]
+            block[:, k, :part.shape[1]] = part
+        yield Window(block, [int((lengths > a + t).sum()) for t in range(span)])
+
+
+def run_window(net: dict, h: np.ndarray, w: Window) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """State after the window, the state at each of its tokens and, per step,
+    what backpropagation needs.  A document starts from the zero state; lanes
+    that have ended stay behind."""
+    units, kept, states = h.shape[1], [], []
+    gates = net["U"][w.flat(w.x)]
+    gates += net["b"]
+    for t, m in enumerate(w.runs):
+        prev, new_doc = h[:m], w.fresh[:m, t] > 0
+        if new_doc.any():
+            prev = np.where(new_doc[:, None], net["b"].dtype.type(0), prev)
+        gx, gh = gates[w.steps[t]:w.steps[t + 1]], prev @ net["W"]
         zr = sigmoid(gx[:, :2 * units] + gh[:, :2 * units])
-        z, r = zr[:, :units], zr[:, units:]
-        n = np.tanh(gx[:, 2 * units:] + r * gh[:, 2 * units:])
+        z, r, ghn = zr[:, :units], zr[:, units:], gh[:, 2 * units:]
+        n = np.tanh(gx[:, 2 * units:] + r * ghn)
         new = n + z * (prev - n)
-        kept.append((ids, prev, z, r, n, gh[:, 2 * units:], new))
+        kept.append((new_doc, prev, z, r, n, ghn))
+        states.append(new)
         h = new if m == len(h) else np.concatenate([new, h[m:]])
-    return h, kept
+    return h, np.concatenate(states), kept
 
 
 def log_softmax(a: np.ndarray) -> np.ndarray:
-    """Over the first axis: reductions then run along whole rows of tokens."""
+    """Over the first axis, in place: reductions then run along whole rows of tokens."""
     a -= a.max(0)
     a -= np.log(np.exp(a).sum(0))
     return a
 
 
-def outputs(net: dict, h: np.ndarray, y: np.ndarray, grad: bool = False):
-    """Log-probability of each target; with ``grad`` also d(-sum)/dh and the parameters' gradients."""
-    size = net["o"].shape[1]
-    order = np.argsort(y // size, kind="stable")  # class by class
-    cls, at, rows = (y // size)[order], (y % size)[order], np.arange(len(y))
+def outputs(net: dict, h: np.ndarray, y: np.ndarray, g: dict | None = None):
+    """Log-probability of each target; with ``g`` also d(-sum)/dh, the parameters' gradients added to ``g``."""
+    bounds = class_bounds(len(net["o"]))
+    cls = classes_of(len(net["o"]))[y]
+    order = np.argsort(cls, kind="stable")  # class by class
+    cls, ids, rows = cls[order], y[order], np.arange(len(y))
     states = np.ascontiguousarray(h[order].T)
     lc = log_softmax(net["C"].T @ states + net["c"][:, None])
     logp = lc[cls, rows]
-    if grad:
-        dc = np.exp(lc)
+    if g is not None:
+        dc = np.exp(lc, lc)
         dc[cls, rows] -= 1
-        g = {"C": states @ dc.T, "c": dc.sum(1), "O": np.zeros_like(net["O"]), "o": np.zeros_like(net["o"])}
+        g["C"] += states @ dc.T
+        g["c"] += dc.sum(1)
         dh = net["C"] @ dc
-    ends = np.append(np.flatnonzero(np.diff(cls)) + 1, len(y)) if len(y) else ()
-    first = 0
-    for last in ends:
-        k, own = cls[first], states[:, first:last]
-        lo = log_softmax(net["O"][k].T @ own + net["o"][k][:, None])
-        spots = (at[first:last], rows[: last - first])
+    cuts = np.searchsorted(cls, np.arange(len(bounds)))
+    for k in np.flatnonzero((np.diff(bounds) > 1) & (np.diff(cuts) > 0)).tolist():
+        (s, e), (first, last) = bounds[k:k + 2], cuts[k:k + 2]
+        own = states[:, first:last]
+        lo = log_softmax(net["O"][s:e] @ own + net["o"][s:e, None])
+        spots = (ids[first:last] - s, rows[: last - first])
         logp[first:last] += lo[spots]
-        if grad:
-            do = np.exp(lo)
+        if g is not None:
+            do = np.exp(lo, lo)
             do[spots] -= 1
-            g["O"][k], g["o"][k] = own @ do.T, do.sum(1)
-            dh[:, first:last] += net["O"][k] @ do
-        first = last
+            g["O"][s:e] += do @ own.T
+            g["o"][s:e] += do.sum(1)
+            dh[:, first:last] += net["O"][s:e].T @ do
     back_in_order = np.empty_like(logp)
     back_in_order[order] = logp
-    if not grad:
+    if g is None:
         return back_in_order
     dh_rows = np.empty_like(h)
     dh_rows[order] = dh.T
-    return back_in_order, dh_rows, g
+    return back_in_order, dh_rows
 
 
-def back(net: dict, kept: list[tuple], dhs: list[np.ndarray], g: dict) -> None:
-    """Truncated backpropagation through one window's steps into ``g``."""
+def back(net: dict, w: Window, kept: list[tuple], dh: np.ndarray, g: dict) -> None:
+    """Truncated backpropagation through one window's steps, added to ``g``; U's rows as (ids, gradients)."""
     units = net["W"].shape[0]
-    g["W"] = np.zeros_like(net["W"])
-    carry = np.zeros((len(kept[0][0]), units), np.float32)
-    gates = []
-    for (ids, prev, z, r, n, ghn, _), dh in zip(reversed(kept), reversed(dhs)):
-        m = len(ids)
-        d = carry[:m] + dh
-        dz = d * (prev - n) * z * (1 - z)
-        dn = d * (1 - z) * (1 - n * n)
-        dr = dn * ghn * r * (1 - r)
-        dgx = np.concatenate([dz, dr, dn], 1)
-        gates.append((ids, dgx))
+    carry = np.zeros((w.runs[0], units), dh.dtype)
+    gates = np.empty((len(dh), 3 * units), dh.dtype)
+    for t in range(len(w.runs) - 1, -1, -1):
+        m, (new_doc, prev, z, r, n, ghn) = w.runs[t], kept[t]
+        d = carry[:m] + dh[w.steps[t]:w.steps[t + 1]]
+        keep = 1 - z
+        dgx = gates[w.steps[t]:w.steps[t + 1]]
+        dn = d * keep * (1 - n * n)
+        dgx[:, :units] = d * (prev - n) * z * keep
+        dgx[:, units:2 * units] = dn * ghn * r * (1 - r)
+        dgx[:, 2 * units:] = dn
         dgh = dgx.copy()
         dgh[:, 2 * units:] *= r
         g["W"] += prev.T @ dgh
         carry[:m] = d * z + dgh @ net["W"].T
-    ids = np.concatenate([i for i, _ in gates])
-    dgx = np.concatenate([d for _, d in gates])
-    g["b"] = dgx.sum(0)
-    order = np.argsort(ids, kind="stable")
+        carry[:m][new_doc] = 0
+    g["b"] += gates.sum(0)
+    ids = w.flat(w.x)
+    order = np.argsort(ids.astype(np.uint16) if len(net["o"]) <= 1 << 16 else ids, kind="stable")
     starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    g["U"] = np.zeros_like(net["U"])
-    g["U"][ids[order][starts]] = np.add.reduceat(dgx[order], starts)
+    g["U"].append((ids[order][starts], np.add.reduceat(gates[order], starts)))
 
 
-def lanes_of(docs: list[np.ndarray], lanes: int):
-    """Groups of documents of falling length: numbers, and columns (inputs, targets) step by step."""
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    for a in range(0, len(order), lanes):
-        group = order[a:a + lanes]
-        lengths = np.array([len(docs[i]) for i in group])
-        yield group, lengths
-
-
-def windows(docs: list[np.ndarray], group: list[int], lengths: np.ndarray, steps: int):
-    """Per window: inputs and targets of each step, for the lanes that are still running."""
-    for a in range(0, int(lengths.max(initial=0)), steps):
-        live = int((lengths > a).sum())
-        span = min(steps, int(lengths[0]) - a)
-        block = np.zeros((live, span + 1), np.int64)
-        for k in range(live):
-            d = docs[group[k]]
-            first = END if a == 0 else d[a - 1]
-            part = d[a:a + span]
-            block[k, 0] = first
-            block[k, 1:1 + len(part)] = part
-        runs = [(lengths > a + t).sum() for t in range(span)]
-        yield [block[:m, t] for t, m in enumerate(runs)], [block[:m, t + 1] for t, m in enumerate(runs)]
+def no_gradient(net: dict) -> dict:
+    return {k: [] if k == "U" else np.zeros_like(v) for k, v in net.items()}
 
 
 class Adam:
+    """U's rows move where they have a gradient, the other parameters at every step."""
+
     def __init__(self, net: dict):
         self.m, self.v = ({k: np.zeros_like(x) for k, x in net.items()} for _ in range(2))
         self.t = 0
 
-    def step(self, net: dict, g: dict, rate: float) -> None:
+    def step(self, net: dict, g: dict, n: int, rate: float) -> None:
+        """A step along the gradient ``g`` of ``n`` tokens, which is emptied."""
         self.t += 1
-        for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.001 * (x * x - self.v[k])
-            net[k] -= rate / (1 - 0.9 ** self.t) * self.m[k] / (np.sqrt(self.v[k] / (1 - 0.999 ** self.t)) + 1e-8)
+        a, b = rate / (1 - 0.9 ** self.t), 1 / (1 - 0.999 ** self.t)
+        for k, own in g.items():
+            if k == "U":
+                ids = np.unique(np.concatenate([i for i, _ in own]))
+                x = np.zeros((len(ids), net["U"].shape[1]), net["U"].dtype)
+                for i, part in own:
+                    x[np.searchsorted(ids, i)] += part
+                own.clear()
+            else:
+                ids, x = slice(None), own.copy()
+                own[...] = 0
+            x /= n
+            m, v = self.m[k][ids], self.v[k][ids]
+            m += 0.1 * (x - m)
+            x *= x
+            v += 0.001 * (x - v)
+            if k == "U":
+                self.m[k][ids], self.v[k][ids] = m, v
+            net[k][ids] -= a * m / (np.sqrt(b * v) + 1e-8)
 
 
 def train(net: dict, opt: Adam, docs: list[np.ndarray], lanes: int = LANES, steps: int = STEPS, rate: float = RATE) -> int:
-    """One pass over ``docs``, a step after every window; tokens seen."""
-    seen = 0
-    for group, lengths in lanes_of(docs, lanes):
-        h = np.zeros((len(group), net["W"].shape[0]), np.float32)
-        for x, y in windows(docs, group, lengths, steps):
-            h, kept = run_window(net, h[: len(x[0])], x)
-            flat_h, flat_y = np.concatenate([k[-1] for k in kept]), np.concatenate(y)
-            _, dh, g = outputs(net, flat_h, flat_y, grad=True)
-            n = len(flat_y)
-            back(net, kept, np.split(dh, np.cumsum([len(i) for i in y])[:-1]), g)
-            # few running lanes give a noisy gradient: a smaller step
-            opt.step(net, {k: v / n for k, v in g.items()}, rate * min(1.0, n / 2048))
-            seen += n
+    """One pass over ``docs``; a step whenever windows of ``BATCH`` tokens have passed.  Tokens seen."""
+    packed_lanes = lanes_of(docs, lanes)
+    h = np.zeros((len(packed_lanes), net["W"].shape[0]), net["b"].dtype)
+    g, held, seen = no_gradient(net), 0, 0
+    with np.errstate(over="ignore"):
+        for w in windows(packed_lanes, steps):
+            h, states, kept = run_window(net, h[: w.runs[0]], w)
+            y = w.flat(w.y)
+            _, dh = outputs(net, states, y, g)
+            back(net, w, kept, dh, g)
+            held += len(y)
+            seen += len(y)
+            if held >= BATCH:
+                opt.step(net, g, held, rate)
+                held = 0
+        if held:  # few tokens give a noisy gradient: a smaller step
+            opt.step(net, g, held, rate * min(1.0, held / 2048))
     return seen
 
 
 def log_likelihood(net: dict, docs: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> np.ndarray:
     """Natural log-probability of each whole document."""
     total = np.zeros(len(docs))
-    for group, lengths in lanes_of(docs, lanes):
-        h = np.zeros((len(group), net["W"].shape[0]), np.float32)
-        sums = np.zeros(len(group))
-        for x, y in windows(docs, group, lengths, steps):
-            h, kept = run_window(net, h[: len(x[0])], x)
-            logp = outputs(net, np.concatenate([k[-1] for k in kept]), np.concatenate(y))
-            for part in np.split(logp, np.cumsum([len(i) for i in y])[:-1]):
-                sums[: len(part)] += part
-        total[group] = sums
+    packed_lanes = lanes_of(docs, lanes)
+    h = np.zeros((len(packed_lanes), net["W"].shape[0]), net["b"].dtype)
+    with np.errstate(over="ignore"):
+        for w in windows(packed_lanes, steps):
+            h, states, _ = run_window(net, h[: w.runs[0]], w)
+            total += np.bincount(w.flat(w.doc), outputs(net, states, w.flat(w.y)), len(docs))
     return total
 
 
@@ -277,7 +363,7 @@ def vocabulary_size(found: list[int]) -> int:
 
 
 def average(parts: DataFrame) -> dict | None:
-    """Token-weighted mean of the parameters in (part, tokens, net), in two levels."""
+    """Token-weighted mean of the parameters in (part, tokens, net), in a tree."""
     def mean(pdf):
         total = float(pdf["tokens"].sum())
         net: dict[str, np.ndarray] = {}
@@ -286,9 +372,10 @@ def average(parts: DataFrame) -> dict | None:
                 net[k] = net.get(k, 0) + v.astype(np.float64) * (n / total)
         return pdf.iloc[:1][["part"]].assign(tokens=int(total), net=[dump({k: v.astype(np.float32) for k, v in net.items()})])
 
-    kind = "part long, tokens long, net binary"
-    few = parts.withColumn("part", F.pmod("part", F.lit(16))).groupBy("part").applyInPandas(mean, kind)  # 16 rows
-    one = few.withColumn("part", F.lit(0).cast("long")).groupBy("part").applyInPandas(mean, kind).first()
+    while (most := parts.agg(F.max("part")).first()[0]) is not None and most > 0:
+        above = parts.withColumn("part", F.floor(F.col("part") / FAN_IN))
+        parts = stage(above.groupBy("part").applyInPandas(mean, "part long, tokens long, net binary"), "lm-parts")
+    one = parts.first()
     return load(one.net) if one else None
 
 
@@ -302,10 +389,7 @@ def fit(encoded: DataFrame, net: dict, rounds: int = ROUNDS) -> dict:
             opt, seen = Adam(own), 0
             for b in batches:
                 docs = [np.frombuffer(x, "<u2") for x in b.column(0).to_pylist()]
-                # shuffled, so that a group of lanes is no run of one source; lanes_of sorts within a slice
-                order = np.random.default_rng(k).permutation(len(docs))
-                for a in range(0, len(docs), 8 * LANES):
-                    seen += train(own, opt, [docs[i] for i in order[a:a + 8 * LANES]])
+                seen += train(own, opt, docs)
             if seen:
                 from pyspark import TaskContext
                 yield record(pa.schema([("part", pa.int64()), ("tokens", pa.int64()), ("net", pa.binary())]),
@@ -317,16 +401,18 @@ def fit(encoded: DataFrame, net: dict, rounds: int = ROUNDS) -> dict:
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD,
-          vocabulary: int | None = None, classes: int | None = None, rounds: int = ROUNDS) -> DataFrame:
+          vocabulary: int | None = None, rounds: int = ROUNDS) -> DataFrame:
     """Base and model scores of every row: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score (log10).
 
-    ``vocabulary`` grows with the counted words and ``classes`` with its root, unless given.
+    ``vocabulary`` grows with the counted words unless given.
     ``held_out`` (a condition on the columns of ``docs``; null counts as
     false) keeps rows out of all counts and training.  Null and empty texts
     are the end token alone; repeated rows count and score each; without
-    training rows all counts are 0 and the model is its even start; an
-    empty table gives an empty result.
+    training rows all counts are 0 and the model is its even start; words
+    of equal counts are ordered by themselves; very long texts are scored
+    whole; other columns, whatever their names, play no part; an empty table
+    gives an empty result.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = stage(count_words(own.filter(~F.col("held_out")), "text"), "lm-counts")
@@ -334,12 +420,11 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     top = most_frequent(counts.filter(F.col("key") != END_KEY), head)
     ends = sum(r.c for r in counts.filter(F.col("key") == END_KEY).collect())
     known = top[: (vocabulary or vocabulary_size([c for _, c in top])) - 2]
-    classes = classes or math.isqrt(len(known) + 2)
     inside = ends + sum(c for _, c in known)
     rest, rest_distinct = total - inside, distinct - len(known) - (1 if ends else 0)
     # log10 shares: of any token, and of an unknown word among unknown words
     floor, rest_floor = np.log10(total + distinct + 1), np.log10(rest + rest_distinct + 1)
-    net = new_net(np.array([ends, rest, *(c for _, c in known)], np.float64), max(1, min(classes, len(known) + 2)))
+    net = new_net(np.array([ends, rest, *(c for _, c in known)], np.float64))
 
     ids_of = {k: i for i, (k, _) in enumerate(top)}
     head_log = np.log10(np.array([c for _, c in top] + [0], np.float64) + 1)
