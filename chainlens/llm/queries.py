@@ -82,11 +82,12 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = pu_quality.features(documents(spark, sf_dir), carry=(held_out.alias("held_out"),))
     # rows held out are neither trusted nor unlabelled: the fit never sees them
-    model = pu_quality.learn(docs.filter(~held_out), labels.filter(~held_out & (F.col("quality") == 1)), labels)
-    d = pu_quality.score(docs, model, boundary=0.3)
-    return d.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    model = pu_quality.learn(found.filter(~held_out), labels.filter(~held_out & (F.col("quality") == 1)), labels)
+    d = pu_quality.score(found, model, boundary=0.3)
+    return d.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

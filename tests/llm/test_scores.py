@@ -63,38 +63,90 @@ def test_depleted_documents_go(spark):
     assert not any(got[i] for i in range(60)) and all(got[i] for i in got if i >= 100)
 
 
+def scalar_likelihood(net, doc):
+    """A document's log-probability by the definition, token by token."""
+    units = net["W"].shape[0]
+    bounds = gated_lm.class_bounds(len(net["o"]))
+    h, x, total = np.zeros(units), gated_lm.END, 0.0
+    gate = lambda v: 1 / (1 + np.exp(-v))
+    for y in doc.tolist():
+        gx, gh = net["U"][x] + net["b"], h @ net["W"]
+        z, r = gate(gx[:units] + gh[:units]), gate(gx[units:2 * units] + gh[units:2 * units])
+        n = np.tanh(gx[2 * units:] + r * gh[2 * units:])
+        h = (1 - z) * n + z * h
+        k = int(np.searchsorted(bounds, y, "right")) - 1
+        classes = h @ net["C"] + net["c"]
+        words = net["O"][bounds[k]:bounds[k + 1]] @ h + net["o"][bounds[k]:bounds[k + 1]]
+        total += classes[k] - np.log(np.exp(classes).sum()) + words[y - bounds[k]] - np.log(np.exp(words).sum())
+        x = y
+    return total
+
+
 def test_language_model_gradients():
     r = np.random.default_rng(0)
-    net = {k: v.astype(np.float64) for k, v in gated_lm.new_net(r.integers(1, 50, 20).astype(float), 4, units=5).items()}
-    docs = [r.integers(0, 20, n) for n in (7, 5, 3, 1)]
+    net = {k: v.astype(np.float64) for k, v in gated_lm.new_net(r.integers(1, 50, 40).astype(float), units=5).items()}
+    docs = [r.integers(0, 40, n) for n in (9, 4, 7, 1, 3)]
 
     def loss(n):
-        return -gated_lm.log_likelihood(n, docs, 8, 10).sum()
+        return -gated_lm.log_likelihood(n, docs, 2, 40).sum()
 
-    group, lengths = next(gated_lm.lanes_of(docs, 8))
-    x, y = next(gated_lm.windows(docs, group, lengths, 10))
-    _, kept = gated_lm.run_window(net, np.zeros((4, 5)), x)
-    _, dh, g = gated_lm.outputs(net, np.concatenate([k[-1] for k in kept]), np.concatenate(y), True)
-    gated_lm.back(net, kept, np.split(dh, np.cumsum([len(i) for i in y])[:-1]), g)
+    window = next(gated_lm.windows(gated_lm.lanes_of(docs, 2), 40))  # one window: nothing is truncated
+    _, states, kept = gated_lm.run_window(net, np.zeros((2, 5)), window)
+    g = gated_lm.no_gradient(net)
+    _, dh = gated_lm.outputs(net, states, window.flat(window.y), g)
+    gated_lm.back(net, window, kept, dh, g)
+    ids, rows = g["U"][0]
+    g["U"] = np.zeros_like(net["U"])
+    g["U"][ids] = rows
     for k in net:
-        for _ in range(5):
-            i = tuple(r.integers(0, s) for s in net[k].shape)
-            moved = []
-            for e in (1e-6, -1e-6):
-                other = {a: b.copy() for a, b in net.items()}
-                other[k][i] += e
-                moved.append(loss(other))
-            assert (moved[0] - moved[1]) / 2e-6 == pytest.approx(g[k][i], abs=1e-4)
-    # state is carried: windows of any length give the same likelihood
-    assert loss(net) == pytest.approx(-gated_lm.log_likelihood(net, docs, 2, 3).sum())
-    # probabilities of all one-token continuations add up to one
-    one = [np.array([i]) for i in range(20)]
-    assert np.exp(gated_lm.log_likelihood(net, one, 32, 4)).sum() == pytest.approx(1, abs=1e-6)
+        for spot in {tuple(r.integers(0, s) for s in net[k].shape) for _ in range(12)}:
+            up, down = ({**net, k: net[k].copy()} for _ in range(2))
+            up[k][spot] += 1e-5
+            down[k][spot] -= 1e-5
+            assert g[k][spot] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-6)
+    # neither windows nor lanes change a document's likelihood, which is the definition's
+    assert loss(net) == pytest.approx(-gated_lm.log_likelihood(net, docs, 5, 3).sum())
+    # and probabilities of all next words sum to one
+    one = [np.array([3, y]) for y in range(40)]
+    first = scalar_likelihood(net, np.array([3]))
+    assert np.exp(gated_lm.log_likelihood(net, one, 32, 4) - first).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_language_model_scores_are_the_definition(docs):
+    """Whole documents scored in lanes and windows by a trained net, against token by token."""
+    r = np.random.default_rng(1)
+    p = 1 / np.arange(1, 301)
+    texts = [np.append(r.choice(300, n, p=p / p.sum()), gated_lm.END) for n in (0, 1, 2, 40, 33, 500, 64, 7, 90, 2000)]
+    net = gated_lm.new_net(np.bincount(np.concatenate(texts), minlength=300).astype(float))
+    opt = gated_lm.Adam(net)
+    before = gated_lm.log_likelihood(net, texts).sum()
+    for _ in range(30):
+        gated_lm.train(net, opt, texts, lanes=4)
+    got = gated_lm.log_likelihood(net, texts, lanes=3, steps=16)
+    assert got.sum() > before
+    wide = {k: v.astype(np.float64) for k, v in net.items()}
+    assert np.allclose(got, [scalar_likelihood(wide, t) for t in texts], rtol=1e-4)
+
+
+def test_class_sizes():
+    for n in (2, 3, 50, 2_048, 16_384):
+        bounds = gated_lm.class_bounds(n)
+        assert bounds[0] == 0 and bounds[-1] == n and (np.diff(bounds) > 0).all()
+        assert (gated_lm.classes_of(n) == np.searchsorted(bounds, np.arange(n), "right") - 1).all()
+    assert (np.diff(gated_lm.class_bounds(16_384))[:2] == 1).all() and len(gated_lm.class_bounds(16_384)) < 100
+
+
+def test_averaging_tree(spark):
+    rows = [(i, 10 * (i + 1), bytearray(gated_lm.dump({"a": np.full(3, i, np.float32)}))) for i in range(40)]
+    parts = spark.createDataFrame(rows, "part long, tokens long, net binary")
+    want = sum(i * (i + 1) for i in range(40)) / sum(i + 1 for i in range(40))
+    assert np.allclose(gated_lm.average(parts)["a"], want, rtol=1e-5)
+    assert gated_lm.average(parts.limit(0)) is None
 
 
 def test_language_model_scores(nasty, empty, spark):
     held = lambda: F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    for rows, size in ((nasty, {"head": 12, "vocabulary": 6, "classes": 2}), (spark.read.parquet(f"{SF01}/documents.parquet"), {})):
+    for rows, size in ((nasty, {"head": 12, "vocabulary": 6}), (spark.read.parquet(f"{SF01}/documents.parquet"), {})):
         data = [(r.doc_id, (r.text or "").encode().lower().split() + [b" "]) for r in rows.collect()]
         out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
         n = Counter(w for d, ws in data if not out(d) for w in ws)
@@ -207,20 +259,75 @@ def test_source_mix_held_out(spark, sf):
     assert toxic.count("toxic") >= 0.4 * len(toxic)
 
 
+def slow_features(text):
+    """The features by their definition."""
+    words = [w for w in re.split("[ \\t\\n\\r\\x0b\\x0c]+", text) if w]
+    raw, shape = text.encode(), ""
+    for c in raw:
+        shape += "a" if 97 <= c <= 122 or c >= 128 else "A" if 65 <= c <= 90 else "0" if 48 <= c <= 57 else chr(c)
+    n, size = len(words), len(raw) + 1
+    letters = shape.count("a") + shape.count("A") + 1
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+    sizes = [len(w.encode()) for w in words] or [0]
+    ratio = lambda chars: sum(shape.count(c) for c in chars) / size
+    dense = [np.log1p(n) / 10, np.log1p(len(lines)) / 5, ratio("#*$%&|<>"), shape.count("A") / letters, ratio("0"), ratio("!?"), ratio(".,"),
+             len(set(words)) / (n + 1), len(set(zip(words, words[1:]))) / (n + 1), max(Counter(words).values(), default=0) / (n + 1),
+             1 - len(set(lines)) / (len(lines) or 1), np.mean(sizes) / 20, np.std(sizes) / 20, 1 - (letters + shape.count("0")) / size]
+    hashed = np.zeros(pu_quality.SHAPES)
+    for w in filter(None, re.split("[ \\t\\n\\r\\x0b\\x0c]+", shape)):
+        hashed[zlib.crc32(re.sub("a+|A+|0+", lambda m: m[0][:1], w).encode()) % pu_quality.SHAPES] += 1
+    return np.concatenate([dense, np.sqrt(np.abs(dense)), np.sqrt(hashed / (n + 1))])
+
+
+def test_pu_features_and_scores_are_the_definition(spark, nasty, docs):
+    texts = [r.text or "" for r in nasty.collect()] + [r.text or "" for r in docs.limit(40).collect()]
+    assert np.allclose(pu_quality.feature_matrix(texts), [slow_features(t) for t in texts], atol=1e-5)
+    r = np.random.default_rng(0)
+    net = pu_quality.Net(pu_quality.WIDTH, 3)
+    model = {"net": net, "scale": (r.normal(0, 1, pu_quality.WIDTH).astype(np.float32), np.full(pu_quality.WIDTH, 2.0, np.float32)), "middle": 0.25}
+    found = pu_quality.features(nasty)
+    for row in pu_quality.score(found.filter("doc_id < 20"), model, 0.3).collect():
+        text = nasty.filter(F.col("doc_id") == row.doc_id).orderBy(F.length("text").desc()).collect()
+        want = []
+        for t in text:
+            x = np.clip((np.float16(slow_features(t.text or "").astype(np.float32)).astype(float) - model["scale"][0]) / 2.0, -8, 8)
+            z = sum(max(0.0, float(x @ net.p[0][:, j]) + net.p[1][j]) * net.p[2][j] for j in range(pu_quality.HIDDEN)) + net.p[3][0]
+            want.append(1 / (1 + np.exp(-(z - 0.25 + np.log(0.3 / 0.7)))))
+        assert min(abs(row.score - w) for w in want) < 5e-3
+
+
+def test_pu_prior_and_boundary_count_all_rows(spark):
+    """With a sample of a few hundred rows the prior and the boundary still rest on every row's score."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = pu_quality.features(docs)
+    small = pu_quality.learn(found, labels.filter("quality = 1"), labels, max_positive=150, max_unlabelled=300)
+    z = {r.doc_id: r.score for r in pu_quality.score(found, {**small, "middle": 0.0}).collect()}
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    logit = lambda p: np.log(p / (1 - p))
+    low = np.quantile([logit(s) for d, s in z.items() if d not in known], 1 - small["prior"])
+    high = np.quantile([logit(s) for d, s in z.items() if known.get(d) == 1], 0.005)
+    assert small["middle"] == pytest.approx((low + high) / 2, abs=0.15)
+
+
 def test_pu_quality(spark, nasty, empty):
     r = np.random.default_rng(0)
     pos = r.normal(1, 1, (1500, 5)).astype(np.float32)
     unl = np.concatenate([r.normal(1, 1, (2100, 5)), r.normal(-2, 1, (900, 5))]).astype(np.float32)
-    m = pu_quality.fit(pos, unl)
-    assert abs(m["prior"] - 0.7) < 0.1
-    s = pu_quality.scores(m, unl)
-    assert ((s >= 0.5) == (np.arange(3000) < 2100)).mean() > 0.95
+    count = lambda net, x: np.bincount(pu_quality.bins(net(x)) + pu_quality.MOST * pu_quality.STEPS, minlength=2 * pu_quality.MOST * pu_quality.STEPS + 1)
+    first = pu_quality.ordinary(pos[::2], unl[::2])
+    prior = pu_quality.class_prior(count(first, pos[1::2]), count(first, unl[1::2]))
+    assert abs(prior - 0.7) < 0.1
+    net = pu_quality.minimise(pos, unl, prior)
+    middle = (pu_quality.quantile(count(net, unl), 1 - prior) + pu_quality.quantile(count(net, pos), 0.005)) / 2
+    assert ((net(unl) >= middle) == (np.arange(3000) < 2100)).mean() > 0.95
     got = queries.op10_pu_quality(spark, "/root/testdata/sf0.1").join(
         spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out").collect()
     assert np.mean([r.predicted == r.quality for r in got]) > 0.97
     labels = spark.createDataFrame([(1, 1), (2, 1), (4, 0)], "doc_id long, quality int")
     for rows in (nasty, empty):
-        model = pu_quality.learn(rows, labels.filter("quality = 1"), labels)
-        out = pu_quality.score(rows, model).collect()
+        found = pu_quality.features(rows)
+        model = pu_quality.learn(found, labels.filter("quality = 1"), labels)
+        out = pu_quality.score(found, model).collect()
         assert len(out) == rows.count() and all(0 <= r.score <= 1 for r in out)
-    assert all(r.score == 0.5 for r in pu_quality.score(nasty, pu_quality.learn(nasty, labels.filter("false"), labels)).collect())
+    found = pu_quality.features(nasty)
+    assert all(r.score == 0.5 for r in pu_quality.score(found, pu_quality.learn(found, labels.filter("false"), labels)).collect())
