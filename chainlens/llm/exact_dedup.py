@@ -59,6 +59,7 @@ def run_stream(spark: SparkSession, path: str, schema: T.StructType, state: str,
     Each micro-batch of at most ``max_files`` files writes the digests it
     changed to a folder of its own, so a repeated batch replaces itself; the
     newest version of a digest is its state."""
+    path = path.rstrip("/")
     with settings(spark, CONF):
         # as a pattern, since a file stream takes a single file only by pattern
         rows = read_rows(spark.readStream.option("maxFilesPerTrigger", max_files), f"{path[:-1]}[{path[-1]}]", schema, id_col, text_col, digest)

@@ -13,9 +13,9 @@ Two passes over the documents and no join of lines:
    (a bounded number stays in memory) and drops the lines whose slot holds
    their fingerprint and a count at the limit.
 
-A hash that only one document holds can never be dropped with a limit of
-two or more, so it is left out of the index; the fingerprint is what
-tells such a foreign line from the entry whose slot it lands on.  A shard
+A hash below the limit can never be dropped, so it is left out of the
+index; the fingerprint is what tells such a foreign line from the entry
+whose slot it lands on.  A shard
 takes about ``shard_entries`` x (8 B fingerprint + 1-8 B count + 0.5 B
 hash), whatever the corpus holds.
 """
@@ -37,8 +37,8 @@ from chainlens.llm.common import Batches, fresh_path, record, stage, texts_of
 
 #: Bits per key of a level of the perfect hash, and levels before the rest is listed.
 GAMMA, LEVELS = 2.0, 24
-#: Shards a worker keeps in memory.
-CACHED_SHARDS = 64
+#: Bytes of shards that a worker keeps in memory.
+CACHED_BYTES = 256 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,7 +149,7 @@ def count_lines(docs: DataFrame, text_col: str = "text", min_chars: int = 1) ->
     return found.groupBy("h", "fp").agg(F.sum("n").alias("n"))
 
 
-def build_index(counts: DataFrame, least: int = 2, shard_entries: int = 1 << 16) -> tuple[str, int]:
+def build_index(counts: DataFrame, least: int, shard_entries: int = 1 << 16) -> tuple[str, int]:
     """Write the shards of all hashes in at least ``least`` documents; (path, number of shards)."""
     spark = counts.sparkSession
     kept = stage(counts.filter(F.col("n") >= least), "line-counts")
@@ -167,13 +167,14 @@ def build_index(counts: DataFrame, least: int = 2, shard_entries: int = 1 << 16)
 
 
 class Index:
-    """Shards opened as needed; the last few used stay in memory."""
+    """Shards opened as needed; those used last stay in memory, up to ``cached`` bytes."""
 
-    def __init__(self, path: str, n_shards: int, cached: int = CACHED_SHARDS):
+    def __init__(self, path: str, n_shards: int, cached: int = CACHED_BYTES):
         from pyarrow import fs
         self.fs, self.root = fs.FileSystem.from_uri(path.replace("s3a://", "s3://"))
         self.n_shards, self.cached = n_shards, cached
-        self.open: OrderedDict[int, Shard | None] = OrderedDict()
+        self.open: OrderedDict[int, tuple[Shard | None, int]] = OrderedDict()
+        self.held = self.loads = 0
 
     def shard(self, k: int) -> Shard | None:
         if k not in self.open:
@@ -181,11 +182,16 @@ class Index:
             found = self.fs.get_file_info(fs.FileSelector(f"{self.root}/shard={k}", allow_not_found=True))
             files = [f.path for f in found if f.path.endswith(".parquet")]
             blobs = [x for f in files for x in pq.read_table(self.fs.open_input_file(f), columns=["blob"])["blob"].to_pylist()]
-            self.open[k] = Shard.load(blobs[0]) if blobs else None
-            if len(self.open) > self.cached:
-                self.open.popitem(last=False)
+            # the prefix counts of a shard take four bytes per bit of its levels, which a blob packs
+            shard = Shard.load(blobs[0]) if blobs else None
+            size = len(blobs[0]) + 5 * len(shard.bits) if shard else 0
+            self.open[k] = shard, size
+            self.held += size
+            self.loads += 1
+            while self.held > self.cached and len(self.open) > 1:
+                self.held -= self.open.popitem(last=False)[1][1]
         self.open.move_to_end(k)
-        return self.open[k]
+        return self.open[k][0]
 
     def counts_of(self, h: np.ndarray, fp: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int64)
@@ -208,7 +214,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     line; blank lines have no key and stay; a null id is passed on.  An
     empty table gives an empty result.
     """
-    path, n_shards = build_index(count_lines(docs, text_col, min_chars), min(2, min_docs), shard_entries)
+    path, n_shards = build_index(count_lines(docs, text_col, min_chars), min_docs, shard_entries)
     kind = docs.schema[id_col].dataType
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("n_lines", T.LongType()),
                         T.StructField("n_dropped", T.LongType()), T.StructField("text", T.StringType())])

@@ -40,6 +40,29 @@ def test_line_dedup(nasty, empty, docs):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_index_opens_each_shard_once(spark):
+    """Many shards, many batches: within its bytes a worker loads each shard once, beyond them it still finds all."""
+    r = np.random.default_rng(0)
+    h, fp = (np.unique(r.integers(0, 2 ** 62, 9000, dtype=np.int64))[:8000] for _ in range(2))
+    r.shuffle(fp)
+    counts = spark.createDataFrame([(int(a), int(b), 10 + i % 7) for i, (a, b) in enumerate(zip(h, fp))] + [(int(a) + 1, 5, 9) for a in h[:500]],
+                                   "h long, fp long, n long")
+    path, n = line_dedup.build_index(counts, 10, 100)
+    assert n == 80
+    for cached, loads in ((1 << 28, n), (1, 10 * n)):
+        index = line_dedup.Index(path, n, cached)
+        for _ in range(10):
+            assert (index.counts_of(h.view(np.uint64), fp.view(np.uint64)) == 10 + np.arange(8000) % 7).all()
+        assert index.loads == loads
+    assert (index.counts_of((h[:500] + 1).view(np.uint64), np.full(500, 5, np.uint64)) == 0).all()  # below the limit: not indexed
+
+
+def test_exact_dedup_takes_a_path_with_a_slash(spark, docs):
+    path = fresh_path(spark, "in")
+    docs.write.parquet(path)
+    assert exact_dedup.dedup_path(spark, path + "/", docs.schema).count() == docs.count()
+
+
 def test_exact_dedup(spark, nasty, empty, docs):
     def weak(text):  # collides all the time, so that full bytes decide
         return F.pmod(F.crc32(F.coalesce(text, F.lit("")).cast("binary")), F.lit(7)).cast("string")
