@@ -178,7 +178,7 @@ def members(docs: DataFrame, model: dict, id_col: str, text_col: str, carry: tup
 
 
 def fit_rates(rows: DataFrame, n: int, targets: list[float] | None, shares: list[float] | None = None,
-              iterations: int = ITERATIONS, pull: float = PULL) -> list[list[float]]:
+              iterations: int = ITERATIONS, pull: float = PULL, most: float | None = None) -> list[list[float]]:
     """Misfits of each iteration, from (tokens, p0..pn-1); ``rates`` turns them into rates.
 
     ``targets`` are domain token totals; ``shares`` give them as shares of
@@ -188,7 +188,7 @@ def fit_rates(rows: DataFrame, n: int, targets: list[float] | None, shares: list
     want = targets if targets is not None else [s * sum(base) / sum(shares) for s in shares]
     steps: list[list[float]] = []
     for _ in range(iterations):
-        weighed = rows.withColumn("w", F.col("tokens") * ahead(steps, n, pull))
+        weighed = rows.withColumn("w", F.col("tokens") * ahead(steps, n, pull, most))
         got = weighed.agg(*(F.sum(F.col("w") * F.col(f"p{k}")) for k in range(n))).first()
         e = [((float(g or 0.0) - t) / b if b > 0 else 0.0) for g, t, b in zip(got, want, base, strict=True)]
         if steps and max(abs(x - y) for x, y in zip(e, steps[-1], strict=True)) < TOLERANCE:
@@ -201,7 +201,7 @@ def momentum(t: int) -> float:
     return max(0.0, (t - 1) / (t + 2))
 
 
-def _path(steps: list[list[float]], n: int, pull: float) -> Column:
+def _path(steps: list[list[float]], n: int, pull: float, most: float | None) -> Column:
     """(r, before): the rates after the last step and the one before it, a fold over the steps' misfits."""
     one = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("before"))
     if not steps:
@@ -211,29 +211,37 @@ def _path(steps: list[list[float]], n: int, pull: float) -> Column:
         y = s["r"] + F.get(e, F.lit(n)) * (s["r"] - s["before"])
         pulled = (1 - pull) * y + pull
         r = pulled - sum((F.col(f"p{k}") * F.get(e, F.lit(k)) for k in range(1, n)), F.col("p0") * F.get(e, F.lit(0)))
-        return F.struct(F.greatest(F.lit(0.0), r).alias("r"), s["r"].alias("before"))
+        r = F.greatest(F.lit(0.0), r)
+        return F.struct((r if most is None else F.least(F.lit(most), r)).alias("r"), s["r"].alias("before"))
 
     return F.aggregate(F.array(*(F.array(*(F.lit(float(x)) for x in [*e, momentum(t)])) for t, e in enumerate(steps))), one, step)
 
 
-def ahead(steps: list[list[float]], n: int, pull: float = PULL) -> Column:
+def ahead(steps: list[list[float]], n: int, pull: float = PULL, most: float | None = None) -> Column:
     """Where the next gradient is taken: the rate moved on by the momentum."""
-    s = _path(steps, n, pull)
+    s = _path(steps, n, pull, most)
     return s["r"] + momentum(len(steps)) * (s["r"] - s["before"])
 
 
-def rates(steps: list[list[float]], n: int, pull: float = PULL) -> Column:
-    return _path(steps, n, pull)["r"]
+def rates(steps: list[list[float]], n: int, pull: float = PULL, most: float | None = None) -> Column:
+    return _path(steps, n, pull, most)["r"]
 
 
 def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] | None = None, keep: dict[str, float] | None = None,
-        id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), nearest: bool = False, **limits) -> DataFrame:
+        id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), nearest: bool = False,
+        without: tuple[str, ...] = (), most: float | None = None, **limits) -> DataFrame:
     """Rates for every row of ``docs``: row (the carried columns), tokens, p0.. in the order of the domains, rate, copies.
 
     ``labelled`` has the id column and ``domain``.  Targets per domain are
     ``shares`` of all tokens, or ``keep`` times the domain's own expected
-    tokens.  copies is the rate rounded so that its expectation is the rate
-    (by a hash of id and text), or to the nearest whole with ``nearest``.
+    tokens, those of documents whose likeliest domain is in ``without`` left
+    out: memberships are soft, so the documents that stay hold some expected
+    tokens of these domains too, and a target of nothing could not be met.
+    Rates are at most ``most``, if given; a rate of 1 at most makes no copies.
+    copies is the rate rounded so that its expectation is the rate (by a hash
+    of id and text), or to the nearest whole with ``nearest``.  Of equal
+    posteriors the first domain is the likeliest; very long texts are read
+    whole; columns of ``docs`` are carried in a struct, so no name clashes.
     Null and empty texts have no tokens and get the prior's posteriors; ids
     do not take part beyond the hash, so nulls and repeats are rows like any
     other; without labels all posteriors are even; an empty table gives an
@@ -243,12 +251,15 @@ def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] | None =
     n = len(domains)
     full = members(docs, learn(docs, labelled, domains, id_col, text_col, **limits), id_col, text_col, carry)
     if keep:
-        own = full.agg(*(F.sum(F.col("tokens") * F.col(f"p{k}")) for k in range(n))).first()
-        steps = fit_rates(full, n, [float(o or 0) * keep[d] for o, d in zip(own, domains, strict=True)])
+        p = [F.col(f"p{k}") for k in range(n)]
+        likeliest = F.array_position(F.array(*p), F.greatest(*p)) - 1
+        stays = ~likeliest.isin([domains.index(d) for d in without]) if without else F.lit(True)
+        own = full.agg(*(F.sum(F.when(stays, F.col("tokens") * x)) for x in p)).first()
+        steps = fit_rates(full, n, [float(o or 0) * keep[d] for o, d in zip(own, domains, strict=True)], most=most)
     else:
-        steps = fit_rates(full, n, None, [shares[d] for d in domains])
+        steps = fit_rates(full, n, None, [shares[d] for d in domains], most=most)
     u = F.lit(0.5) if nearest else F.col("u")
-    return full.withColumn("rate", rates(steps, n)).withColumn("copies", F.floor(F.col("rate") + u).cast("long"))
+    return full.withColumn("rate", rates(steps, n, most=most)).withColumn("copies", F.floor(F.col("rate") + u).cast("long"))
 
 
 def domain_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

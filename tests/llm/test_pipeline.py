@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
-from chainlens.llm import oracle, queries, simhash
+from chainlens.llm import oracle, queries, simhash, source_mix
 
 SF001 = "/root/testdata/sf0.001"
 
@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, name):
 
 def test_registered(spark):
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {x.split("_")[0] for x in names} and "pipeline" in names
     assert not any(k.startswith("op") for k in entry.oracle_sql() if k not in names)
 
 
@@ -53,6 +53,21 @@ def test_stages(spark, nasty):
     assert sorted(tuple(p) for p in P.run(spark, SF001).collect())[:5]
 
 
+@pytest.mark.parametrize("sf, toxic_left", [("sf0.01", 0.45), ("sf0.1", 0.25)])
+def test_mix_keeps_good_and_poor_documents(spark, sf, toxic_left):
+    """No document twice, under 2 % of the labelled good and poor ones lost, expected tokens on target."""
+    sf_dir = f"/root/testdata/{sf}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = {r.doc_id: r.domain for r in source_mix.domain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()}
+    kept = [r.doc_id for r in P.mixed(spark, docs, sf_dir).select("doc_id").collect()]
+    assert len(kept) == len(set(kept))
+    all_ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    share = {d: sum(i in stay for i in ids) / len(ids) for stay in [set(kept)] for d in ("good", "poor", "toxic")
+             for ids in [[i for i in all_ids if labels.get(i) == d]]}
+    print(sf, share)
+    assert share["good"] > 0.98 and share["poor"] > 0.98 and share["toxic"] < toxic_left
+
+
 def test_stages_take_nasty_and_empty_tables(spark, nasty, empty):
     for docs in (nasty, empty):
         for _, f in P.STAGES:
