@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chainlens.llm import exact_dedup, packing, quality_rules, simhash, source_mix
 from chainlens.llm.common import stage
@@ -34,15 +33,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs, shingle_words=3, radius=2)
 
 
-#: Wanted tokens of each domain, as multiples of what the documents hold: toxic text goes, the rest stays as it is.
-MIX_KEEP = {"good": 1.0, "poor": 1.0, "toxic": 0.0}
+#: Wanted tokens of each domain, as multiples of what the documents that are not toxic hold: these stay as they are.
+MIX_KEEP = {"good": 1.0, "poor": 1.0, "toxic": 1.0}
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: each document as often as its rate, rounded, says; at a rate under a half it goes."""
+    """Operator 9: rates of at most one, so that no copies come back; a document with a rate under a half goes."""
     labels = source_mix.domain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rated = source_mix.mix(docs, labels, keep=MIX_KEEP, carry=tuple(docs.columns), nearest=True).filter("copies > 0")
-    return rated.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+    rated = source_mix.mix(docs, labels, keep=MIX_KEEP, carry=tuple(docs.columns), nearest=True, without=("toxic",), most=1.0)
+    return rated.filter("copies > 0").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
