@@ -46,6 +46,8 @@ OFTEN, LEAST_WORDS, MOST_WORDS = 64, 2_048, 16_384
 UNITS, STEPS, LANES, RATE = 16, 32, 1_024, 0.01
 #: Tokens of a training step at least; width of the classes.
 BATCH, SPREAD = 16_384, 3.0
+#: Tokens whose class outputs are held at a time: they stay in the processor's cache.
+CHUNK = 4_096
 #: Nets that one task of the averaging tree reads.
 FAN_IN = 16
 ROUNDS = 3
@@ -89,8 +91,9 @@ def new_net(counts: np.ndarray, units: int = UNITS, seed: int = 0) -> dict[str,
     share = (counts + 1) / (counts + 1).sum()
     of_class = np.add.reduceat(share, class_bounds(n)[:-1])
     net = {"U": r.normal(0, 0.1, (n, 3 * units)), "W": r.normal(0, units ** -0.5, (units, 3 * units)), "b": np.zeros(3 * units),
-           "C": r.normal(0, 0.1, (units, len(of_class))), "c": np.log(of_class),
-           "O": r.normal(0, 0.1, (n, units)), "o": np.log(share / of_class[classes_of(n)])}
+           "C": r.normal(0, 0.1, (units + 1, len(of_class))), "O": r.normal(0, 0.1, (n, units + 1))}
+    # the outputs' last weight is the bias
+    net["C"][-1], net["O"][:, -1] = np.log(of_class), np.log(share / of_class[classes_of(n)])
     return {k: v.astype(np.float32) for k, v in net.items()}
 
 
@@ -173,44 +176,50 @@ def run_window(net: dict, h: np.ndarray, w: Window) -> tuple[np.ndarray, np.ndar
     return h, np.concatenate(states), kept
 
 
-def log_softmax(a: np.ndarray) -> np.ndarray:
-    """Over the first axis, in place: reductions then run along whole rows of tokens."""
-    a -= a.max(0)
-    a -= np.log(np.exp(a).sum(0))
-    return a
+def softmax_at(a: np.ndarray, spots: tuple, grad: bool) -> np.ndarray:
+    """Log-probabilities of ``spots`` under a softmax over the first axis;
+    ``a`` is overwritten, with ``grad`` by the derivative of their negative sum."""
+    if a.max() > 60:  # exp would leave single precision
+        a -= a.max(0)
+    picked = a[spots]
+    np.exp(a, a)
+    total = a.sum(0)
+    if grad:
+        a *= 1 / total
+        a[spots] -= 1
+    return picked - np.log(total)
 
 
 def outputs(net: dict, h: np.ndarray, y: np.ndarray, g: dict | None = None):
     """Log-probability of each target; with ``g`` also d(-sum)/dh, the parameters' gradients added to ``g``."""
-    bounds = class_bounds(len(net["o"]))
-    cls = classes_of(len(net["o"]))[y]
+    n, units, grad = len(net["O"]), h.shape[1], g is not None
+    bounds, cls = class_bounds(n), classes_of(n)[y]
     order = np.argsort(cls, kind="stable")  # class by class
     cls, ids, rows = cls[order], y[order], np.arange(len(y))
-    states = np.ascontiguousarray(h[order].T)
-    lc = log_softmax(net["C"].T @ states + net["c"][:, None])
-    logp = lc[cls, rows]
-    if g is not None:
-        dc = np.exp(lc, lc)
-        dc[cls, rows] -= 1
-        g["C"] += states @ dc.T
-        g["c"] += dc.sum(1)
-        dh = net["C"] @ dc
+    states = np.ones((units + 1, len(y)), h.dtype)
+    states[:-1] = h[order].T
+    logp = np.empty(len(y), h.dtype)
+    dh = np.empty((units, len(y)), h.dtype) if grad else None
+    for first in range(0, len(y), CHUNK):
+        part = slice(first, min(first + CHUNK, len(y)))
+        own = states[:, part]
+        a = net["C"].T @ own
+        logp[part] = softmax_at(a, (cls[part], rows[: part.stop - first]), grad)
+        if grad:
+            g["C"] += own @ a.T
+            dh[:, part] = net["C"][:-1] @ a
     cuts = np.searchsorted(cls, np.arange(len(bounds)))
     for k in np.flatnonzero((np.diff(bounds) > 1) & (np.diff(cuts) > 0)).tolist():
         (s, e), (first, last) = bounds[k:k + 2], cuts[k:k + 2]
-        own = states[:, first:last]
-        lo = log_softmax(net["O"][s:e] @ own + net["o"][s:e, None])
-        spots = (ids[first:last] - s, rows[: last - first])
-        logp[first:last] += lo[spots]
-        if g is not None:
-            do = np.exp(lo, lo)
-            do[spots] -= 1
-            g["O"][s:e] += do @ own.T
-            g["o"][s:e] += do.sum(1)
-            dh[:, first:last] += net["O"][s:e].T @ do
+        own, words = states[:, first:last], net["O"][s:e]
+        a = words @ own
+        logp[first:last] += softmax_at(a, (ids[first:last] - s, rows[: last - first]), grad)
+        if grad:
+            g["O"][s:e] += a @ own.T
+            dh[:, first:last] += words[:, :-1].T @ a
     back_in_order = np.empty_like(logp)
     back_in_order[order] = logp
-    if g is None:
+    if not grad:
         return back_in_order
     dh_rows = np.empty_like(h)
     dh_rows[order] = dh.T
@@ -238,7 +247,7 @@ def back(net: dict, w: Window, kept: list[tuple], dh: np.ndarray, g: dict) -> No
         carry[:m][new_doc] = 0
     g["b"] += gates.sum(0)
     ids = w.flat(w.x)
-    order = np.argsort(ids.astype(np.uint16) if len(net["o"]) <= 1 << 16 else ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16) if len(net["O"]) <= 1 << 16 else ids, kind="stable")
     starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
     g["U"].append((ids[order][starts], np.add.reduceat(gates[order], starts)))
 

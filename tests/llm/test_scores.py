@@ -66,7 +66,7 @@ def test_depleted_documents_go(spark):
 def scalar_likelihood(net, doc):
     """A document's log-probability by the definition, token by token."""
     units = net["W"].shape[0]
-    bounds = gated_lm.class_bounds(len(net["o"]))
+    bounds = gated_lm.class_bounds(len(net["O"]))
     h, x, total = np.zeros(units), gated_lm.END, 0.0
     gate = lambda v: 1 / (1 + np.exp(-v))
     for y in doc.tolist():
@@ -75,8 +75,8 @@ def scalar_likelihood(net, doc):
         n = np.tanh(gx[2 * units:] + r * gh[2 * units:])
         h = (1 - z) * n + z * h
         k = int(np.searchsorted(bounds, y, "right")) - 1
-        classes = h @ net["C"] + net["c"]
-        words = net["O"][bounds[k]:bounds[k + 1]] @ h + net["o"][bounds[k]:bounds[k + 1]]
+        classes = h @ net["C"][:-1] + net["C"][-1]
+        words = net["O"][bounds[k]:bounds[k + 1]] @ np.append(h, 1)
         total += classes[k] - np.log(np.exp(classes).sum()) + words[y - bounds[k]] - np.log(np.exp(words).sum())
         x = y
     return total
