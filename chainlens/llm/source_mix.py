@@ -234,13 +234,15 @@ def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] | None =
 
     ``labelled`` has the id column and ``domain``.  Targets per domain are
     ``shares`` of all tokens, or ``keep`` times the domain's own expected
-    tokens, those of documents whose likeliest domain is in ``without`` left
-    out: memberships are soft, so the documents that stay hold some expected
-    tokens of these domains too, and a target of nothing could not be met.
+    tokens, those of documents that speak for a domain in ``without`` left
+    out (the domain whose posterior is the largest multiple of its mean over
+    all rows): memberships are soft, so the documents that stay hold some
+    expected tokens of these domains too, and a target of nothing could not
+    be met.
     Rates are at most ``most``, if given; a rate of 1 at most makes no copies.
     copies is the rate rounded so that its expectation is the rate (by a hash
     of id and text), or to the nearest whole with ``nearest``.  Of equal
-    posteriors the first domain is the likeliest; very long texts are read
+    multiples the first domain counts; very long texts are read
     whole; columns of ``docs`` are carried in a struct, so no name clashes.
     Null and empty texts have no tokens and get the prior's posteriors; ids
     do not take part beyond the hash, so nulls and repeats are rows like any
@@ -252,8 +254,11 @@ def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] | None =
     full = members(docs, learn(docs, labelled, domains, id_col, text_col, **limits), id_col, text_col, carry)
     if keep:
         p = [F.col(f"p{k}") for k in range(n)]
-        likeliest = F.array_position(F.array(*p), F.greatest(*p)) - 1
-        stays = ~likeliest.isin([domains.index(d) for d in without]) if without else F.lit(True)
+        stays = F.lit(True)
+        if without:
+            mean = full.agg(*(F.avg(x) for x in p)).first()
+            times = [x / F.lit(max(float(m or 0), 1e-9)) for x, m in zip(p, mean, strict=True)]
+            stays = ~(F.array_position(F.array(*times), F.greatest(*times)) - 1).isin([domains.index(d) for d in without])
         own = full.agg(*(F.sum(F.when(stays, F.col("tokens") * x)) for x in p)).first()
         steps = fit_rates(full, n, [float(o or 0) * keep[d] for o, d in zip(own, domains, strict=True)], most=most)
     else:
