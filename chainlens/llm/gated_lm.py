@@ -110,6 +110,7 @@ class Window:
 
     def __init__(self, block: np.ndarray, runs: list[int]):
         self.x, self.fresh, self.y, self.doc = block
+        self.any_fresh = self.fresh.any(0).tolist()
         self.runs = runs
         self.steps = [0, *np.cumsum(runs).tolist()]
 
@@ -162,8 +163,9 @@ def run_window(net: dict, h: np.ndarray, w: Window) -> tuple[np.ndarray, np.ndar
     gates = net["U"][w.flat(w.x)]
     gates += net["b"]
     for t, m in enumerate(w.runs):
-        prev, new_doc = h[:m], w.fresh[:m, t] > 0
-        if new_doc.any():
+        prev, new_doc = h[:m], None
+        if w.any_fresh[t]:
+            new_doc = w.fresh[:m, t] > 0
             prev = np.where(new_doc[:, None], net["b"].dtype.type(0), prev)
         gx, gh = gates[w.steps[t]:w.steps[t + 1]], prev @ net["W"]
         zr = sigmoid(gx[:, :2 * units] + gh[:, :2 * units])
@@ -206,7 +208,7 @@ def outputs(net: dict, h: np.ndarray, y: np.ndarray, g: dict | None = None):
         a = net["C"].T @ own
         logp[part] = softmax_at(a, (cls[part], rows[: part.stop - first]), grad)
         if grad:
-            g["C"] += own @ a.T
+            g["C"] += (a @ own.T).T
             dh[:, part] = net["C"][:-1] @ a
     cuts = np.searchsorted(cls, np.arange(len(bounds)))
     for k in np.flatnonzero((np.diff(bounds) > 1) & (np.diff(cuts) > 0)).tolist():
@@ -244,7 +246,8 @@ def back(net: dict, w: Window, kept: list[tuple], dh: np.ndarray, g: dict) -> No
         dgh[:, 2 * units:] *= r
         g["W"] += prev.T @ dgh
         carry[:m] = d * z + dgh @ net["W"].T
-        carry[:m][new_doc] = 0
+        if new_doc is not None:
+            carry[:m][new_doc] = 0
     g["b"] += gates.sum(0)
     ids = w.flat(w.x)
     order = np.argsort(ids.astype(np.uint16) if len(net["O"]) <= 1 << 16 else ids, kind="stable")
@@ -287,36 +290,57 @@ class Adam:
             net[k][ids] -= a * m / (np.sqrt(b * v) + 1e-8)
 
 
+def learn(net: dict, held: list[tuple[Window, np.ndarray, list]], g: dict) -> int:
+    """The gradient of windows that ran from the same parameters, added to ``g``: their outputs in one
+    pass, so that windows of few lanes cost no more a token than full ones.  Tokens seen."""
+    _, dh = outputs(net, np.concatenate([states for _, states, _ in held]), np.concatenate([w.flat(w.y) for w, _, _ in held]), g)
+    at = 0
+    for w, states, kept in held:
+        back(net, w, kept, dh[at:at + len(states)], g)
+        at += len(states)
+    return at
+
+
 def train(net: dict, opt: Adam, docs: list[np.ndarray], lanes: int = LANES, steps: int = STEPS, rate: float = RATE) -> int:
     """One pass over ``docs``; a step whenever windows of ``BATCH`` tokens have passed.  Tokens seen."""
     packed_lanes = lanes_of(docs, lanes)
     h = np.zeros((len(packed_lanes), net["W"].shape[0]), net["b"].dtype)
-    g, held, seen = no_gradient(net), 0, 0
+    g, held, n, seen = no_gradient(net), [], 0, 0
     with np.errstate(over="ignore"):
         for w in windows(packed_lanes, steps):
             h, states, kept = run_window(net, h[: w.runs[0]], w)
-            y = w.flat(w.y)
-            _, dh = outputs(net, states, y, g)
-            back(net, w, kept, dh, g)
-            held += len(y)
-            seen += len(y)
-            if held >= BATCH:
-                opt.step(net, g, held, rate)
-                held = 0
+            held.append((w, states, kept))
+            n += len(states)
+            if n >= BATCH:
+                opt.step(net, g, learn(net, held, g), rate)
+                held, n, seen = [], 0, seen + n
         if held:  # few tokens give a noisy gradient: a smaller step
-            opt.step(net, g, held, rate * min(1.0, held / 2048))
+            opt.step(net, g, learn(net, held, g), rate * min(1.0, n / 2048))
+            seen += n
     return seen
 
 
 def log_likelihood(net: dict, docs: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> np.ndarray:
     """Natural log-probability of each whole document."""
     total = np.zeros(len(docs))
+
+    def add(held: list[tuple[np.ndarray, ...]]) -> None:
+        doc, y, states = (np.concatenate(x) for x in zip(*held))
+        total[:] += np.bincount(doc, outputs(net, states, y), len(docs))
+
     packed_lanes = lanes_of(docs, lanes)
     h = np.zeros((len(packed_lanes), net["W"].shape[0]), net["b"].dtype)
+    held, n = [], 0
     with np.errstate(over="ignore"):
         for w in windows(packed_lanes, steps):
             h, states, _ = run_window(net, h[: w.runs[0]], w)
-            total += np.bincount(w.flat(w.doc), outputs(net, states, w.flat(w.y)), len(docs))
+            held.append((w.flat(w.doc), w.flat(w.y), states))
+            n += len(states)
+            if n >= BATCH:
+                add(held)
+                held, n = [], 0
+        if held:
+            add(held)
     return total
 
 
