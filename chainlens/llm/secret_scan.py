@@ -2,9 +2,9 @@
 
 Patterns find candidates in every text; the hash of each candidate's value
 is counted over the corpus by distinct repositories and owners.  A value
-that many owners hold is a widely copied example; one that stays with few
-owners and looks random is taken for a live credential.  Both verdicts
-are added as spans beside the candidates' own.
+that many owners hold, or very many repositories of few owners, is a widely
+copied example; one that stays with few of both and looks random is taken
+for a live credential.  Both verdicts are added as spans beside the candidates' own.
 
 DataFrame functions only.  Positions come from the text's pieces between
 matches: piece and match lengths, summed in order per document, give the
@@ -42,8 +42,8 @@ BASE = (
 #: Cheap tests that every text with a match of the kind passes.
 HINTS = (BASE[0].pattern, r"AKIA[A-Z0-9]{16}", r"[0-9a-f]{24}")
 
-#: A value of at least this many owners is a copied example ...
-COPIED_OWNERS = 3
+#: A value of at least this many owners, or of this many repositories whatever their owners, is a copied example ...
+COPIED_OWNERS, COPIED_REPOS = 3, 100
 #: ... and one of fewer looks live with this many characters, distinct ones, and both digits and letters.
 LIVE_CHARS, LIVE_DISTINCT = 12, 6
 
@@ -94,7 +94,7 @@ def looks_live(value: Column) -> Column:
 
 
 def scan(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text",
-         carry: tuple[str, ...] = ("doc_id",), copied_owners: int = COPIED_OWNERS) -> DataFrame:
+         carry: tuple[str, ...] = ("doc_id",), copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """The carried columns with ``spans``, an array of (start, rank, stop, kind, n_repos, n_owners) sorted.
 
     Base kinds are assign, access and hex; ``copied`` and ``live`` spans
@@ -106,7 +106,8 @@ def scan(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", t
     staged = stage(candidates(docs, repo_col, owner_col, text_col, carry), "secret-candidates")
     spans = stage(spans_of(staged), "secret-spans")
     known = spans.join(ownership(spans), "h")
-    verdict = F.when(F.col("n_owners") >= copied_owners, F.lit("copied")).when(looks_live(F.col("value")), F.lit("live"))
+    is_copied = (F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos)
+    verdict = F.when(is_copied, F.lit("copied")).when(looks_live(F.col("value")), F.lit("live"))
     rank = {k: n for n, k in enumerate([k.name for k in BASE] + ["copied", "live"])}
     ranks = F.create_map(*(F.lit(x) for k in rank.items() for x in k))
 

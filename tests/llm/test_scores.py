@@ -210,6 +210,11 @@ def test_secret_scan(spark, nasty, empty):
     kinds = Counter(s.kind for r in secret_scan.scan(df).collect() for s in r.spans)
     assert kinds["copied"] >= 5 and kinds["live"] >= 4
     assert secret_scan.scan(empty).count() == 0
+    # many repositories of one owner are copies as well; one fewer, or many places in one repository, are not
+    rows = [(i, "token=Zq7wXe4rTy9u" if i < 100 else "token=Pm3nBv8cXz1l", "o") for i in range(199)] + [(999, "token=Lk2jHg6fDs5a " * 300, "o")]
+    seen = {(r.doc_id, s.kind) for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+            for s in r.spans if s.kind in ("copied", "live")}
+    assert seen == {(i, "copied" if i < 100 else "live") for i in [*range(199), 999]}
 
 
 def test_source_mix(spark, nasty, empty):
