@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,33 +137,106 @@ def loadings_report(comps: Sequence[Sequence[float]], cols: Sequence[str], spark
     return df.drop("sign_rank").withColumn("loading", F.round("loading", 3)).join(top, "component")
 
 
-def fit_kmeans(points: DataFrame, dims: Sequence[str], k: int, seed: int, restarts: int,
-               max_iter: int = 300):
-    """Best of ``restarts`` k-means|| runs (lowest training cost).
-    Returns (centroids, cost).  The small vector table is persisted
-    (memory + disk, recomputable from lineage if an executor is lost)."""
+#: Fits that look for their first centers at the same time.
+FITS_AT_ONCE = 4
+#: Points of one block of distances, which stays in the processor's cache.
+BLOCK = 1024
+
+
+def _blocks(vec: DataFrame, dim: int):
+    """The points as d x n arrays of doubles, a block per Arrow batch."""
+    def packed(batches):
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x.T).tobytes()], pa.binary())], names=["block"])
+
+    return vec.mapInArrow(packed, "block binary").rdd.map(lambda r: np.frombuffer(r.block).reshape(dim, -1))
+
+
+def _lloyd_step(blocks, centers: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """One pass over the points for all ``centers`` (one k x d array per run):
+    per run the sizes and means of its clusters, and the cost before them."""
+    dim = centers[0].shape[1]
+    ends = np.cumsum([len(c) for c in centers])
+    spans = list(zip(ends - [len(c) for c in centers], ends))
+    flat = np.concatenate(centers)
+    weights = np.hstack([-2.0 * flat, (flat * flat).sum(1)[:, None]])  # distance less the point's own square
+
+    def partial(part):
+        out = np.zeros((2 + dim, len(weights)))  # points, cost and sums of each center
+        for block in part:
+            for at in range(0, block.shape[1], BLOCK):
+                x = block[:, at:at + BLOCK]
+                square, rows = (x * x).sum(0), np.arange(x.shape[1])
+                d2 = weights[:, :dim] @ x + weights[:, dim:]
+                for lo, hi in spans:
+                    best = d2[lo:hi].argmin(0)
+                    for j, w in enumerate((None, np.maximum(d2[lo + best, rows] + square, 0.0), *x)):
+                        out[j, lo:hi] += np.bincount(best, w, hi - lo)
+        yield out
+
+    # one array of centers per task, in a tree
+    total = blocks.mapPartitions(partial).treeReduce(np.add, 1 if blocks.getNumPartitions() <= 64 else 2)
+    n = total[0]
+    means = np.where(n > 0, total[2:] / np.maximum(n, 1), flat.T).T  # a center without points stays
+    return [(n[lo:hi], means[lo:hi], float(total[1, lo:hi].sum())) for lo, hi in spans]
+
+
+def fit_kmeans_runs(points: DataFrame, dims: Sequence[str], runs: Sequence[tuple[int, int]], max_iter: int = 300,
+                    tol: float = 1e-6) -> list[tuple[list[list[float]], float]]:
+    """(centroids, cost) of a k-means|| run for each (k, seed) of ``runs``.
+
+    First centers are Spark ML's.  Lloyd's iterations of all runs share their
+    passes over the points, so there are as many passes as the slowest run
+    needs, not the sum; a run stops as Spark ML's does, once no center moves
+    by more than ``tol``, and has the cost of its last pass."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
     vec = (VectorAssembler(inputCols=list(dims), outputCol="features")
            .transform(points.select(*dims)).select("features")
            .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        best = None
-        for r in range(restarts):
-            m = KMeans(k=k, seed=seed + r, maxIter=max_iter, tol=1e-6,
-                       featuresCol="features").fit(vec)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = ([list(map(float, c)) for c in m.clusterCenters()], float(cost))
-        return best
+        vec.count()
+
+        def first(run: tuple[int, int]) -> np.ndarray:
+            return np.array(KMeans(k=run[0], seed=run[1], maxIter=0, tol=tol, featuresCol="features").fit(vec).clusterCenters())
+
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            centers = list(pool.map(first, runs))
+        costs, live = [0.0] * len(runs), list(range(len(runs)))
+        blocks = _blocks(vec.select(vector_to_array("features").alias("x")), len(dims)).persist(StorageLevel.MEMORY_AND_DISK)
+        for _ in range(max_iter):
+            if not live:
+                break
+            moved = []
+            for r, (n, means, cost) in zip(live, _lloyd_step(blocks, [centers[r] for r in live])):
+                if (((means - centers[r]) ** 2).sum(1)[n > 0] > tol * tol).any():
+                    moved.append(r)
+                centers[r], costs[r] = means, cost
+            live = moved
+        blocks.unpersist()
+        return [(c.tolist(), cost) for c, cost in zip(centers, costs)]
     finally:
         vec.unpersist()
 
 
+def fit_kmeans(points: DataFrame, dims: Sequence[str], k: int, seed: int, restarts: int,
+               max_iter: int = 300):
+    """Best of ``restarts`` k-means|| runs (lowest training cost).
+    Returns (centroids, cost).  The small vector table is persisted
+    (memory + disk, recomputable from lineage if an executor is lost)."""
+    return min(fit_kmeans_runs(points, dims, [(k, seed + r) for r in range(restarts)], max_iter), key=lambda x: x[1])
+
+
 def kmeans_sweep(points: DataFrame, dims: Sequence[str], k_values: Sequence[int], seed: int,
                  restarts: int = 10, max_iter: int = 300):
     """Inertia (training cost) for each k: list of (k, cost)."""
-    return [(k, fit_kmeans(points, dims, k, seed, restarts, max_iter)[1]) for k in k_values]
+    runs = [(k, seed + r) for k in k_values for r in range(restarts)]
+    fits = fit_kmeans_runs(points, dims, runs, max_iter)
+    return [(k, min(cost for (of, _), (_, cost) in zip(runs, fits) if of == k)) for k in k_values]
 
 
 def order_centroids(centroids: Sequence[Sequence[float]]) -> list[list[float]]:
