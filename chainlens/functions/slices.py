@@ -28,6 +28,7 @@ from chainlens.sources.tables import materialize
 
 SLICE_ROWS = 2_000_000
 CELLS = 1024
+BUCKETS = 65_536
 SLICE, HOT = "_slice", "_hot"
 
 
@@ -49,9 +50,15 @@ def _cell(ts: str) -> Column:
 
 def hot_slices(rows: DataFrame, keys: Sequence[str], ts: str, slice_rows: int = SLICE_ROWS) -> DataFrame | None:
     """One row per hot key: its renamed keys, ``_lo``, ``_width`` and the slice of every cell; None without hot keys."""
+    # a key has at most the rows of its bucket, so the keys of other buckets need no count of their own
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    full = (rows.groupBy(bucket.alias("_b")).agg(F.count(ts).alias("_n")).where(F.col("_n") > slice_rows)
+            .agg(F.collect_list("_b").alias("b")).first().b)  # at most all rows / slice_rows of BUCKETS numbers
+    if not full:
+        return None
     us = micros(ts)
     width = F.ceil((F.max(us) - F.min(us) + 1) / F.lit(CELLS)).alias("_width")
-    counts = rows.groupBy(*keys).agg(F.count(ts).alias("_n"), F.min(us).alias("_lo"), width)
+    counts = rows.where(bucket.isin(full)).groupBy(*keys).agg(F.count(ts).alias("_n"), F.min(us).alias("_lo"), width)
     hot = materialize(renamed(counts.where(F.col("_n") > slice_rows).drop("_n"), keys), "hot-keys")
     if hot.isEmpty():
         return None
@@ -77,12 +84,15 @@ def with_slice(rows: DataFrame, hot: DataFrame | None, keys: Sequence[str], ts:
 
 
 def ranked(rows: DataFrame, keys: Sequence[str], ts: str, order: Sequence[Column | str], name: str = "n",
-           slice_rows: int = SLICE_ROWS) -> DataFrame:
+           slice_rows: int = SLICE_ROWS, deal: Sequence[str] = ()) -> DataFrame:
     """``rows`` numbered from 1 per key, by time and then ``order``, nulls first.
 
     Within a slice by a window; the rows of the slices before are counted
-    and added."""
+    and added.  Without hot keys, rows are dealt by ``deal``, some of the
+    keys that a later step groups by, and stay there."""
     hot = hot_slices(rows, keys, ts, slice_rows)
+    if hot is None and deal:
+        rows = rows.repartition(*deal)
     cut = with_slice(rows, hot, keys, ts)
     w = Window.partitionBy(*keys, SLICE).orderBy(F.asc_nulls_first(ts), *[F.asc_nulls_first(c) if isinstance(c, str) else c for c in order])
     out = cut.withColumn(name, F.row_number().over(w).cast("long"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chainlens.config import (COMPETITOR_USAGE_COLUMNS, DEFAULT, LOYALTY_MULTI,
                               PLATFORM_PATTERN, PLATFORM_PATTERN_LABEL, Params)
+from chainlens.functions.distincts import dealt, distinct_counts
 from chainlens.functions.exprs import money_sum, share_of_total
 from chainlens.operators.wallets import exclude_wallets, in_window
 
@@ -81,14 +82,19 @@ def platform_records(usage: DataFrame) -> DataFrame:
 
 def home_route_usage(tx: DataFrame, exclusions, p: Params = DEFAULT) -> DataFrame:
     """Home activity in the window per wallet x route, platform as a literal."""
-    base = exclude_wallets(in_window(tx, p.window_start, p.window_end), exclusions, keep_null=False)
-    return (base.groupBy(F.col("wallet").alias("wallet_"),
-                         F.col("origin_chain_name").alias("source_chain"),
-                         F.col("destination_chain_name").alias("destination_chain"))
-            .agg(money_sum("user_send_currency_usd").alias("amount_usd"),
-                 F.count(F.lit(1)).alias("tx_count"))
-            .withColumn("platform_", F.lit(p.home_platform))
-            .select(*COMPETITOR_USAGE_COLUMNS))
+    base = exclude_wallets(in_window(tx, p.window_start, p.window_end), exclusions, keep_null=False).select(
+        F.col("wallet").alias("wallet_"), F.col("origin_chain_name").alias("source_chain"),
+        F.col("destination_chain_name").alias("destination_chain"), "user_send_currency_usd")
+
+    def routes(rows: DataFrame) -> DataFrame:
+        return (rows.groupBy("wallet_", "source_chain", "destination_chain")
+                .agg(money_sum("user_send_currency_usd").alias("amount_usd"), F.count(F.lit(1)).alias("tx_count"))
+                .withColumn("platform_", F.lit(p.home_platform))
+                .select(*COMPETITOR_USAGE_COLUMNS))
+
+    # raw rows are narrower than partial sums, of which a wallet's routes give nearly as many
+    cold, hot = dealt(base, "wallet_", p.slice_rows)
+    return routes(cold) if hot is None else routes(cold).unionByName(routes(hot))
 
 
 def competitor_overlap(usage: DataFrame, home: DataFrame, exclusions) -> DataFrame:
@@ -152,14 +158,8 @@ def loyalty_preview(agg: DataFrame, n: int = 10) -> DataFrame:
 def loyalty_class(agg: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """One platform -> '<home>-only', otherwise multi-platform (T24: the USD
     total spans all platforms)."""
-    # platforms and chains per wallet are few: size(collect_set) counts them
-    # in one shuffle (countDistinct would plan an Expand and a second one)
-    g = agg.groupBy("wallet_").agg(
-        F.size(F.collect_set("platform_")).cast("bigint").alias("n_platforms"),
-        F.size(F.collect_set("source_chain")).cast("bigint").alias("n_source_chains"),
-        F.size(F.collect_set("destination_chain")).cast("bigint").alias("n_dest_chains"),
-        money_sum("amount_usd").alias("total_amount_usd"),
-        F.sum("tx_count").cast("bigint").alias("total_tx_count"))
+    g = distinct_counts(agg, "wallet_", {"n_platforms": F.col("platform_"), "n_source_chains": F.col("source_chain"), "n_dest_chains": F.col("destination_chain")},
+                        {"total_tx_count": F.col("tx_count")}, {"total_amount_usd": F.col("amount_usd")}, p.slice_rows)
     lt = F.when(F.col("n_platforms") == 1, p.home_only_label).otherwise(LOYALTY_MULTI)
     return g.select("wallet_", lt.alias("loyalty_type"), "n_platforms", "n_source_chains",
                     "n_dest_chains", "total_amount_usd", "total_tx_count")

@@ -85,12 +85,14 @@ def return_trips(tx: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     rows = tx.where(F.col("wallet").isNotNull() & F.col("created_at").isNotNull()
                     & (F.col("origin_chain_name") != F.col("destination_chain_name"))).select(
         "wallet", "created_at", "origin_chain_name", "destination_chain_name", "deposit_tx_hash", "user_send_currency_usd")
-    keys = ["wallet", "origin_chain_name", "destination_chain_name"]
-    n = ranked(rows, keys, "created_at", ["deposit_tx_hash", "user_send_currency_usd"], "n", slice_rows)
-    forward = F.col("origin_chain_name") < F.col("destination_chain_name")
-    leg = F.struct(F.col("created_at").alias("time"), F.col("origin_chain_name").alias("chain"),
+    ends = ["origin_chain_name", "destination_chain_name"]
+    rows = rows.select("wallet", "created_at", "deposit_tx_hash", "user_send_currency_usd", F.least(*ends).alias("a"), F.greatest(*ends).alias("b"),
+                       (F.col(ends[0]) < F.col(ends[1])).alias("forward"))
+    # both directions are dealt together, so they meet where they were numbered
+    n = ranked(rows, ["wallet", "a", "b", "forward"], "created_at", ["deposit_tx_hash", "user_send_currency_usd"], "n", slice_rows, ["wallet", "a", "b"])
+    leg = F.struct(F.col("created_at").alias("time"), F.when(F.col("forward"), F.col("a")).otherwise(F.col("b")).alias("chain"),
                    F.col("deposit_tx_hash").alias("tx"), F.col("user_send_currency_usd").alias("usd"))
-    legs = n.select("wallet", F.least(*keys[1:]).alias("a"), F.greatest(*keys[1:]).alias("b"), "n", forward.alias("forward"), leg.alias("leg"))
+    legs = n.select("wallet", "a", "b", "n", leg.alias("leg"))
     met = legs.groupBy("wallet", "a", "b", "n").agg(F.min("leg").alias("out"), F.max("leg").alias("back"), F.count("*").alias("legs"))
     return met.where(F.col("legs") == 2).select(
         "wallet", F.col("out.chain").alias("chain_a"), F.col("back.chain").alias("chain_b"),

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from chainlens.config import (DEFAULT, KIND_BRIDGE, KIND_CROSS_CHAIN_SWAP, RULE_BEGINNER,
                               RULE_NEW, RULE_PROGRAMMATIC, RULE_REGULAR, Params)
-from chainlens.functions.exprs import avg_money, flag_sum, log10_guarded, money_sum, share_of_total, unsummable
+from chainlens.functions.distincts import distinct_counts
+from chainlens.functions.exprs import avg_money, log10_guarded, money_sum, share_of_total, unsummable
 
 # ---------------------------------------------------------------------------
 # Exclusions (Q8)
@@ -275,6 +276,10 @@ def _distinct(c: Column | str, mode: str) -> Column:
     return F.countDistinct(c)
 
 
+def _flag(cond: Column) -> Column:
+    return F.when(cond, 1).otherwise(0)
+
+
 def wallet_features(tx: DataFrame, exclusions, variant: str = "A", p: Params = DEFAULT) -> DataFrame:
     """Wallet behaviour features.
 
@@ -282,30 +287,33 @@ def wallet_features(tx: DataFrame, exclusions, variant: str = "A", p: Params = D
     window ``[window_start, window_end)``, NOT IN exclusion, the 9 business
     features plus four base-10 log columns.  The exclusion comes before the
     grouping; with its list broadcast, listed wallets (the hottest keys)
-    never reach the shuffle."""
+    never reach the shuffle.  Other rows are dealt by wallet once
+    (``functions.distincts``)."""
     m = p.distinct_mode
     if variant == "A":
         base = exclude_wallets(tx, exclusions, keep_null=True)
     else:
         base = exclude_wallets(in_window(tx, p.window_start, p.window_end), exclusions,
                                keep_null=False)
-    aggs = [
-        _distinct("origin_chain_name", m).alias("origin_chains"),
-        _distinct("destination_chain_name", m).alias("dest_chains"),
-        _distinct("user_send_currency", m).alias("currency_sends"),
-        flag_sum(F.col("is_call")).alias("call_count"),
-        _distinct("route_source", m).alias("distinct_routes"),
-        flag_sum(F.col("execution_kind") == KIND_CROSS_CHAIN_SWAP).alias("cross_chain_swaps"),
-        flag_sum(F.col("execution_kind") == KIND_BRIDGE).alias("bridges"),
-        _distinct(F.to_date("created_at"), m).alias("unique_days"),
-    ]
+    distinct = {"origin_chains": F.col("origin_chain_name"), "dest_chains": F.col("destination_chain_name"),
+                "currency_sends": F.col("user_send_currency"), "distinct_routes": F.col("route_source"),
+                "unique_days": F.to_date("created_at")}
+    sums = {"call_count": _flag(F.col("is_call")), "cross_chain_swaps": _flag(F.col("execution_kind") == KIND_CROSS_CHAIN_SWAP),
+            "bridges": _flag(F.col("execution_kind") == KIND_BRIDGE)}
+    usd = {"total_send_usd": F.col("user_send_currency_usd")}
+    columns = ["origin_chains", "dest_chains", "currency_sends", "call_count", "distinct_routes", "cross_chain_swaps",
+               "bridges", "unique_days"]
     if variant == "A":
-        aggs += [F.count("deposit_tx_hash").alias("deposit_tx_count"),
-                 money_sum("user_send_currency_usd").alias("total_send_usd"),
-                 money_sum("user_receive_currency_usd").alias("total_receive_usd")]
+        sums["deposit_tx_count"] = _flag(F.col("deposit_tx_hash").isNotNull())
+        usd["total_receive_usd"] = F.col("user_receive_currency_usd")
+        columns.append("deposit_tx_count")
+    if m == "set":
+        feats = base.groupBy("wallet").agg(*[_distinct(c, m).alias(n) for n, c in distinct.items()],
+                                           *[F.sum(c).cast("bigint").alias(n) for n, c in sums.items()],
+                                           *[money_sum(c).alias(n) for n, c in usd.items()])
     else:
-        aggs += [money_sum("user_send_currency_usd").alias("total_send_usd")]
-    feats = base.groupBy("wallet").agg(*aggs)
+        feats = distinct_counts(base, "wallet", distinct, sums, usd, p.slice_rows)
+    feats = feats.select("wallet", *columns, *usd)
     if variant == "A":
         return feats
     return feats.select("*", *[log10_guarded(c).alias(f"{c}_log")
