@@ -68,6 +68,11 @@ def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame],
     return spark.read.parquet(path)
 
 
+def is_staged(spark: SparkSession, name: str, sources: Sequence[str] = ()) -> bool:
+    """Whether ``staged`` has written this table in this session."""
+    return (spark.sparkContext.applicationId, name, _fingerprint(spark, sources), None) in _STAGED
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table as Parquet under the checkpoint folder and read it back.
 
