@@ -11,6 +11,9 @@ A key with more than ``slice_rows`` rows would land whole in one task.  Rows
 are therefore counted by ``BUCKETS`` buckets of the key's hash first; the keys
 of buckets above the bound (at most total rows / ``slice_rows`` buckets) keep
 the plan with partial counts, which deals a key's values over many tasks.
+
+Rows are read twice, to be counted and to be dealt.  With ``store`` they are
+written first, these columns alone: for rows that come out of joins.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 from chainlens.functions.exprs import money, money_sum
 from chainlens.functions.slices import BUCKETS
+from chainlens.sources.tables import ROWS_PER_FILE, materialize
 
 #: Rows dealt to one task, six or so copies of each are grouped there.
 TASK_ROWS = 150_000
@@ -49,11 +53,13 @@ def dealt(rows: DataFrame, key: str, slice_rows: int) -> tuple[DataFrame, DataFr
 
 
 def distinct_counts(df: DataFrame, key: str, distinct: Mapping[str, Column], sums: Mapping[str, Column],
-                    usd: Mapping[str, Column], slice_rows: int) -> DataFrame:
+                    usd: Mapping[str, Column], slice_rows: int, store: bool = False) -> DataFrame:
     """Per key: distinct non-null values of each column of ``distinct``, then
     sums (bigint) and exact money sums (double), each under its name."""
     values, adds, paid = (list(x) for x in (distinct, sums, usd))
     rows = df.select(key, *[c.alias(n) for part in (distinct, sums, usd) for n, c in part.items()])
+    if store:
+        rows = materialize(rows, "dealt-rows", ROWS_PER_FILE)
     cold, hot = dealt(rows, key, slice_rows)
     entries = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(values)],
                                 F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("v"))))

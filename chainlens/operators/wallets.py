@@ -280,7 +280,7 @@ def _flag(cond: Column) -> Column:
     return F.when(cond, 1).otherwise(0)
 
 
-def wallet_features(tx: DataFrame, exclusions, variant: str = "A", p: Params = DEFAULT) -> DataFrame:
+def wallet_features(tx: DataFrame, exclusions, variant: str = "A", p: Params = DEFAULT, store: bool = False) -> DataFrame:
     """Wallet behaviour features.
 
     Variant A: all rows, NOT EXISTS exclusion, 11 features.  Variant B:
@@ -288,7 +288,8 @@ def wallet_features(tx: DataFrame, exclusions, variant: str = "A", p: Params = D
     features plus four base-10 log columns.  The exclusion comes before the
     grouping; with its list broadcast, listed wallets (the hottest keys)
     never reach the shuffle.  Other rows are dealt by wallet once
-    (``functions.distincts``)."""
+    (``functions.distincts``), with ``store`` from a narrow copy that is
+    written first: for transactions that are not stored."""
     m = p.distinct_mode
     if variant == "A":
         base = exclude_wallets(tx, exclusions, keep_null=True)
@@ -312,7 +313,7 @@ def wallet_features(tx: DataFrame, exclusions, variant: str = "A", p: Params = D
                                            *[F.sum(c).cast("bigint").alias(n) for n, c in sums.items()],
                                            *[money_sum(c).alias(n) for n, c in usd.items()])
     else:
-        feats = distinct_counts(base, "wallet", distinct, sums, usd, p.slice_rows)
+        feats = distinct_counts(base, "wallet", distinct, sums, usd, p.slice_rows, store)
     feats = feats.select("wallet", *columns, *usd)
     if variant == "A":
         return feats
