@@ -27,38 +27,61 @@ import functools
 import heapq
 import io
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainlens.llm.common import Batches, record, stage, texts_of
+from chainlens.llm.common import Batches, record, stage
 
-#: Words looked up in the task.
-HEAD = 65_536
+#: Words looked up in the task; rarer ones are looked up by a join.
+HEAD = 262_144
+#: Documents whose words are encoded at a time.
+ROWS = 2_048
 #: The model's words: all that training holds this often, within these bounds (the parameters go to every task).
 OFTEN, LEAST_WORDS, MOST_WORDS = 64, 2_048, 16_384
 UNITS, STEPS, LANES, RATE = 16, 32, 1_024, 0.01
 #: Tokens of a training step at least; width of the classes.
 BATCH, SPREAD = 16_384, 3.0
 #: Tokens whose class outputs are held at a time: they stay in the processor's cache.
-CHUNK = 4_096
+CHUNK = 2_048
+#: Windows that are copied from the lanes at a time.
+COPIED = 8
 #: Nets that one task of the averaging tree reads.
 FAN_IN = 16
+LOG2_E = math.log2(math.e)
 ROUNDS = 3
 END, UNKNOWN = 0, 1
 #: Key of the end token; no word has white space.
 END_KEY = " "
+#: Bytes of a word beyond which its key is a digest.
+LENGTHY = 48
 
 
 def key_of(word: bytes) -> str:
     """The word itself; a digest for words that are long."""
-    return word.decode() if len(word) <= 48 else " " + xxhash.xxh3_128_hexdigest(word)
+    return word.decode() if len(word) <= LENGTHY else " " + xxhash.xxh3_128_hexdigest(word)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Keys of the distinct words of ``texts``, the key of every word, text
+    after text, and the number of words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found = lists.flatten().dictionary_encode()
+    keys, word, sizes = found.dictionary.cast(pa.string()), found.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+    if (empty := pc.index(keys, "").as_py()) >= 0:  # white space at an end of a text
+        full = word != empty
+        text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        word, sizes = word[full], np.bincount(text[full], minlength=len(sizes))
+    lengthy = pc.greater(pc.binary_length(keys), LENGTHY)
+    if pc.any(lengthy).as_py():
+        keys = pc.replace_with_mask(keys, lengthy, pa.array([key_of(w.encode()) for w in keys.filter(lengthy).to_pylist()], pa.string()))
+    return keys, word, sizes
 
 
 # ---------------------------------------------------------------- the network
@@ -98,25 +121,25 @@ def new_net(counts: np.ndarray, units: int = UNITS, seed: int = 0) -> dict[str,
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(x, x)
-    np.exp(x, x)
+    """In place; powers of two take numpy half the time of ``exp``."""
+    x *= -LOG2_E
+    np.exp2(x, x)
     x += 1
     return np.reciprocal(x, x)
 
 
 class Window:
-    """Steps of lanes: inputs, targets and documents, each (lanes, steps); the lanes that run at each step come first."""
+    """Steps of lanes: inputs, targets and documents, each (steps, lanes); the lanes that run at each step come first."""
 
     def __init__(self, block: np.ndarray, runs: list[int]):
         self.x, self.fresh, self.y, self.doc = block
-        self.any_fresh = self.fresh.any(0).tolist()
+        self.any_fresh = self.fresh.any(1).tolist()
         self.runs = runs
         self.steps = [0, *np.cumsum(runs).tolist()]
 
     def flat(self, rows: np.ndarray) -> np.ndarray:
         """Step after step, the running lanes alone."""
-        return np.concatenate([rows[:m, t] for t, m in enumerate(self.runs)])
+        return np.concatenate([rows[t, :m] for t, m in enumerate(self.runs)])
 
 
 def lanes_of(docs: list[np.ndarray], lanes: int) -> list[np.ndarray]:
@@ -145,114 +168,150 @@ def lanes_of(docs: list[np.ndarray], lanes: int) -> list[np.ndarray]:
 
 
 def windows(lanes: list[np.ndarray], steps: int) -> Iterator[Window]:
+    """Windows of ``steps`` steps, copied from the lanes ``COPIED`` at a time."""
     lengths = np.array([lane.shape[1] for lane in lanes])
-    for a in range(0, int(lengths.max(initial=0)), steps):
-        live, span = int((lengths > a).sum()), min(steps, int(lengths[0]) - a)
-        block = np.zeros((4, live, span), np.int32)
+    for a in range(0, int(lengths.max(initial=0)), COPIED * steps):
+        live, span = int((lengths > a).sum()), min(COPIED * steps, int(lengths[0]) - a)
+        block = np.zeros((4, span, live), np.int32)
         for k in range(live):
             part = lanes[k][:, a:a + span]
-            block[:, k, :part.shape[1]] = part
-        yield Window(block, [int((lengths > a + t).sum()) for t in range(span)])
+            block[:, :part.shape[1], k] = part
+        runs = (len(lengths) - np.searchsorted(lengths[::-1], np.arange(a, a + span), "right")).tolist()
+        for t in range(0, span, steps):
+            yield Window(block[:, t:t + steps, : runs[t]], runs[t:t + steps])
 
 
 def run_window(net: dict, h: np.ndarray, w: Window) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
-    """State after the window, the state at each of its tokens and, per step,
-    what backpropagation needs.  A document starts from the zero state; lanes
-    that have ended stay behind."""
-    units, kept, states = h.shape[1], [], []
-    gates = net["U"][w.flat(w.x)]
+    """State after the window (a row a lane), the state at each of its tokens
+    (a column a token) and, per step, what backpropagation needs.  A document
+    starts from the zero state; lanes that have ended stay behind.  Gates lie
+    row after row, so that each is one block in memory."""
+    units, kept, states = h.shape[1], [], np.empty((h.shape[1], w.steps[-1]), h.dtype)
+    h, weights = np.ascontiguousarray(h.T), np.ascontiguousarray(net["W"].T)
+    gates = np.take(net["U"], w.flat(w.x), axis=0)
     gates += net["b"]
     for t, m in enumerate(w.runs):
-        prev, new_doc = h[:m], None
+        if m < h.shape[1]:
+            h = h.copy()  # the ended lanes' states
+        prev, new_doc = h[:, :m], None
         if w.any_fresh[t]:
-            new_doc = w.fresh[:m, t] > 0
-            prev = np.where(new_doc[:, None], net["b"].dtype.type(0), prev)
-        gx, gh = gates[w.steps[t]:w.steps[t + 1]], prev @ net["W"]
-        zr = sigmoid(gx[:, :2 * units] + gh[:, :2 * units])
-        z, r, ghn = zr[:, :units], zr[:, units:], gh[:, 2 * units:]
-        n = np.tanh(gx[:, 2 * units:] + r * ghn)
-        new = n + z * (prev - n)
+            new_doc = np.flatnonzero(w.fresh[t, :m])
+            prev = prev.copy()
+            prev[:, new_doc] = 0
+        gx, gh = np.ascontiguousarray(gates[w.steps[t]:w.steps[t + 1]].T), weights @ prev
+        zr, n, ghn = gx[:2 * units], gx[2 * units:], gh[2 * units:]
+        zr += gh[:2 * units]
+        sigmoid(zr)
+        z, r = zr[:units], zr[units:]
+        n += r * ghn
+        np.tanh(n, n)
+        new = prev - n
+        new *= z
+        new += n
         kept.append((new_doc, prev, z, r, n, ghn))
-        states.append(new)
-        h = new if m == len(h) else np.concatenate([new, h[m:]])
-    return h, np.concatenate(states), kept
-
-
-def softmax_at(a: np.ndarray, spots: tuple, grad: bool) -> np.ndarray:
-    """Log-probabilities of ``spots`` under a softmax over the first axis;
-    ``a`` is overwritten, with ``grad`` by the derivative of their negative sum."""
-    if a.max() > 60:  # exp would leave single precision
+        states[:, w.steps[t]:w.steps[t + 1]] = new
+        if m < h.shape[1]:
+            h[:, :m] = new
+        else:
+            h = new
+    return h.T, states, kept
+
+
+def softmax_at(a: np.ndarray, spots: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of ``spots`` under a softmax over the first axis, and one over its sum;
+    ``a``, in units of log 2, is overwritten by the softmax's terms."""
+    if a.max() > 86:  # exp2 would leave single precision
         a -= a.max(0)
     picked = a[spots]
-    np.exp(a, a)
+    np.exp2(a, a)
     total = a.sum(0)
-    if grad:
-        a *= 1 / total
-        a[spots] -= 1
-    return picked - np.log(total)
+    picked -= np.log2(total)
+    picked *= 1 / LOG2_E
+    return picked, np.reciprocal(total, total)
 
 
 def outputs(net: dict, h: np.ndarray, y: np.ndarray, g: dict | None = None):
-    """Log-probability of each target; with ``g`` also d(-sum)/dh, the parameters' gradients added to ``g``."""
-    n, units, grad = len(net["O"]), h.shape[1], g is not None
+    """Log-probability of each target, ``h`` a column each; with ``g`` also d(-sum)/dh, the parameters' gradients added to ``g``."""
+    n, units, grad = len(net["O"]), len(h), g is not None
     bounds, cls = class_bounds(n), classes_of(n)[y]
     order = np.argsort(cls, kind="stable")  # class by class
     cls, ids, rows = cls[order], y[order], np.arange(len(y))
     states = np.ones((units + 1, len(y)), h.dtype)
-    states[:-1] = h[order].T
+    np.take(h, order, axis=1, out=states[:-1], mode="clip")
     logp = np.empty(len(y), h.dtype)
     dh = np.empty((units, len(y)), h.dtype) if grad else None
+    classes = net["C"].T * LOG2_E
     for first in range(0, len(y), CHUNK):
         part = slice(first, min(first + CHUNK, len(y)))
         own = states[:, part]
-        a = net["C"].T @ own
-        logp[part] = softmax_at(a, (cls[part], rows[: part.stop - first]), grad)
-        if grad:
-            g["C"] += (a @ own.T).T
-            dh[:, part] = net["C"][:-1] @ a
+        a = classes @ own
+        logp[part], share = softmax_at(a, (cls[part], rows[: part.stop - first]))
+        if grad:  # the shares scale the narrow side of each product
+            g["C"] += (a @ (own * share).T).T
+            np.multiply((a.T @ net["C"][:-1].T).T, share, dh[:, part])
     cuts = np.searchsorted(cls, np.arange(len(bounds)))
+    if grad:  # less the targets' own classes
+        held = np.flatnonzero(np.diff(cuts))
+        g["C"][:, held] -= np.add.reduceat(states, cuts[held], axis=1)
+        dh -= np.repeat(net["C"][:-1], np.diff(cuts), axis=1)
     for k in np.flatnonzero((np.diff(bounds) > 1) & (np.diff(cuts) > 0)).tolist():
         (s, e), (first, last) = bounds[k:k + 2], cuts[k:k + 2]
         own, words = states[:, first:last], net["O"][s:e]
-        a = words @ own
-        logp[first:last] += softmax_at(a, (ids[first:last] - s, rows[: last - first]), grad)
+        a = (words * LOG2_E) @ own
+        spots = (ids[first:last] - s, rows[: last - first])
+        more, share = softmax_at(a, spots)
+        logp[first:last] += more
         if grad:
+            a *= share
+            a[spots] -= 1
             g["O"][s:e] += a @ own.T
-            dh[:, first:last] += words[:, :-1].T @ a
-    back_in_order = np.empty_like(logp)
-    back_in_order[order] = logp
-    if not grad:
-        return back_in_order
-    dh_rows = np.empty_like(h)
-    dh_rows[order] = dh.T
-    return back_in_order, dh_rows
+            dh[:, first:last] += (a.T @ words[:, :-1]).T
+    back_in_order = np.empty_like(order)
+    back_in_order[order] = rows
+    return (logp[back_in_order], np.take(dh, back_in_order, axis=1)) if grad else logp[back_in_order]
 
 
 def back(net: dict, w: Window, kept: list[tuple], dh: np.ndarray, g: dict) -> None:
     """Truncated backpropagation through one window's steps, added to ``g``; U's rows as (ids, gradients)."""
     units = net["W"].shape[0]
-    carry = np.zeros((w.runs[0], units), dh.dtype)
-    gates = np.empty((len(dh), 3 * units), dh.dtype)
+    carry = np.zeros((units, w.runs[0]), dh.dtype)
+    gates = np.empty((3 * units, dh.shape[1]), dh.dtype)
     for t in range(len(w.runs) - 1, -1, -1):
         m, (new_doc, prev, z, r, n, ghn) = w.runs[t], kept[t]
-        d = carry[:m] + dh[w.steps[t]:w.steps[t + 1]]
-        keep = 1 - z
-        dgx = gates[w.steps[t]:w.steps[t + 1]]
-        dn = d * keep * (1 - n * n)
-        dgx[:, :units] = d * (prev - n) * z * keep
-        dgx[:, units:2 * units] = dn * ghn * r * (1 - r)
-        dgx[:, 2 * units:] = dn
-        dgh = dgx.copy()
-        dgh[:, 2 * units:] *= r
-        g["W"] += prev.T @ dgh
-        carry[:m] = d * z + dgh @ net["W"].T
+        at = slice(w.steps[t], w.steps[t + 1])
+        d = dh[:, at] + carry[:, :m]
+        dgh = np.empty((3 * units, m), dh.dtype)
+        dz, dr, dn = dgh[:units], dgh[units:2 * units], dgh[2 * units:]
+        dkeep = 1 - z
+        dkeep *= d
+        d *= z  # from here on the part that passes to the state before
+        np.multiply(n, n, dn)
+        np.subtract(1, dn, dn)
+        dn *= dkeep
+        np.subtract(prev, n, dz)
+        dz *= z
+        dz *= dkeep
+        np.subtract(1, r, dr)
+        dr *= r
+        dr *= ghn
+        dr *= dn
+        gates[:, at] = dgh
+        dn *= r
+        g["W"] += prev @ dgh.T
+        d += net["W"] @ dgh
         if new_doc is not None:
-            carry[:m][new_doc] = 0
-    g["b"] += gates.sum(0)
+            d[:, new_doc] = 0
+        carry[:, :m] = d
+    g["b"] += gates.sum(1)
     ids = w.flat(w.x)
     order = np.argsort(ids.astype(np.uint16) if len(net["O"]) <= 1 << 16 else ids, kind="stable")
-    starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    g["U"].append((ids[order][starts], np.add.reduceat(gates[order], starts)))
+    first = np.diff(ids[order], prepend=-1) > 0
+    ids, at = ids[order][first], np.empty_like(order)
+    at[order] = np.cumsum(first) - 1
+    rows = np.empty((len(ids), len(gates)), dh.dtype)
+    for k, gate in enumerate(gates):
+        rows[:, k] = np.bincount(at, gate, len(ids))
+    g["U"].append((ids, rows))
 
 
 def no_gradient(net: dict) -> dict:
@@ -272,32 +331,44 @@ class Adam:
         a, b = rate / (1 - 0.9 ** self.t), 1 / (1 - 0.999 ** self.t)
         for k, own in g.items():
             if k == "U":
-                ids = np.unique(np.concatenate([i for i, _ in own]))
-                x = np.zeros((len(ids), net["U"].shape[1]), net["U"].dtype)
-                for i, part in own:
-                    x[np.searchsorted(ids, i)] += part
+                ids, x = own[0]
+                if len(own) > 1:
+                    ids = np.unique(np.concatenate([i for i, _ in own]))
+                    x = np.zeros((len(ids), net["U"].shape[1]), net["U"].dtype)
+                    for i, part in own:
+                        x[np.searchsorted(ids, i)] += part
                 own.clear()
             else:
-                ids, x = slice(None), own.copy()
-                own[...] = 0
-            x /= n
+                ids, x = slice(None), own
+            x *= 1 / n
             m, v = self.m[k][ids], self.v[k][ids]
-            m += 0.1 * (x - m)
+            more = x - m
+            more *= 0.1
+            m += more
             x *= x
-            v += 0.001 * (x - v)
+            x -= v
+            x *= 0.001
+            v += x
             if k == "U":
                 self.m[k][ids], self.v[k][ids] = m, v
-            net[k][ids] -= a * m / (np.sqrt(b * v) + 1e-8)
+            np.multiply(v, b, x)
+            np.sqrt(x, x)
+            x += 1e-8
+            np.divide(m, x, x)
+            x *= a
+            net[k][ids] -= x
+            if k != "U":
+                own[...] = 0
 
 
 def learn(net: dict, held: list[tuple[Window, np.ndarray, list]], g: dict) -> int:
     """The gradient of windows that ran from the same parameters, added to ``g``: their outputs in one
     pass, so that windows of few lanes cost no more a token than full ones.  Tokens seen."""
-    _, dh = outputs(net, np.concatenate([states for _, states, _ in held]), np.concatenate([w.flat(w.y) for w, _, _ in held]), g)
+    _, dh = outputs(net, np.concatenate([states for _, states, _ in held], axis=1), np.concatenate([w.flat(w.y) for w, _, _ in held]), g)
     at = 0
     for w, states, kept in held:
-        back(net, w, kept, dh[at:at + len(states)], g)
-        at += len(states)
+        back(net, w, kept, dh[:, at:at + w.steps[-1]], g)
+        at += w.steps[-1]
     return at
 
 
@@ -310,7 +381,7 @@ def train(net: dict, opt: Adam, docs: list[np.ndarray], lanes: int = LANES, step
         for w in windows(packed_lanes, steps):
             h, states, kept = run_window(net, h[: w.runs[0]], w)
             held.append((w, states, kept))
-            n += len(states)
+            n += w.steps[-1]
             if n >= BATCH:
                 opt.step(net, g, learn(net, held, g), rate)
                 held, n, seen = [], 0, seen + n
@@ -325,7 +396,7 @@ def log_likelihood(net: dict, docs: list[np.ndarray], lanes: int = LANES, steps:
     total = np.zeros(len(docs))
 
     def add(held: list[tuple[np.ndarray, ...]]) -> None:
-        doc, y, states = (np.concatenate(x) for x in zip(*held))
+        doc, y, states = (np.concatenate(x, axis=-1) for x in zip(*held))
         total[:] += np.bincount(doc, outputs(net, states, y), len(docs))
 
     packed_lanes = lanes_of(docs, lanes)
@@ -335,7 +406,7 @@ def log_likelihood(net: dict, docs: list[np.ndarray], lanes: int = LANES, steps:
         for w in windows(packed_lanes, steps):
             h, states, _ = run_window(net, h[: w.runs[0]], w)
             held.append((w.flat(w.doc), w.flat(w.y), states))
-            n += len(states)
+            n += w.steps[-1]
             if n >= BATCH:
                 add(held)
                 held, n = [], 0
@@ -361,14 +432,10 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     """(key, c): occurrences of every word and of the end."""
     def per_batch(batches: Batches) -> Batches:
         for b in batches:
-            n: Counter[bytes] = Counter()
-            for t in texts_of(b):
-                n.update(t.encode().lower().split())
-            keys = Counter()
-            for w, c in n.items():
-                keys[key_of(w)] += c
-            keys[END_KEY] += b.num_rows
-            yield record(pa.schema([("key", pa.string()), ("c", pa.int64())]), (list(keys), list(keys.values())))
+            keys, word, _ = words_of(b.column(0))
+            n = np.bincount(word, minlength=len(keys))
+            keys, n = pa.concat_arrays([keys.filter(pa.array(n > 0)), pa.array([END_KEY])]), np.append(n[n > 0], b.num_rows)
+            yield record(pa.schema([("key", pa.string()), ("c", pa.int64())]), (keys, n))
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(per_batch, "key string, c long")
     return found.groupBy("key").agg(F.sum("c").alias("c"))
@@ -459,7 +526,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     floor, rest_floor = np.log10(total + distinct + 1), np.log10(rest + rest_distinct + 1)
     net = new_net(np.array([ends, rest, *(c for _, c in known)], np.float64))
 
-    ids_of = {k: i for i, (k, _) in enumerate(top)}
+    head_keys = pa.array([k for k, _ in top], pa.string())
     head_log = np.log10(np.array([c for _, c in top] + [0], np.float64) + 1)
     end_log = float(np.log10(ends + 1) - floor)
     kind = docs.schema[id_col].dataType
@@ -468,28 +535,28 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     n_known_ids = len(known)
 
     def per_batch(batches: Batches) -> Batches:
-        number = {k.encode(): i for k, i in ids_of.items() if not k.startswith(" ")}
-        digests = {k: i for k, i in ids_of.items() if k.startswith(" ")}
-        for b in batches:
-            out = []
-            for t in texts_of(b):
-                words = t.encode().lower().split()
-                at = np.array([number.get(w, -1) for w in words], np.int64)
-                tail: Counter[str] = Counter()
-                for i in np.flatnonzero(at < 0).tolist():
-                    k = key_of(words[i])
-                    if k in digests:
-                        at[i] = digests[k]
-                    else:
-                        tail[k] += 1
-                inner = at[at >= 0]
-                ids = np.where((at >= 0) & (at < n_known_ids), at + 2, UNKNOWN)
-                beyond = inner[inner >= n_known_ids]
-                out.append((np.append(ids, END).astype("<u2").tobytes(), len(words) + 1, len(inner) + bool(ends),
-                            float(head_log[inner].sum() - len(inner) * floor + end_log),
-                            float(head_log[beyond].sum() - len(beyond) * rest_floor), list(tail), list(tail.values())))
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            cols = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)]
+        for b in (whole.slice(first, ROWS) for whole in batches for first in range(0, whole.num_rows, ROWS)):
+            keys, word, sizes = words_of(b.column(1))
+            place = pc.fill_null(pc.index_in(keys, value_set=head_keys), -1).to_numpy()
+            doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            ids = np.full(len(word) + len(sizes), END, "<u2")
+            ids[np.arange(len(word)) + doc] = np.where((place >= 0) & (place < n_known_ids), place + 2, UNKNOWN).astype("<u2")[word]
+
+            def per_doc(of_key: np.ndarray) -> np.ndarray:
+                return np.bincount(doc, of_key[word], len(sizes))
+
+            inside, beyond = place >= 0, place >= n_known_ids
+            n_inside, n_beyond = per_doc(inside), per_doc(beyond)
+            base = per_doc(np.where(inside, head_log[place], 0)) - n_inside * floor + end_log
+            rest_base = per_doc(np.where(beyond, head_log[place], 0)) - n_beyond * rest_floor
+            outside = np.flatnonzero(~inside[word])
+            pairs, n = np.unique(doc[outside] * np.int64(len(keys)) + word[outside], return_counts=True)
+            of_doc, of_key = np.divmod(pairs, max(1, len(keys)))
+            starts = pa.array(np.searchsorted(of_doc, np.arange(len(sizes) + 1)), pa.int32())
+            ends_at = np.append(0, 2 * np.cumsum(sizes + 1)).astype(np.int32)
+            cols = (pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends_at), pa.py_buffer(ids)]),
+                    pa.array(sizes + 1, pa.int64()), pa.array(n_inside.astype(np.int64) + bool(ends)), pa.array(base), pa.array(rest_base),
+                    pa.ListArray.from_arrays(starts, keys.take(pa.array(of_key))), pa.ListArray.from_arrays(starts, pa.array(n, pa.int64())))
             schema = pa.schema([(f.name, c.type) for f, c in zip(fields, (b.column(0), b.column(2), *cols), strict=True)])
             yield record(schema, (b.column(0), b.column(2), *cols))
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,33 @@ def test_language_model_scores_are_the_definition(docs):
     assert np.allclose(got, [scalar_likelihood(wide, t) for t in texts], rtol=1e-4)
 
 
+def test_words_of_a_batch_are_found_at_once():
+    texts = [" Aa\x0bb\x0cC\r\n\tb\x1cd\x85e  É ", "", None, " \t ", "b " * 5, "x" * 48 + " " + "x" * 49 + " " + "é" * 25, "aA İ"]
+    for column in (pa.array(texts), pa.array(["cut off", *texts]).slice(1), pa.array(texts, pa.large_string()), pa.array([], pa.string())):
+        keys, word, sizes = gated_lm.words_of(column)
+        want = [[gated_lm.key_of(w) for w in (t or "").encode().lower().split()] for t in column.to_pylist()]
+        assert sizes.tolist() == [len(w) for w in want] and keys.type == pa.string()
+        assert keys.take(pa.array(word)).to_pylist() == [w for ws in want for w in ws]
+
+
+def test_single_precision_gradients():
+    """Shares of the softmax scale states and sums, not every output: the gradient stays that of double precision."""
+    r = np.random.default_rng(2)
+    p = 1 / np.arange(1, 3001)
+    docs = [np.append(r.choice(3000, 200, p=p / p.sum()), gated_lm.END) for _ in range(60)]
+    single = gated_lm.new_net(np.bincount(np.concatenate(docs), minlength=3000).astype(float))
+    found = []
+    for net in (single, {k: v.astype(np.float64) for k, v in single.items()}):
+        g = gated_lm.no_gradient(net)
+        window = next(gated_lm.windows(gated_lm.lanes_of(docs, 16), 64))
+        _, states, kept = gated_lm.run_window(net, np.zeros((16, gated_lm.UNITS), net["b"].dtype), window)
+        assert states.shape == (gated_lm.UNITS, 16 * 64)  # a column a token
+        gated_lm.learn(net, [(window, states, kept)], g)
+        found.append({**g, "U": g["U"][0][1]})
+    for k in single:
+        assert found[0][k].dtype == np.float32 and np.abs(found[0][k] - found[1][k]).max() < 1e-4 * np.abs(found[1][k]).max(), k
+
+
 def test_class_sizes():
     for n in (2, 3, 50, 2_048, 16_384):
         bounds = gated_lm.class_bounds(n)
