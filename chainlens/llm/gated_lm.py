@@ -191,8 +191,6 @@ def run_window(net: dict, h: np.ndarray, w: Window) -> tuple[np.ndarray, np.ndar
     gates = np.take(net["U"], w.flat(w.x), axis=0)
     gates += net["b"]
     for t, m in enumerate(w.runs):
-        if m < h.shape[1]:
-            h = h.copy()  # the ended lanes' states
         prev, new_doc = h[:, :m], None
         if w.any_fresh[t]:
             new_doc = np.flatnonzero(w.fresh[t, :m])
@@ -210,10 +208,7 @@ def run_window(net: dict, h: np.ndarray, w: Window) -> tuple[np.ndarray, np.ndar
         new += n
         kept.append((new_doc, prev, z, r, n, ghn))
         states[:, w.steps[t]:w.steps[t + 1]] = new
-        if m < h.shape[1]:
-            h[:, :m] = new
-        else:
-            h = new
+        h = new if m == h.shape[1] else np.concatenate([new, h[:, m:]], axis=1)  # the state before is kept
     return h.T, states, kept
 
 

@@ -138,6 +138,24 @@ def test_words_of_a_batch_are_found_at_once():
         assert keys.take(pa.array(word)).to_pylist() == [w for ws in want for w in ws]
 
 
+def test_gradients_of_lanes_that_end():
+    """Backpropagation needs the state before each step, also of steps that only some lanes take."""
+    r = np.random.default_rng(3)
+    net = {k: v.astype(np.float64) for k, v in gated_lm.new_net(r.integers(1, 50, 40).astype(float), units=5).items()}
+    docs = [r.integers(0, 40, n) for n in (12, 8, 3)]
+    window = next(gated_lm.windows(gated_lm.lanes_of(docs, 3), 40))
+    assert min(window.runs) < max(window.runs)
+    _, states, kept = gated_lm.run_window(net, np.zeros((3, 5)), window)
+    g = gated_lm.no_gradient(net)
+    gated_lm.learn(net, [(window, states, kept)], g)
+    for spot in np.ndindex(net["W"].shape):
+        up, down = ({**net, "W": net["W"].copy()} for _ in range(2))
+        up["W"][spot] += 1e-5
+        down["W"][spot] -= 1e-5
+        rise = gated_lm.log_likelihood(down, docs, 3, 40).sum() - gated_lm.log_likelihood(up, docs, 3, 40).sum()
+        assert g["W"][spot] == pytest.approx(rise / 2e-5, abs=1e-6)
+
+
 def test_single_precision_gradients():
     """Shares of the softmax scale states and sums, not every output: the gradient stays that of double precision."""
     r = np.random.default_rng(2)
