@@ -42,7 +42,7 @@ from chainlens.llm.common import Batches, record, stage
 #: Words looked up in the task; rarer ones are looked up by a join.
 HEAD = 262_144
 #: Documents whose words are encoded at a time.
-ROWS = 2_048
+ROWS = 1_024
 #: The model's words: all that training holds this often, within these bounds (the parameters go to every task).
 OFTEN, LEAST_WORDS, MOST_WORDS = 64, 2_048, 16_384
 UNITS, STEPS, LANES, RATE = 16, 32, 1_024, 0.01
@@ -50,6 +50,8 @@ UNITS, STEPS, LANES, RATE = 16, 32, 1_024, 0.01
 BATCH, SPREAD = 16_384, 3.0
 #: Tokens whose class outputs are held at a time: they stay in the processor's cache.
 CHUNK = 2_048
+#: Rows of a parameter that are moved at a time.
+BLOCK = 1_024
 #: Windows that are copied from the lanes at a time.
 COPIED = 8
 #: Nets that one task of the averaging tree reads.
@@ -334,27 +336,32 @@ class Adam:
                         x[np.searchsorted(ids, i)] += part
                 own.clear()
             else:
-                ids, x = slice(None), own
-            x *= 1 / n
-            m, v = self.m[k][ids], self.v[k][ids]
-            more = x - m
-            more *= 0.1
-            m += more
-            x *= x
-            x -= v
-            x *= 0.001
-            v += x
-            if k == "U":
-                self.m[k][ids], self.v[k][ids] = m, v
-            np.multiply(v, b, x)
-            np.sqrt(x, x)
-            x += 1e-8
-            np.divide(m, x, x)
-            x *= a
-            net[k][ids] -= x
+                ids, x = None, own
+            for first in range(0, len(x), BLOCK):  # as many rows as stay in the processor's cache
+                self.move(net, k, ids[first:first + BLOCK] if k == "U" else slice(first, first + BLOCK), x[first:first + BLOCK], n, a, b)
             if k != "U":
                 own[...] = 0
 
+    def move(self, net: dict, k: str, ids: np.ndarray | slice, x: np.ndarray, n: int, a: float, b: float) -> None:
+        """Rows ``ids`` of parameter ``k`` along their gradient ``x``, which is overwritten."""
+        x *= 1 / n
+        m, v = self.m[k][ids], self.v[k][ids]
+        more = x - m
+        more *= 0.1
+        m += more
+        x *= x
+        x -= v
+        x *= 0.001
+        v += x
+        if k == "U":
+            self.m[k][ids], self.v[k][ids] = m, v
+        np.multiply(v, b, x)
+        np.sqrt(x, x)
+        x += 1e-8
+        np.divide(m, x, x)
+        x *= a
+        net[k][ids] -= x
+
 
 def learn(net: dict, held: list[tuple[Window, np.ndarray, list]], g: dict) -> int:
     """The gradient of windows that ran from the same parameters, added to ``g``: their outputs in one
