@@ -17,7 +17,9 @@ it; each segment has the CRC-32 of its ids and the payload one of its own.
 
 Writing: whole texts are encoded once and staged as ids; one aggregate
 counts ids (at most the vocabulary in rows), documents are range-partitioned
-and sorted by id, and each partition writes its blocks as they fill.
+and sorted by id, and each partition writes its blocks as they fill.  Rows
+reach the workers a thousand at a time, and ranges that are more than the
+shards asked for share the files of the blocks.
 Reading: blocks are decoded where they lie; a document's place among all
 ids is its shard's base (a running sum over one row per shard) plus its
 place in the shard.
@@ -30,17 +32,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainlens.llm.common import Batches, record, stage, texts_of
+from chainlens.llm.common import Batches, record, settings, stage, texts_of
 from chainlens.llm.token_ids import encoder
 
 SCALE, LANES, STRIDE = 20, 2048, 128
 #: Ids of a block, or one document's if it has more.
 BLOCK_TOKENS = 1 << 19
+#: Whole texts are large rows, so few of them are read or sent at once.
+FEW_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.parquet.columnarReaderBatchSize": "1024"}
 MAGIC = b"RNS1"
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sIIIIII")  # magic, lanes, stride, tokens, segments, words, crc of all that follows
@@ -179,6 +182,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     repeat an id stay, ordered by their ids' bytes; an empty table gives a
     file without blocks.
     """
+    with settings(docs.sparkSession, FEW_ROWS):
+        _write(docs, path, tokenizer, end_id, id_col, text_col, block_tokens, shard_tokens)
+
+
+def _write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str, text_col: str, block_tokens: int, shard_tokens: int) -> None:
     spark = docs.sparkSession
     tokens = stage(tokenized(docs, tokenizer, end_id, id_col, text_col), "token-ids")
     width = id_width(tokenizer, end_id)
@@ -197,14 +205,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("payload", T.BinaryType())])
 
     def blocks(batches: Batches) -> Batches:
-        coder, shard = Coder(ids, freqs), TaskContext.get().partitionId()
-        state = {"block": 0, "base": 0}
+        coder, state = Coder(ids, freqs), {"block": 0, "base": 0}
 
         def emit(held: list, arrow_id: pa.DataType) -> pa.RecordBatch:
             flat = np.frombuffer(b"".join(x for _, x in held), width)
             schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("base", pa.int64()), ("n_tokens", pa.int64()),
                                 ("doc_ids", pa.list_(arrow_id)), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
-            out = record(schema, ([shard], [state["block"]], [state["base"]], [len(flat)], [[d for d, _ in held]],
+            out = record(schema, ([state["shard"]], [state["block"]], [state["base"]], [len(flat)], [[d for d, _ in held]],
                                   [[len(x) // size for _, x in held]], [coder.encode(flat)]))
             state["block"] += 1
             state["base"] += len(flat)
@@ -213,6 +220,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         held, n, arrow_id = [], 0, None
         for b in batches:
             arrow_id = b.column(0).type
+            if b.num_rows:
+                state["shard"] = b.column(2)[0].as_py()
             for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if held and n + len(x) // size > block_tokens:
                     yield emit(held, arrow_id)
@@ -222,10 +231,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         if held:
             yield emit(held, arrow_id)
 
-    # rows that share an id differ in the second key, so one id cannot fill a shard
+    # rows that share an id differ in the second key, so one id cannot fill a shard;
+    # each range is a shard of its own in whichever task it is written
     (tokens.withColumn("h", F.xxhash64("ids")).repartitionByRange(shards, "doc_id", "h")
-     .sortWithinPartitions("doc_id", "ids").select("doc_id", "ids")
-     .mapInArrow(blocks, block).write.parquet(f"{path}/blocks"))
+     .sortWithinPartitions("doc_id", "ids").select("doc_id", "ids", F.spark_partition_id().alias("shard"))
+     .mapInArrow(blocks, block).coalesce(max(shards, spark.sparkContext.defaultParallelism)).write.parquet(f"{path}/blocks"))
 
 
 def open_coder(spark: SparkSession, path: str) -> Coder:
@@ -259,5 +269,5 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = (stored.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
               .select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start")))  # one row per shard
-    return found.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32",
+    return found.join(F.broadcast(starts), "shard").select("doc_id", (F.col("shard_start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32",
                                               *(["ids"] if with_ids else []))

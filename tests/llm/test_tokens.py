@@ -3,10 +3,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chainlens.llm import packing, rans_tokens
-from chainlens.llm.common import fresh_path
+from chainlens.llm.common import fresh_path, settings
 from chainlens.llm.queries import tokenizer_file
 from chainlens.llm.token_ids import Encoder
 
@@ -71,6 +72,24 @@ def test_token_file(spark, nasty, empty, docs):
     assert rans_tokens.read(spark, path).count() == 0
 
 
+def test_token_file_of_many_ranges(spark, docs, monkeypatch):
+    """Ranges beyond the shards asked for share files, and documents are not shuffled when read."""
+    ranged = type(docs).repartitionByRange
+    monkeypatch.setattr(type(docs), "repartitionByRange", lambda self, n, *c: ranged(self, max(n, 40), *c))
+    path = fresh_path(spark, "t")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        rans_tokens.write(docs, path, WORD, end_id=2)
+        blocks = spark.read.parquet(path + "/blocks")
+        assert blocks.select("shard").distinct().count() > 30
+        assert blocks.select(F.input_file_name()).distinct().count() <= spark.sparkContext.defaultParallelism
+        file = rans_tokens.read(spark, path)
+        assert "SortMergeJoin" not in file._jdf.queryExecution().executedPlan().toString()
+        got = sorted(file.collect(), key=lambda r: r.start)
+    want = sorted(direct(WORD, docs.collect(), 2), key=lambda x: x[0])
+    assert [(r.doc_id, r.ids) for r in got] == [(d, x.tolist()) for d, x in want]
+    assert [r.start for r in got] == np.cumsum([0] + [len(x) for _, x in want])[:-1].tolist()
+
+
 def test_differencing_is_near_equal_and_fits():
     import random
     r = random.Random(0)
